@@ -40,21 +40,31 @@ def byte_symbols() -> str:
     return "".join(chr(b if b in set(printable) else next(rest)) for b in range(256))
 
 
+class WordIds:
+    """Ids of numbered words, end to end in flat; those of word k lie in bounds[k]:bounds[k + 1]."""
+
+    def __init__(self, model):
+        self.model, self.shown = model, dict(enumerate(byte_symbols()))
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def add(self, words: list[str]) -> None:
+        sizes = np.cumsum([0, *(len(w.encode()) for w in words)]).tolist()
+        text = "".join(words).encode().decode("latin-1").translate(self.shown)
+        ids = [[t.id for t in self.model.tokenize(text[a:b])] for a, b in zip(sizes, sizes[1:])]
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids])])
+
+
 @cache
 def tokenizer(path: str):
     """The tokenizer of a file, and its vocabulary of words encoded so far in this worker."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    shown = {i: c for i, c in enumerate(byte_symbols())}
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.cumsum([0, *(len(w.encode()) for w in words)]).tolist()
-        text = "".join(words).encode().decode("latin-1").translate(shown)
-        ids = [[t.id for t in whole.model.tokenize(text[a:b])] for a, b in zip(sizes, sizes[1:])]
-        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
-
-    return whole, Vocabulary(encode)
+    return whole, Vocabulary(WordIds(whole.model))
 
 
 def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
@@ -63,7 +73,7 @@ def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
     marked = {i for i, t in enumerate(texts) if SPECIAL in t}
     plain = ["" if i in marked else t for i, t in enumerate(texts)] if marked else texts
     for first, rows, sizes in word_rows(plain, vocabulary):
-        ids, lengths = gathered(rows, vocabulary.flat, vocabulary.bounds)
+        ids, lengths = gathered(rows, vocabulary.store.flat, vocabulary.store.bounds)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
         begin = 0
         for i, end in enumerate(ends.tolist(), first):

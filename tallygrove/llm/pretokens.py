@@ -66,19 +66,21 @@ def starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """What distinct pre-tokens were turned into, for reuse by later blocks; it starts anew when it has grown beyond limit words."""
+    """Numbers for distinct pre-tokens, kept for later blocks. store.add(words) turns new words into whatever the caller keeps by number;
+    beyond limit words both start anew."""
 
-    def __init__(self, encode, limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, store, limit: int = 400_000):
+        self.store, self.limit = store, limit
         self.clear()
 
     def clear(self) -> None:
+        self.store.clear()
+        self.size = 0
         self.hashes, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.flat, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def lookup(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Row numbers in (flat, bounds) of distinct hashes; word(k) is the text of the k-th."""
-        if len(self.hashes) > self.limit:
+        """Numbers of distinct hashes; word(k) is the text of the k-th."""
+        if self.size > self.limit:
             self.clear()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), dtype=bool)
@@ -88,10 +90,9 @@ class Vocabulary:
         rows[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            flat, lengths = self.encode([word(k) for k in new.tolist()])
-            rows[new] = len(self.bounds) - 1 + np.arange(len(new))
-            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+            self.store.add([word(k) for k in new.tolist()])
+            rows[new] = self.size + np.arange(len(new))
+            self.size += len(new)
             merged = np.concatenate([self.hashes, hashes[new]])
             order = np.argsort(merged)
             self.hashes, self.rows = merged[order], np.concatenate([self.rows, rows[new]])[order]
