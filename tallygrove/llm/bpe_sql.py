@@ -21,6 +21,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches):
         db = vocabulary(path).store.db
         for batch in batches:
-            lists = pa.compute.fill_null(batch.column(1), [])
+            lists = pc.fill_null(batch.column(1), [])
             bounds = lists.offsets.to_numpy() if len(lists) else np.zeros(1, dtype=np.int32)
             flat = lists.flatten().to_numpy()
             rows = pa.table({"d": np.repeat(np.arange(len(lists)), np.diff(bounds)), "p": np.arange(len(flat)), "t": flat})

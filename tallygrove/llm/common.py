@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,7 +51,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
         start, n = 0, len(lengths)
         for i in range(n):
             if size and size + lengths[i] > limit:

@@ -1,3 +1,20 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+# base32 of a hexadecimal SHA-1: five hexadecimal digits are four base32 characters
+SQL["op5_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+    SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+        list_transform(range(0, 8), lambda g: ('0x' || substr(h, g * 5 + 1, 5))::INTEGER) AS parts
+    FROM p
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32),
+        lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
