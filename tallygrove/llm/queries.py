@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, packing, simhash, warc
+from tallygrove.llm import bpe_sql, packing, runindex, simhash, warc
 from tallygrove.llm.common import table
 
 
@@ -22,3 +22,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(table(spark, sf_dir, "documents"))
