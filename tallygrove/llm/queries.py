@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, packing, runindex, simhash, warc
+from tallygrove.llm import bpe_sql, packing, quality, runindex, simhash, warc
 from tallygrove.llm.common import table
 
 
@@ -26,3 +26,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
