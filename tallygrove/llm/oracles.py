@@ -18,3 +18,25 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
     CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+
+def _licenses() -> str:
+    """Every template in every window, counted exactly."""
+    from tallygrove.llm.licenses import SHINGLE, TEMPLATES, shingles_of
+
+    rows = ", ".join(f"('{name}', {len(shingles_of(t))}, '{' '.join(x)}')" for name, t in TEMPLATES.items() for x in shingles_of(t))
+    return f"""
+WITH t(license, n, shingle) AS (VALUES {rows}),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(0, greatest(0, len(words) - {SHINGLE - 1}))) AS p, words FROM w),
+h AS (
+    SELECT doc_id, license, n, shingle, p, greatest(1, n // 4) AS step
+    FROM (SELECT doc_id, p, array_to_string(words[p + 1 : p + {SHINGLE}], ' ') AS shingle FROM s) JOIN t USING (shingle)
+),
+k AS (SELECT *, unnest(range(greatest(0, ceil((p - (n + step - 1) + 1) / step)::BIGINT), p // step + 1)) AS k FROM h),
+c AS (SELECT doc_id, license, n, k, count(DISTINCT shingle) / n AS containment FROM k GROUP BY doc_id, license, n, k)
+SELECT doc_id, license, max(containment) AS containment FROM c WHERE containment >= 0.8 GROUP BY ALL
+"""
+
+
+SQL["op3_licenses"] = _licenses()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, packing, quality, runindex, simhash, warc
+from tallygrove.llm import bpe_sql, licenses, packing, quality, runindex, simhash, warc
 from tallygrove.llm.common import table
 
 
@@ -30,3 +30,7 @@ def op10_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
