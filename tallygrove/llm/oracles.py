@@ -40,3 +40,30 @@ SELECT doc_id, license, max(containment) AS containment FROM c WHERE containment
 
 
 SQL["op3_licenses"] = _licenses()
+
+# all pairs of distinct lines that share a half, by edit distance
+SQL["op1_lines"] = """
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (
+    SELECT doc_id, pos - 1 AS pos, parts[pos] AS line
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM s) WHERE length(parts[pos]) >= 16
+),
+c AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first_at FROM l GROUP BY line),
+k AS (
+    SELECT line, n, first_at, unnest([
+        'p' || n || substr(line, 1, n // 2), 'p' || (n - 1) || substr(line, 1, (n - 1) // 2),
+        's' || n || right(line, n // 2), 's' || (n - 1) || right(line, (n - 1) // 2)]) AS half FROM c
+),
+near AS (
+    SELECT DISTINCT a.line FROM k a JOIN k b ON a.half = b.half AND b.first_at < a.first_at AND abs(a.n - b.n) <= 1
+    WHERE levenshtein(a.line, b.line) <= 1
+),
+gone AS (
+    SELECT l.doc_id, l.pos, length(l.line) AS chars FROM l JOIN c USING (line) LEFT JOIN near ON near.line = l.line
+    WHERE near.line IS NOT NULL OR (l.doc_id, l.pos) > c.first_at
+),
+g AS (SELECT doc_id, count(*) AS n_removed, sum(chars) AS removed_chars, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN coalesce(s.text, '') = '' THEN 0 ELSE len(s.parts) END AS n_lines,
+    coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed_chars, 0)::BIGINT AS removed_chars, coalesce(g.removed, '') AS removed
+FROM s LEFT JOIN g USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, licenses, packing, quality, runindex, simhash, warc
+from tallygrove.llm import bpe_sql, licenses, linededup, packing, quality, runindex, simhash, warc
 from tallygrove.llm.common import table
 
 
@@ -34,3 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
