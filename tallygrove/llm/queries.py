@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, licenses, linededup, packing, quality, runindex, simhash, warc
+from tallygrove.llm import bpe_sql, licenses, linededup, packing, quality, runindex, simhash, warc, webp
 from tallygrove.llm.common import table
 
 
@@ -38,3 +38,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(table(spark, sf_dir, "documents"))
