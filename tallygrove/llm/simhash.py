@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a grid join over segment popcounts.
 
 A 64-bit fingerprint is cut into 32 segments of two bits, and each segment into its bit count (0 to 2). The Manhattan distance of two such
-count vectors never exceeds the Hamming distance of the fingerprints. The vectors are taken in two halves of 16 counts: fingerprints at
-4 or fewer differing bits are at Manhattan distance 2 or less in at least one half, so in that half some grid point lies within 1 of both.
-Each distinct fingerprint therefore goes to its own cell and the cells next to it (at most 33 a half), equal cells are compared, and the
-exact Hamming distance decides. Inside a cell only a spanning forest of the links is kept, so a large group of near copies costs no
+count vectors never exceeds the Hamming distance of the fingerprints. The counts are dealt into thirds: of fingerprints at 4 or fewer
+differing bits, the third where they differ most has 2 of them at least (or none differ), so in the pair of the other two thirds the vectors are at
+Manhattan distance 2 or less, and some grid point lies within 1 of both. Each distinct fingerprint therefore goes, for each pair of thirds,
+to its own cell and the cells next to it, equal cells are compared, and the exact Hamming distance decides.
+Inside a cell only a spanning forest of the links is kept, so a large group of near copies costs no
 pair-per-pair rows; cells beyond cell_limit are dealt out as pairs of salted sub-cells, which together cover every pair.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows of equal text are one class, so are repeated
@@ -27,6 +28,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 MAX_BITS = 4
+ODD = 0x5555555555555555
+THIRDS = [((1 << 22) - 1, 0), ((1 << 22) - 1 << 22, 22), ((1 << 20) - 1 << 44, 44)]  # bits of a third, and where they begin
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -58,16 +61,25 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def cells(prints: DataFrame) -> DataFrame:
-    """(cell, fp) for each fp's own cell and the cells next to it, in both halves."""
-    halves = prints.select("fp", F.explode(F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32) + F.lit(1 << 32))).alias("half"))
-    # bit counts of two-bit segments, two bits each: x - ((x >> 1) & 0101..)
-    counts = halves.select("fp", F.expr("half - (shiftright(half, 1) & 1431655765L)").alias("y"))
+    """(cell, fp) for each fp's own cell and the cells next to it, in each pair of thirds.
+
+    A cell is the counts, two bits each, with the left-out third zeroed but for a mark that no count can be.
+    """
+    low, high = F.col("fp").bitwiseAND(ODD), F.shiftrightunsigned("fp", 1).bitwiseAND(ODD)
+    counts = prints.select("fp", low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1)).alias("y"))
+    pairs = counts.select("fp", "y", F.explode(F.array(*[F.struct(F.lit(_signed(~third)).alias("mask"), F.lit(_signed(3 << at)).alias("mark")) for third, at in THIRDS])).alias("p"))
+    own = pairs.select("fp", F.expr("y & p.mask").alias("y"), "p.*")
     near = F.expr("""
-        concat(array(y),
-               transform(filter(sequence(0, 30, 2), i -> (shiftright(y, i) & 3L) < 2), i -> y + shiftleft(1L, i)),
-               transform(filter(sequence(0, 30, 2), i -> (shiftright(y, i) & 3L) > 0), i -> y - shiftleft(1L, i)))""")
-    return counts.select("fp", F.explode(near).alias("cell"))
+        transform(concat(array(0L),
+                         transform(filter(sequence(0, 62, 2), i -> (shiftrightunsigned(mask, i) & 3L) = 3 AND (shiftrightunsigned(y, i) & 3L) < 2), i -> shiftleft(1L, i)),
+                         transform(filter(sequence(0, 62, 2), i -> (shiftrightunsigned(y, i) & 3L) > 0), i -> shiftleft(3L, i))),
+                  step -> (y ^ step) | mark)""")
+    return own.select("fp", F.explode(near).alias("cell"))
 
 
 def bits(x: np.ndarray, y: np.ndarray | np.int64) -> np.ndarray:
@@ -140,7 +152,7 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = 20_0
     prints has distinct non-null longs fp.
     """
     if max_bits > 4:
-        raise ValueError("the two-half grid is proven for 4 differing bits at most")
+        raise ValueError("the grid is proven for 4 differing bits at most")
     placed = cells(prints)
     counted = placed.selectExpr("cell", "fp", "count(*) OVER (PARTITION BY cell) AS n").filter("n > 1")
     # a crowded cell is dealt out: sub-cells i <= j of every pair of salts, each with the rows of salts i and j
