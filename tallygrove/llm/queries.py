@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, licenses, linededup, packing, quality, runindex, simhash, warc, webp
+from tallygrove.llm import bpe_sql, langid, licenses, linededup, packing, quality, runindex, simhash, warc, webp
 from tallygrove.llm.common import table
 
 
@@ -42,3 +42,7 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
