@@ -114,8 +114,9 @@ def train(samples: list[tuple[bytes, int]], labels: list[str], *, rounds: int =
         for row, i in enumerate(chosen):
             text = samples[i][0]
             at = int(rng.integers(max(1, len(text) - size + 1)))
-            piece = np.frombuffer(text[at : at + size], dtype=np.uint8)
-            windows[row] = np.resize(piece, size)
+            short = int(rng.integers(8, size)) if rng.random() < 0.3 else size  # texts end inside a window, which zeros fill
+            piece = np.frombuffer(text[at : at + short], dtype=np.uint8)
+            windows[row, : len(piece)] = piece
         grads = net.gradients(windows.reshape(batch, steps, STEP), np.array([samples[i][1] for i in chosen]))
         for k, g in grads.items():
             m, v = moment[k]
