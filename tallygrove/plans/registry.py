@@ -1,13 +1,16 @@
 """Every registered query of the library and its oracle."""
 
+from tallygrove.plans import oracles
+from tallygrove.plans.queries import QUERIES
+
 FLAGSHIP = "flagship"
 
 
 def queries():
     """Name to (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
     """Name to DuckDB SQL."""
-    return {}
+    return dict(oracles.SQL)
