@@ -70,8 +70,8 @@ def _inside(node, tags) -> bool:
     return False
 
 
-def repeating_blocks(pages: DataFrame, page: str, html: str, least: int = 2) -> DataFrame:
-    """page, signature, pos, href, text: the rows of every list, table or block of like siblings outside navigation."""
+def repeating_blocks(pages: DataFrame, page: str, html: str, least: int = 2, skipped: frozenset[str] = frozenset(SKIPPED)) -> DataFrame:
+    """page, signature, pos, href, text: the rows of every list, table or block of like siblings outside the skipped elements."""
 
     def run(frames):
         for frame in frames:
@@ -81,7 +81,7 @@ def repeating_blocks(pages: DataFrame, page: str, html: str, least: int = 2) ->
                 tree.feed(source)
                 for node in _walk(tree.root):
                     kinds = Counter((k["tag"], k["cls"]) for k in node["kids"] if k["tag"] in ("li", "tr", "div", "article"))
-                    if not kinds or _inside(node, SKIPPED):
+                    if not kinds or _inside(node, skipped):
                         continue
                     kind, n = min(kinds.items(), key=lambda x: (-x[1], x[0]))
                     if n < least:
