@@ -12,7 +12,7 @@ Perplexity is two to that power, so the band on one is a band on the other.
 Defined cases: null text has no word and fails the base rules; null language is a language of its own; a document without bytes has no
 cross-entropy (null) and fails the base rules anyway; a language with no document that passes the base rules has no band;
 repeated rows are scored each for itself, and count each; an empty table gives no rows. Columns other than id, text, and language are
-not looked at by score(); keep() returns the input's own columns.
+not looked at by score(), and keep() returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrove.llm.common import SpanHash, blocks, cut, emit, fresh_path, mix64
 
@@ -106,26 +108,33 @@ def _by_language(block: pa.Table):
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _count(block_bytes: int, flush: int = 3_000_000):
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
+def _count(block_bytes: int, limit: int = 1_000_000):
+    """A task that counts its n-grams by language; it sums up what it holds beyond limit keys, and sends it on if that is still too much."""
+
     def run(batches):
         held: dict[str, list] = {}
-        size = 0
 
         def out():
             for lang, parts in held.items():
-                keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                yield emit({"lang": [lang] * len(keys), "gram": keys, "n": np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)}, COUNTS)
+                keys, n = _summed(parts)
+                yield emit({"lang": [lang] * len(keys), "gram": keys, "n": n}, COUNTS)
 
         for block in blocks(batches, "text", block_bytes):
             texts = [t or b"" for t in block.column("text").to_pylist()]
             for lang, rows in _by_language(block):
-                keys, counts = np.unique(grams([texts[i] for i in rows])[0], return_counts=True)
-                if len(keys):
-                    held.setdefault(lang, []).append((keys, counts))
-                    size += len(keys)
-            if size > flush:
-                yield from out()
-                held, size = {}, 0
+                part = np.unique(grams([texts[i] for i in rows])[0], return_counts=True)
+                held.setdefault(lang, []).append(part)
+            if sum(len(k) for parts in held.values() for k, _ in parts) > limit:
+                held = {lang: [_summed(parts)] for lang, parts in held.items()}
+                if sum(len(parts[0][0]) for parts in held.values()) > limit:
+                    yield from out()
+                    held = {}
         yield from out()
 
     return run
@@ -157,8 +166,8 @@ def language(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("none"))
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 4 << 20, range_rows: int = 2_000_000) -> str:
-    """Path of the model: sorted Parquet ranges of (h, lang, p, weight); h is the hash of order and gram."""
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 2 << 20, range_rows: int = 1_000_000) -> str:
+    """Path of the model: sorted Parquet ranges of (h, p, weight); h is the hash of language, order and gram."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), language(lang_col).alias("lang"))
     counts = cut(rows.mapInArrow(_count(block_bytes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
@@ -174,40 +183,33 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bl
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    model = cut(every.groupBy("order", "lang", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")).select(F.xxhash64("order", "gram").alias("h"), "lang", "p", "weight"), "model-rows")
+    model = cut(every.groupBy("order", "lang", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")).select(F.xxhash64("lang", "order", "gram").alias("h"), "p", "weight"), "model-rows")
     path = fresh_path(spark, "model")
     model.repartitionByRange(max(1, -(-model.count() // range_rows)), "h").sortWithinPartitions("h").write.parquet(path)
     return path
 
 
-class Lookup:
-    """Probabilities and weights of a task's own n-grams, taken from the model's ranges one at a time."""
-
-    def __init__(self, path: str, wanted: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
-        """wanted: for each language (hashes, sorted and distinct) to find."""
-        self.hashes = wanted
-        self.p = {k: np.full(len(h), np.nan) for k, h in wanted.items()}
-        self.weight = {k: np.full(len(h), np.nan) for k, h in wanted.items()}
-        store, root = fs.FileSystem.from_uri(path)
-        for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
-            if info.path.endswith(".parquet"):
-                with store.open_input_file(info.path) as file:
-                    self._take(pq.read_table(file))
-
-    def _take(self, rows: pa.Table) -> None:
-        langs = rows.column("lang").to_numpy(zero_copy_only=False)
-        h, p, weight = (rows.column(c).to_numpy() for c in ("h", "p", "weight"))
-        for lang, wanted in self.hashes.items():
-            own = np.flatnonzero(langs == lang)
-            if len(own) and len(wanted):
-                at = np.minimum(np.searchsorted(wanted, h[own]), len(wanted) - 1)
-                hit = wanted[at] == h[own]
-                self.p[lang][at[hit]] = p[own][hit]
-                self.weight[lang][at[hit]] = weight[own][hit]
-
-
-def xx_pair(order: int, gram: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of (order as int, gram as long): each value is hashed with the hash so far as the seed."""
+def lookup(path: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability and weight (not a number: none) of sorted, distinct hashes, from the model's ranges one batch of rows at a time."""
+    p, weight = np.full(len(wanted), np.nan), np.full(len(wanted), np.nan)
+    store, root = fs.FileSystem.from_uri(path)
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with store.open_input_file(info.path) as file:
+            for rows in pq.ParquetFile(file).iter_batches(262_144):
+                h = rows.column(0).to_numpy()
+                a, b = np.searchsorted(wanted, [h[0], h[-1]], side="left") + [0, 1]
+                own = wanted[a:b]
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[at] == own
+                for out, column in ((p, 1), (weight, 2)):
+                    out[a:b][hit] = rows.column(column).to_numpy(zero_copy_only=False)[at[hit]]
+    return p, weight
+
+
+def gram_hashes(lang: str, order: int, gram: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of (lang as string, order as int, gram as long): each value is hashed with the hash so far as the seed."""
     m = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
     def rotate(x, r):
@@ -219,7 +221,7 @@ def xx_pair(order: int, gram: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(32)
 
     with np.errstate(over="ignore"):
-        seed = np.uint64(42) + m[4] + np.uint64(4)
+        seed = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42)) + m[4] + np.uint64(4)
         seed = final(rotate(seed ^ np.uint64(order) * m[0], 23) * m[1] + m[2])
         x = rotate(gram.view(np.uint64) * m[1], 31) * m[0]
         return final(rotate(seed + m[4] + np.uint64(8) ^ x, 27) * m[0] + m[3]).view(np.int64)
@@ -227,65 +229,91 @@ def xx_pair(order: int, gram: np.ndarray) -> np.ndarray:
 
 def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, np.ndarray]:
     """Base-two log probability of distinct order-ORDER grams; unseen ones back off through the weights of their contexts."""
-    parts = {lang: [(order, g & ((1 << 8 * order) - 1)) for order in range(ORDER, 0, -1)] + [(order - 1, (g & ((1 << 8 * order) - 1)) >> 8) for order in range(ORDER, 0, -1)] for lang, g in grams_of.items()}
-    hashes = {lang: [xx_pair(order, g) for order, g in x] for lang, x in parts.items()}
-    found = Lookup(path, {lang: np.unique(np.concatenate(x)) for lang, x in hashes.items()})
+    hashes = {}
+    for lang, g in grams_of.items():
+        ends = [g & ((1 << 8 * order) - 1) for order in range(ORDER, 0, -1)]
+        hashes[lang] = [gram_hashes(lang, order, x) for order, x in zip(range(ORDER, 0, -1), ends)] + [gram_hashes(lang, order - 1, x >> 8) for order, x in zip(range(ORDER, 0, -1), ends)]
+    wanted = np.unique(np.concatenate([np.unique(h) for x in hashes.values() for h in x] or [np.zeros(0, dtype=np.int64)]))
+    p, weight = lookup(path, wanted)
     out = {}
     for lang, x in hashes.items():
-        at = [np.searchsorted(found.hashes[lang], h) for h in x]
         total, open_ = np.zeros(len(grams_of[lang])), np.ones(len(grams_of[lang]), dtype=bool)
         for k in range(ORDER):
-            p, weight = found.p[lang][at[k]], found.weight[lang][at[ORDER + k]]
-            seen = open_ & ~np.isnan(p)
-            total[seen] += np.log2(p[seen])
+            if not open_.any():
+                break
+            own_p, own_weight = p[np.searchsorted(wanted, x[k])], weight[np.searchsorted(wanted, x[ORDER + k])]
+            seen = open_ & ~np.isnan(own_p)
+            total[seen] += np.log2(own_p[seen])
             open_ &= ~seen
-            step = open_ & ~np.isnan(weight)
-            total[step] += np.log2(weight[step])
+            step = open_ & ~np.isnan(own_weight)
+            total[step] += np.log2(own_weight[step])
         total[open_] += np.log2(1 / 256)
         out[lang] = total
     return out
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("bits", pa.float64())])
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
+def _score(path: str, kept: list[str], block_bytes: int, chunk_bytes: int = 2 << 20):
+    """A task that asks the model once for the distinct n-grams of a block, and then goes through the block's texts chunk by chunk.
+
+    Rows come with the columns kept, then their language and text.
+    """
 
-def _score(path: str, block_bytes: int):
     def run(batches):
-        for block in blocks(batches, "text", block_bytes):
-            texts = [t or b"" for t in block.column("text").to_pylist()]
-            packed, of, grams_of = {}, {}, {}
-            for lang, rows in _by_language(block):
-                g, which = grams([texts[i] for i in rows])
-                grams_of[lang], packed[lang] = np.unique(g, return_inverse=True)
-                of[lang] = rows[which]
-            bits = np.zeros(len(texts))
-            for lang, log_p in log_probabilities(grams_of, path).items():
-                bits -= np.bincount(of[lang], weights=log_p[packed[lang]], minlength=len(texts))
-            length = np.array([len(t) for t in texts])
-            mean = [b / n if n else None for b, n in zip(bits.tolist(), length.tolist(), strict=True)]
-            yield emit({"doc_id": block.column("doc_id").combine_chunks(), "lang": block.column("lang").combine_chunks(), "bits": mean} | base_counts(texts), SCORES)
+        renamed = (b.rename_columns([*(f"k{i}" for i in range(len(kept))), "lang", "text"]) for b in batches)
+        for block in blocks(renamed, "text", block_bytes):
+            chunks = list(blocks(block.to_batches(), "text", chunk_bytes))
+            seen: dict[str, np.ndarray] = {}
+            for chunk in chunks:
+                texts = [t or b"" for t in chunk.column("text").to_pylist()]
+                for lang, rows in _by_language(chunk):
+                    found = np.unique(grams([texts[i] for i in rows])[0])
+                    seen[lang] = np.union1d(seen[lang], found) if lang in seen else found
+            log_p = log_probabilities(seen, path)
+            for chunk in chunks:
+                texts = [t or b"" for t in chunk.column("text").to_pylist()]
+                bits = np.zeros(len(texts))
+                for lang, rows in _by_language(chunk):
+                    g, which = grams([texts[i] for i in rows])
+                    bits[rows] = -np.bincount(which, weights=log_p[lang][np.searchsorted(seen[lang], g)], minlength=len(rows))
+                mean = [b / len(t) if t else None for b, t in zip(bits.tolist(), texts, strict=True)]
+                counts = base_counts(texts)
+                columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__lang", *(f"__{c}" for c in STATS), "__bits"])
 
     return run
 
 
 def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, step: float = 0.001) -> DataFrame:
-    """lang, low, high: bits between which documents stay, from a histogram of the scores in bins of step (exact up to step)."""
-    bins = scores.filter("bits IS NOT NULL AND NOT base_failed").groupBy("lang", F.floor(F.col("bits") / step).alias("bin")).agg(F.count("*").alias("n"))
-    run = W.partitionBy("lang").orderBy("bin")
-    ranked = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
+    """__lang, __low, __high: bits between which documents stay, from a histogram of the scores in bins of step (exact up to step)."""
+    bins = scores.filter("__bits IS NOT NULL AND NOT __failed").groupBy("__lang", F.floor(F.col("__bits") / step).alias("bin")).agg(F.count("*").alias("n"))
+    run = W.partitionBy("__lang").orderBy("bin")
+    ranked = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy("__lang")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * step
-    marks = ranked.groupBy("lang").agg(at(tail).alias("lo"), at(0.5).alias("mid"), at(1 - tail).alias("hi"))
+    marks = ranked.groupBy("__lang").agg(at(tail).alias("lo"), at(0.5).alias("mid"), at(1 - tail).alias("hi"))
     spare = F.lit(10 * step)
-    return marks.select("lang", (F.col("mid") - width * F.greatest(F.col("mid") - F.col("lo"), spare)).alias("low"), (F.col("mid") + width * F.greatest(F.col("hi") - F.col("mid"), spare)).alias("high"))
+    return marks.select("__lang", (F.col("mid") - width * F.greatest(F.col("mid") - F.col("lo"), spare)).alias("__low"), (F.col("mid") + width * F.greatest(F.col("hi") - F.col("mid"), spare)).alias("__high"))
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
-    """doc_id, the five base counts, base_failed, kept, bits (cross-entropy a byte; its power of two is the perplexity)."""
+def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 16 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
+    """The columns kept and, under names that begin with two underscores, the base counts, bits, failed and kept."""
     path = train(docs, text_col=text_col, lang_col=lang_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), language(lang_col).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    scores = cut(rows.mapInArrow(_score(path, block_bytes), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double").withColumn("base_failed", failed), "scores")
-    band = bands(scores, tail=tail, width=width)
-    joined = scores.join(band, "lang", "left")
-    kept = F.coalesce(~F.col("base_failed") & F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "bits")
+    rows = docs.select(*[F.col(c) for c in kept], language(lang_col).alias("__lang"), F.col(text_col).cast("string").cast("binary").alias("__text"))
+    schema = T.StructType([*rows.select(*kept, "__lang").schema.fields, *[T.StructField(f"__{c}", T.LongType()) for c in STATS], T.StructField("__bits", T.DoubleType())])
+    failed = F.expr(f"__n_words < {MIN_WORDS} OR 100 * __n_repeat_words > {MAX_REPEAT_PERCENT} * __n_words")
+    scores = cut(rows.mapInArrow(_score(path, kept, block_bytes), schema).withColumn("__failed", failed), "scores")
+    stays = F.coalesce(~F.col("__failed") & F.col("__bits").between(F.col("__low"), F.col("__high")), F.lit(False))
+    return scores.join(bands(scores, tail=tail, width=width), "__lang", "left").withColumn("__kept", stays)
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """doc_id, the five base counts, base_failed, kept, bits (cross-entropy a byte; its power of two is the perplexity)."""
+    found = judged(docs, [id_col], **options)
+    return found.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(f"__{c}").alias(c) for c in STATS], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__bits").alias("bits"))
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The rows that the rules keep, in the input's own columns."""
+    return judged(docs, docs.columns, **options).filter("__kept").select(*docs.columns)
