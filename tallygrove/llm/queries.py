@@ -46,3 +46,4 @@ def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+

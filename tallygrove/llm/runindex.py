@@ -257,3 +257,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     return rows.join(changed, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+def clean(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows with their repeats cut out of the text, in the input's own columns.
+
+    A character of which bytes were removed goes as a whole; a row that had words and has none left is dropped.
+    """
+    changed = changed_texts(docs, text_col=text_col, **options).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    joined = docs.join(changed, (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(1), text) == F.col("__h2")), "left")
+
+    @F.pandas_udf("string")
+    def decoded(kept):
+        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    cleaned = joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(decoded("__kept")))
+    return cleaned.filter(F.col("__kept").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -161,14 +161,32 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = 20_0
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(small, max_bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_limit: int = 20_000) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, max_bits: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes): doc_id and fp of every row; fp, rep (smallest doc_id) and root (one for each component) of every fp."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     pairs = links(classes.select("fp"), max_bits=max_bits, cell_limit=cell_limit)
     # components run over fingerprints; the smallest doc_id of each comes after
     joined = components(pairs).withColumnsRenamed({"id": "fp", "component": "root"})
-    rooted = cut(classes.join(joined, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    return prints, cut(classes.join(joined, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_limit: int = 20_000) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row."""
+    prints, rooted = _classes(docs, id_col, text_col, max_bits, cell_limit)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_limit: int = 20_000) -> DataFrame:
+    """One row of each component, that of the smallest doc_id (null only if there is no other), in the input's own columns.
+
+    Rows of that doc_id with equal texts are one; doc_ids are taken to name one text each, so rows of it with other texts stay too.
+    """
+    _, rooted = _classes(docs, id_col, text_col, max_bits, cell_limit)
+    least = rooted.groupBy("root").agg(F.min("rep").alias("id"))
+    first = least.select(F.col("id").alias("__id"))
+    own = F.col(id_col).cast("long")
+    rows = docs.join(first, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__h", F.xxhash64(text_col))
+    return rows.dropDuplicates([id_col, "__h"]).select(*docs.columns)
