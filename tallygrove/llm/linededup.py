@@ -56,7 +56,7 @@ def _halves(lines: DataFrame) -> DataFrame:
 def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, place) of every line itself (place -1) and of its variants with the character at place deleted.
 
-    Deleting any of a run of equal characters gives one variant; only the first of the run is listed.
+    In a run of equal characters every place is listed: a line that has another character in its midst shares just one of them.
     """
     cp, offsets = code_points(lines)
     lengths = np.diff(offsets)
@@ -66,8 +66,6 @@ def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(cp))
     of = np.repeat(np.arange(len(lines)), lengths)
     begin = offsets[of]
-    fresh = (at == begin) | (cp != np.concatenate([cp[:1], cp[:-1]]))
-    at, of, begin = at[fresh], of[fresh], begin[fresh]
     raw = (sums[at] - sums[begin]) * inverse[begin] + (sums[offsets[of + 1]] - sums[at + 1]) * inverse[begin + 1]
     keys = mix64(raw ^ mix64((lengths[of] - 1).astype(np.uint64)))
     return np.concatenate([np.arange(len(lines)), of]), np.concatenate([own, keys]).view(np.int64), np.concatenate([np.full(len(lines), -1), at - begin])
