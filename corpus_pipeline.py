@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import linededup, packing, quality, runindex, simhash
-from tallygrove.llm.common import cut, table
+from tallygrove.llm.common import cut, small_batches, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.keep(docs)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import re
 import tempfile
 import uuid
@@ -51,6 +53,22 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker outlives its task, and what it keeps would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of long texts by fewer rows, unless the session says otherwise already: both ends of the socket hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(rows))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     """Rows regrouped so that a block's text bytes stay near limit; a longer single row is a block of its own."""
     held: list[pa.RecordBatch] = []
@@ -69,6 +87,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             held.append(batch.slice(start, n - start))
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def emit(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

@@ -99,7 +99,7 @@ class Vocabulary:
         return rows
 
 
-def word_rows(texts: list[str], vocabulary: Vocabulary, chunk: int = 2_000_000):
+def word_rows(texts: list[str], vocabulary: Vocabulary, chunk: int = 1_000_000):
     """For slices of texts of about chunk characters: (first text, word rows in the vocabulary, words of each text).
 
     Words are hashed slice by slice, and the vocabulary is asked once for all of them.

@@ -166,7 +166,7 @@ def language(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("none"))
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 2 << 20, range_rows: int = 1_000_000) -> str:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 1 << 20, range_rows: int = 1_000_000) -> str:
     """Path of the model: sorted Parquet ranges of (h, p, weight); h is the hash of language, order and gram."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), language(lang_col).alias("lang"))
@@ -255,25 +255,30 @@ def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, n
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score(path: str, kept: list[str], block_bytes: int, chunk_bytes: int = 2 << 20):
+def _texts(block: pa.Table) -> list[bytes]:
+    return [t.encode() if isinstance(t, str) else t or b"" for t in block.column("text").to_pylist()]
+
+
+def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_bytes: int = 1 << 20):
     """A task that asks the model once for the distinct n-grams of a block, and then goes through the block's texts chunk by chunk.
 
-    Rows come with the columns kept, then their language and text.
+    Rows come with the columns kept, then their language, and then the text unless it is among those kept.
     """
+    names = [*("text" if c == text_col else f"k{i}" for i, c in enumerate(kept)), "lang", *(["text"] if text_col not in kept else [])]
 
     def run(batches):
-        renamed = (b.rename_columns([*(f"k{i}" for i in range(len(kept))), "lang", "text"]) for b in batches)
+        renamed = (b.rename_columns(names) for b in batches)
         for block in blocks(renamed, "text", block_bytes):
             chunks = list(blocks(block.to_batches(), "text", chunk_bytes))
             seen: dict[str, np.ndarray] = {}
             for chunk in chunks:
-                texts = [t or b"" for t in chunk.column("text").to_pylist()]
+                texts = _texts(chunk)
                 for lang, rows in _by_language(chunk):
                     found = np.unique(grams([texts[i] for i in rows])[0])
                     seen[lang] = np.union1d(seen[lang], found) if lang in seen else found
             log_p = log_probabilities(seen, path)
             for chunk in chunks:
-                texts = [t or b"" for t in chunk.column("text").to_pylist()]
+                texts = _texts(chunk)
                 bits = np.zeros(len(texts))
                 for lang, rows in _by_language(chunk):
                     g, which = grams([texts[i] for i in rows])
@@ -300,10 +305,11 @@ def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, s
 def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 16 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
     """The columns kept and, under names that begin with two underscores, the base counts, bits, failed and kept."""
     path = train(docs, text_col=text_col, lang_col=lang_col)
-    rows = docs.select(*[F.col(c) for c in kept], language(lang_col).alias("__lang"), F.col(text_col).cast("string").cast("binary").alias("__text"))
+    text = [] if text_col in kept else [F.col(text_col).cast("string").cast("binary").alias("__text")]
+    rows = docs.select(*[F.col(c) for c in kept], language(lang_col).alias("__lang"), *text)
     schema = T.StructType([*rows.select(*kept, "__lang").schema.fields, *[T.StructField(f"__{c}", T.LongType()) for c in STATS], T.StructField("__bits", T.DoubleType())])
     failed = F.expr(f"__n_words < {MIN_WORDS} OR 100 * __n_repeat_words > {MAX_REPEAT_PERCENT} * __n_words")
-    scores = cut(rows.mapInArrow(_score(path, kept, block_bytes), schema).withColumn("__failed", failed), "scores")
+    scores = cut(rows.mapInArrow(_score(path, kept, text_col, block_bytes), schema).withColumn("__failed", failed), "scores")
     stays = F.coalesce(~F.col("__failed") & F.col("__bits").between(F.col("__low"), F.col("__high")), F.lit(False))
     return scores.join(bands(scores, tail=tail, width=width), "__lang", "left").withColumn("__kept", stays)
 

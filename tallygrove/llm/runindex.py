@@ -201,7 +201,7 @@ def removed_spans(docs: DataFrame, *, text_col: str = "text", match: int = MATCH
     """(texts, spans): the distinct texts, and spans (array of struct s, e; overlaps not yet merged) of those that have any."""
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
     texts = distinct_texts(rows, match)
-    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, 4 * block_bytes), "key long, context long, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
+    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, block_bytes), "key long, context long, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
     contexts = found.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at"))
     contexts = cut(contexts, "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum(F.col("n") * F.col("at.times")).alias("occurrences")).filter("occurrences > 1")
