@@ -1,12 +1,17 @@
-"""Quality rules: word, symbol, line and repetition counts, and a byte n-gram perplexity that must lie in its language's band.
+"""Quality rules: word, symbol, line and repetition counts, and two perplexities, of bytes and of words, that must lie in their language's bands.
 
 The language model is interpolated modified Kneser-Ney of order 5 over bytes, one for each value of the language column. Every byte of every text
 is counted: tasks count their own partition's n-grams, Spark adds them up, and the counts of the lower orders, discounts, context weights
 and probabilities are joins and grouped sums. The model is written to the shared folder as arrays sorted by n-gram hash, cut in
 ranges; a scoring task looks its own distinct n-grams up range by range, so it holds one range and its own n-grams, never the whole model.
 
-The band: cross-entropies (bits a byte) of the documents that pass the base rules give each language's median and its distances to
-the lower and upper tail quantiles; a document stays within band_width of these distances from the median.
+Byte n-grams saturate and know the texts they score. The word model goes by the other documents alone: a word of a document has the bits
+-log2(df - 1/2), df being the number of documents of its language with the word (itself among them, so a word of its own has one bit), and a document
+the mean over its words, up to log2 of the language's documents, which moves all of its documents alike. Words are runs between blanks, as bytes;
+words of a single document are not in the model, since not to be found there says the same.
+
+The bands: cross-entropies (bits a byte, bits a word) of the documents that pass the base rules give each language's median and its distances to
+the lower and upper tail quantiles; a document stays within band_width of these distances from the median, in both.
 Perplexity is two to that power, so the band on one is a band on the other.
 
 Defined cases: null text has no word and fails the base rules; null language is a language of its own; a document without bytes has no
@@ -43,6 +48,12 @@ def _set(values: bytes) -> np.ndarray:
     return out
 
 
+def _word_spans(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of word bytes begin and end, if the last byte is none."""
+    edge = np.diff(word.astype(np.int8), prepend=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 # -- base counts -----------------------------------------------------------------------------------------------------------------------
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
@@ -52,8 +63,7 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # every text ends in a line break of its own
     of = np.repeat(np.arange(n), lengths)
     spans, word = SpanHash(buffer), ~_set(BLANKS)[buffer]
-    edge = np.diff(word.astype(np.int8), prepend=0)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin, end = _word_spans(word)
     owner = of[begin]
     out = {
         "n_words": np.bincount(owner, minlength=n),
@@ -98,6 +108,24 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[np.arange(len(of)) + of * (ORDER - 1)], of
 
 
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and which text it is of."""
+    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    begin, end = _word_spans(~_set(BLANKS)[buffer])
+    return SpanHash(buffer).of(begin, end).view(np.int64), np.searchsorted(np.cumsum(lengths), begin, side="right")
+
+
+def _documents_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and in how many of the texts each is."""
+    h, of = words(texts)
+    order = np.lexsort((of, h))
+    h, of = h[order], of[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return np.unique(h[first], return_counts=True)
+
+
 def _by_language(block: pa.Table):
     """(language, numbers of its rows) of a block."""
     codes, seen = pd.factorize(np.array(block.column("lang").to_pylist(), dtype=object))
@@ -105,7 +133,8 @@ def _by_language(block: pa.Table):
         yield lang, np.flatnonzero(codes == k)
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+WORDS = 0  # stands for the order of a word
+COUNTS = pa.schema([("order", pa.int32()), ("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +144,26 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(block_bytes: int, limit: int = 1_000_000):
-    """A task that counts its n-grams by language; it sums up what it holds beyond limit keys, and sends it on if that is still too much."""
+    """A task that counts its n-grams, and the documents of its words, by language; it sums up what it holds beyond limit keys, and sends it on if that is still too much."""
 
     def run(batches):
-        held: dict[str, list] = {}
+        held: dict[tuple[int, str], list] = {}
 
         def out():
-            for lang, parts in held.items():
+            for (order, lang), parts in held.items():
                 keys, n = _summed(parts)
-                yield emit({"lang": [lang] * len(keys), "gram": keys, "n": n}, COUNTS)
+                for i in range(0, len(keys), 100_000):
+                    some = keys[i : i + 100_000]
+                    yield emit({"order": np.full(len(some), order), "lang": [lang] * len(some), "gram": some, "n": n[i : i + 100_000]}, COUNTS)
 
         for block in blocks(batches, "text", block_bytes):
             texts = [t or b"" for t in block.column("text").to_pylist()]
             for lang, rows in _by_language(block):
-                part = np.unique(grams([texts[i] for i in rows])[0], return_counts=True)
-                held.setdefault(lang, []).append(part)
+                own = [texts[i] for i in rows]
+                held.setdefault((ORDER, lang), []).append(np.unique(grams(own)[0], return_counts=True))
+                held.setdefault((WORDS, lang), []).append(_documents_with(own))
             if sum(len(k) for parts in held.values() for k, _ in parts) > limit:
-                held = {lang: [_summed(parts)] for lang, parts in held.items()}
+                held = {key: [_summed(parts)] for key, parts in held.items()}
                 if sum(len(parts[0][0]) for parts in held.values()) > limit:
                     yield from out()
                     held = {}
@@ -167,11 +199,11 @@ def language(column: str):
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 1 << 20, range_rows: int = 1_000_000) -> str:
-    """Path of the model: sorted Parquet ranges of (h, p, weight); h is the hash of language, order and gram."""
+    """Path of the byte model: sorted Parquet ranges of (h, p, weight); h is the hash of language, order and gram. words_path() has the word model, whose p is df."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), language(lang_col).alias("lang"))
-    counts = cut(rows.mapInArrow(_count(block_bytes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    levels = [counts]
+    counts = cut(rows.mapInArrow(_count(block_bytes), "order int, lang string, gram long, n long").groupBy("order", "lang", "gram").agg(F.sum("n").alias("n")).filter(f"order <> {WORDS} OR n > 1"), "grams")
+    levels = [counts.filter(F.col("order") == ORDER).drop("order")]
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes that come before
         levels.insert(0, cut(levels[0].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams"))
     tables, lower = [], None
@@ -185,10 +217,16 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bl
         every = every.unionByName(t)
     model = cut(every.groupBy("order", "lang", "gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")).select(F.xxhash64("lang", "order", "gram").alias("h"), "p", "weight"), "model-rows")
     path = fresh_path(spark, "model")
-    model.repartitionByRange(max(1, -(-model.count() // range_rows)), "h").sortWithinPartitions("h").write.parquet(path)
+    known = counts.filter(F.col("order") == WORDS).select(F.xxhash64("lang", "order", "gram").alias("h"), F.col("n").cast("double").alias("p"), F.lit(None).cast("double").alias("weight"))
+    for rows, where in ((model, path), (known, words_path(path))):
+        rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), "h").sortWithinPartitions("h").write.parquet(where)
     return path
 
 
+def words_path(path: str) -> str:
+    return path + "-words"
+
+
 def lookup(path: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability and weight (not a number: none) of sorted, distinct hashes, from the model's ranges one batch of rows at a time."""
     p, weight = np.full(len(wanted), np.nan), np.full(len(wanted), np.nan)
@@ -252,7 +290,16 @@ def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, n
     return out
 
 
+def word_bits(words_of: dict[str, np.ndarray], path: str) -> dict[str, np.ndarray]:
+    """Bits of distinct words by the other documents that have them; path is that of train()."""
+    hashes = {lang: gram_hashes(lang, WORDS, w) for lang, w in words_of.items()}
+    wanted = np.unique(np.concatenate([*hashes.values(), np.zeros(0, dtype=np.int64)]))
+    df = np.nan_to_num(lookup(words_path(path), wanted)[0], nan=1.0)
+    return {lang: -np.log2(df[np.searchsorted(wanted, h)] - 0.5) for lang, h in hashes.items()}
+
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BITS = ("__bits", "__word_bits")
 
 
 def _texts(block: pa.Table) -> list[bytes]:
@@ -260,7 +307,7 @@ def _texts(block: pa.Table) -> list[bytes]:
 
 
 def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_bytes: int = 1 << 20):
-    """A task that asks the model once for the distinct n-grams of a block, and then goes through the block's texts chunk by chunk.
+    """A task that asks the models once for the distinct n-grams and words of a block, and then goes through the block's texts chunk by chunk.
 
     Rows come with the columns kept, then their language, and then the text unless it is among those kept.
     """
@@ -271,29 +318,35 @@ def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_by
         for block in blocks(renamed, "text", block_bytes):
             chunks = list(blocks(block.to_batches(), "text", chunk_bytes))
             seen: dict[str, np.ndarray] = {}
+            seen_words: dict[str, np.ndarray] = {}
             for chunk in chunks:
                 texts = _texts(chunk)
                 for lang, rows in _by_language(chunk):
-                    found = np.unique(grams([texts[i] for i in rows])[0])
-                    seen[lang] = np.union1d(seen[lang], found) if lang in seen else found
-            log_p = log_probabilities(seen, path)
+                    own = [texts[i] for i in rows]
+                    for held, of_texts in ((seen, grams), (seen_words, words)):
+                        found = np.unique(of_texts(own)[0])
+                        held[lang] = np.union1d(held[lang], found) if lang in held else found
+            log_p, of_word = log_probabilities(seen, path), word_bits(seen_words, path)
             for chunk in chunks:
                 texts = _texts(chunk)
-                bits = np.zeros(len(texts))
+                bits, by_words = np.zeros(len(texts)), np.zeros(len(texts))
                 for lang, rows in _by_language(chunk):
+                    w, which = words([texts[i] for i in rows])
+                    by_words[rows] = np.bincount(which, weights=of_word[lang][np.searchsorted(seen_words[lang], w)], minlength=len(rows))
                     g, which = grams([texts[i] for i in rows])
                     bits[rows] = -np.bincount(which, weights=log_p[lang][np.searchsorted(seen[lang], g)], minlength=len(rows))
                 mean = [b / len(t) if t else None for b, t in zip(bits.tolist(), texts, strict=True)]
                 counts = base_counts(texts)
-                columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__lang", *(f"__{c}" for c in STATS), "__bits"])
+                by_word = [b / n if n else None for b, n in zip(by_words.tolist(), counts["n_words"].tolist(), strict=True)]
+                columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64()), pa.array(by_word, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__lang", *(f"__{c}" for c in STATS), *BITS])
 
     return run
 
 
-def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, step: float = 0.001) -> DataFrame:
+def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, step: float = 0.001, bits: str = "__bits") -> DataFrame:
     """__lang, __low, __high: bits between which documents stay, from a histogram of the scores in bins of step (exact up to step)."""
-    bins = scores.filter("__bits IS NOT NULL AND NOT __failed").groupBy("__lang", F.floor(F.col("__bits") / step).alias("bin")).agg(F.count("*").alias("n"))
+    bins = scores.filter(F.col(bits).isNotNull() & ~F.col("__failed")).groupBy("__lang", F.floor(F.col(bits) / step).alias("bin")).agg(F.count("*").alias("n"))
     run = W.partitionBy("__lang").orderBy("bin")
     ranked = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy("__lang")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * step
@@ -307,11 +360,15 @@ def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col
     path = train(docs, text_col=text_col, lang_col=lang_col)
     text = [] if text_col in kept else [F.col(text_col).cast("string").cast("binary").alias("__text")]
     rows = docs.select(*[F.col(c) for c in kept], language(lang_col).alias("__lang"), *text)
-    schema = T.StructType([*rows.select(*kept, "__lang").schema.fields, *[T.StructField(f"__{c}", T.LongType()) for c in STATS], T.StructField("__bits", T.DoubleType())])
+    schema = T.StructType([*rows.select(*kept, "__lang").schema.fields, *[T.StructField(f"__{c}", T.LongType()) for c in STATS], *[T.StructField(c, T.DoubleType()) for c in BITS]])
     failed = F.expr(f"__n_words < {MIN_WORDS} OR 100 * __n_repeat_words > {MAX_REPEAT_PERCENT} * __n_words")
     scores = cut(rows.mapInArrow(_score(path, kept, text_col, block_bytes), schema).withColumn("__failed", failed), "scores")
-    stays = F.coalesce(~F.col("__failed") & F.col("__bits").between(F.col("__low"), F.col("__high")), F.lit(False))
-    return scores.join(bands(scores, tail=tail, width=width), "__lang", "left").withColumn("__kept", stays)
+    stays, found = ~F.col("__failed"), scores
+    for c in BITS:
+        low, high = f"{c}_low", f"{c}_high"
+        found = found.join(bands(scores, tail=tail, width=width, bits=c).withColumnsRenamed({"__low": low, "__high": high}), "__lang", "left")
+        stays = stays & F.col(c).between(F.col(low), F.col(high))
+    return found.withColumn("__kept", F.coalesce(stays, F.lit(False)))
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

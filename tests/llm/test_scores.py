@@ -98,3 +98,21 @@ def test_clean_prose_stays_and_junk_goes(spark, sf):
     rows = quality.score(docs).join(labels, "doc_id").toPandas()
     good, long = rows.quality == 1, rows.n_words >= 60
     assert rows[good & long].kept.mean() > 0.97 and rows[~good].kept.mean() < 0.6
+
+
+def test_word_bits_are_of_the_other_documents(spark):
+    from tests.llm.conftest import documents
+
+    path = quality.train(documents(spark, ["red red blue", "blue\tgreen", "blue red", None, ""]))
+    own = quality.words([b"red blue green"])[0]
+    order = np.argsort(own)
+    assert np.allclose(quality.word_bits({"=en": own[order]}, path)["=en"], -np.log2(np.array([2, 3, 1]) - 0.5)[order])
+
+
+def test_noise_on_words_is_outside_the_bands(spark, sf):
+    """Noise in the words of labelled junk, which no base rule finds."""
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents")
+    labels = table(spark, sf.replace("0.001", "0.01"), "labels")
+    rows = quality.score(docs).join(labels, "doc_id").toPandas()
+    junk, clean = rows[(rows.quality == 0) & ~rows.base_failed], rows[(rows.quality == 1) & ~rows.base_failed]
+    assert junk.kept.mean() < 0.3 and clean.kept.mean() > 0.98
