@@ -121,3 +121,15 @@ def test_streams(spark, tmp_path):
 @pytest.mark.parametrize("module", ["operators.ordering", "operators.batches"])
 def test_imports(module):
     __import__(f"tallygrove.{module}")
+
+
+def test_stops_see_every_event(spark):
+    """The first page without anything new stands after page 60."""
+    from tallygrove.plans import queries
+
+    ids = [*range(1, 1001, 2)] + [1, 3, 5, 7, 9] * 3 + [2001, 2003, 2005, 2007, 2009]
+    events = spark.createDataFrame([(i, "view", u) for i, u in enumerate(ids)], "event_id long, event_type string, user_id long")
+    rows, _ = queries._sightings(events)
+    assert rows.count() == len(ids) and rows.agg({"page": "max"}).first()[0] == 103
+    facts = queries.cutoff.page_facts(rows, rows.filter("false").select("source", "id"), source="source", page="page", key="id")
+    assert [r["last_page"] for r in queries.cutoff.stop_after_barren(facts, source="source", page="page", short=3).collect()] == [101]
