@@ -361,7 +361,7 @@ def subset_test(spark, d):
 @query
 def text_keys(spark, d):
     (docs,) = tables(spark, d, "documents")
-    return docs.select("doc_id", text.label_key(F.substring("text", 1, 80)).alias("label"), text.company_key(F.substring("text", 1, 80)).alias("company"), text.title_key(F.substring("text", 1, 80)).alias("title"))
+    return docs.select("doc_id", text.label_key("text").alias("label"), text.company_key("text").alias("company"), text.title_key("text").alias("title"))
 
 
 @query

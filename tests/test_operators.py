@@ -133,3 +133,12 @@ def test_stops_see_every_event(spark):
     assert rows.count() == len(ids) and rows.agg({"page": "max"}).first()[0] == 103
     facts = queries.cutoff.page_facts(rows, rows.filter("false").select("source", "id"), source="source", page="page", key="id")
     assert [r["last_page"] for r in queries.cutoff.stop_after_barren(facts, source="source", page="page", short=3).collect()] == [101]
+
+
+def test_text_keys_take_whole_texts(spark, tmp_path):
+    from tallygrove.plans import queries
+
+    rows = [(1, "Same start " * 10 + "one"), (2, "Same start " * 10 + "two"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: tuple(r)[1:] for r in queries.text_keys(spark, str(tmp_path)).collect()}
+    assert found == {1: ("samestart" * 10 + "one",) * 3, 2: ("samestart" * 10 + "two",) * 3, 3: (None, "", "")}
