@@ -8,9 +8,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -28,22 +29,44 @@ def _own_dir(application: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or (only where that is unset, as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
     uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     return re.sub("^file:/+", "file:///", uri)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/tables-of-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; DataFrames that the operators returned cannot be read after it, what was written from them can."""
+    discard(spark, own_folder(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Remove tables of cut() that nothing reads any more."""
+    for t in tables:
+        discard(t.sparkSession, t.cut_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -114,25 +137,112 @@ def spread() -> np.ndarray:
     return mix64(np.arange(0x110000))
 
 
+PRIME = np.uint64((1 << 31) - 1)
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME: its upper bits count like lower ones, as 2^31 is 1 there."""
+    for _ in range(3):
+        x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x == PRIME, np.uint64(0), x)
+
+
+def _powers_modulo(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1 modulo PRIME, by doubling."""
+    out = np.ones(n, dtype=np.uint64)
+    known = 1
+    while known < n:
+        more = min(known, n - known)
+        out[known : known + more] = _modulo(out[:more] * np.uint64(pow(base, known, int(PRIME))))
+        known += more
+    return out
+
+
 class SpanHash:
-    """64-bit polynomial hashes of any span of a symbol array, from one running sum; the base is odd and so invertible."""
+    """64-bit hashes of any span of a symbol array, from running sums of two polynomials: one modulo 2^64 (its base is odd and so invertible) and,
+    since some texts collide there for every base, one modulo a prime. For grouping: span_classes() compares what it takes for equal."""
 
-    BASE = 0x9E3779B97F4A7C15 | 1
+    BASE, SMALL = 0x9E3779B97F4A7C15 | 1, 1_350_490_027
     _powers = np.ones(1, dtype=np.uint64)
-    _inverse = np.ones(1, dtype=np.uint64)
+    _inverse, _small, _small_inverse = _powers, _powers, _powers
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        """Make the tables of powers n long."""
+        if len(cls._powers) >= n:
+            return
+        size = max(n, 1 << 16)
+        for name, base in (("_powers", cls.BASE), ("_inverse", pow(cls.BASE, -1, 1 << 64))):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            setattr(cls, name, np.multiply.accumulate(p))
+        cls._small = _powers_modulo(cls.SMALL, size)
+        cls._small_inverse = _powers_modulo(pow(cls.SMALL, -1, int(PRIME)), size)
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols) + 1
-        if len(SpanHash._powers) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("_powers", self.BASE), ("_inverse", pow(self.BASE, -1, 1 << 64))):
-                p = np.full(size, base, dtype=np.uint64)
-                p[0] = 1
-                setattr(SpanHash, name, np.multiply.accumulate(p))
-        self.sums = np.zeros(n, dtype=np.uint64)
+        self.reach(n)
+        self.sums, self.symbols = np.zeros(n, dtype=np.uint64), symbols
         np.cumsum(spread()[symbols] * SpanHash._powers[: n - 1], out=self.sums[1:])
 
+    @cached_property
+    def small(self) -> np.ndarray:
+        out = np.zeros(len(self.sums), dtype=np.uint64)
+        np.cumsum(_modulo((spread()[self.symbols] >> np.uint64(34)) * SpanHash._small[: len(out) - 1]), out=out[1:])
+        return out
+
+    def rough(self, length: int) -> np.ndarray:
+        """Hashes, by the first polynomial alone, of the spans of one length: to choose by, not to tell spans apart."""
+        n = len(self.sums) - length
+        return mix64((self.sums[length:] - self.sums[:n]) * SpanHash._inverse[:n])
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of [start, end) spans; equal spans hash alike, and the length goes in too."""
-        raw = (self.sums[ends] - self.sums[starts]) * SpanHash._inverse[starts]
-        return mix64(raw ^ mix64((ends - starts).astype(np.uint64)))
+        return self.joined([(starts, ends, 0)], ends - starts)
+
+    def joined(self, spans: list[tuple[np.ndarray, np.ndarray, int]], lengths: np.ndarray, extra: tuple = ()) -> np.ndarray:
+        """Hashes of spans put together: each (start, end, place at which its first symbol then stands), and single symbols extra (code point, place)."""
+        raw = small = np.zeros(1, dtype=np.uint64)
+        for start, end, place in spans:
+            raw = raw + (self.sums[end] - self.sums[start]) * SpanHash._inverse[start] * SpanHash._powers[place]
+            moved = _modulo(_modulo(self.small[end] - self.small[start]) * SpanHash._small_inverse[start])
+            small = small + (moved if isinstance(place, int) and place == 0 else _modulo(moved * SpanHash._small[place]))
+        for symbol, place in extra:
+            raw = raw + spread()[symbol] * SpanHash._powers[place]
+            small = small + _modulo((spread()[symbol] >> np.uint64(34)) * SpanHash._small[place])
+        return mix64(raw ^ mix64(_modulo(small) << np.uint64(32) ^ np.asarray(lengths).astype(np.uint64)))
+
+
+def same_spans(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, chunk: int = 1 << 20) -> bool:
+    """Whether the spans that begin at a and at b, of these lengths, have equal symbols, pair by pair."""
+    total = np.cumsum(lengths)
+    i = 0
+    while i < len(lengths):
+        done = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + chunk, side="right")))
+        n = lengths[i:j]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not (symbols[np.repeat(a[i:j], n) + within] == symbols[np.repeat(b[i:j], n) + within]).all():
+            return False
+        i = j
+    return True
+
+
+def first_places(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes occurs first."""
+    first = np.zeros(n, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
+
+
+def span_classes(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the class of equal spans that each span is in, a span of each class); exact, as members are compared with their class."""
+    codes, seen = pd.factorize(SpanHash(symbols).of(begin, end))
+    first, lengths = first_places(codes, len(seen)), end - begin
+    again = np.flatnonzero(first[codes] != np.arange(len(codes)))
+    other = first[codes[again]]
+    if (lengths[again] != lengths[other]).any() or not same_spans(symbols, begin[again], begin[other], lengths[again]):
+        spans = [symbols[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        codes, seen = pd.factorize(np.array([*spans, None], dtype=object)[:-1])
+        first = first_places(codes, len(seen))
+    return codes, first

@@ -1,4 +1,8 @@
-"""Byte-level BPE pre-tokens of many texts at once, in numpy: the split of public_tokenizers.PATTERN."""
+"""Byte-level BPE pre-tokens of many texts at once, in numpy: the split of public_tokenizers.PATTERN.
+
+Defined cases: an empty text has no pre-token, and no texts give none; a text of one unbroken run is one pre-token, however long; equal
+texts get equal rows. Texts are str, so nulls are the caller's to replace.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,9 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 
-from tallygrove.llm.common import SpanHash
+from tallygrove.llm.common import first_places, span_classes
 
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 
@@ -66,8 +71,8 @@ def starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers for distinct pre-tokens, kept for later blocks. store.add(words) turns new words into whatever the caller keeps by number;
-    beyond limit words both start anew."""
+    """Numbers for distinct pre-tokens by their XXH64, kept for later blocks. store.add(words) turns new words into whatever the caller keeps by
+    number; beyond limit words both start anew."""
 
     def __init__(self, store, limit: int = 400_000):
         self.store, self.limit = store, limit
@@ -76,66 +81,60 @@ class Vocabulary:
     def clear(self) -> None:
         self.store.clear()
         self.size = 0
-        self.hashes, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-    def lookup(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Numbers of distinct hashes; word(k) is the text of the k-th."""
+    def lookup(self, keys: np.ndarray, word) -> np.ndarray:
+        """Numbers of distinct keys; word(k) is the text of the k-th."""
         if self.size > self.limit:
             self.clear()
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), dtype=bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == hashes[inside]
-        rows = np.empty(len(hashes), dtype=np.int64)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        rows = np.empty(len(keys), dtype=np.int64)
         rows[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
             self.store.add([word(k) for k in new.tolist()])
             rows[new] = self.size + np.arange(len(new))
             self.size += len(new)
-            merged = np.concatenate([self.hashes, hashes[new]])
+            merged = np.concatenate([self.keys, keys[new]])
             order = np.argsort(merged)
-            self.hashes, self.rows = merged[order], np.concatenate([self.rows, rows[new]])[order]
+            self.keys, self.rows = merged[order], np.concatenate([self.rows, rows[new]])[order]
         return rows
 
 
 def word_rows(texts: list[str], vocabulary: Vocabulary, chunk: int = 1_000_000):
     """For slices of texts of about chunk characters: (first text, word rows in the vocabulary, words of each text).
 
-    Words are hashed slice by slice, and the vocabulary is asked once for all of them.
+    Equal words of a slice are found by comparing them; those of different slices and blocks go by XXH64. The vocabulary is asked once for all slices.
     """
-    parts, sizes = [], []
-    start = size = 0
+    parts, start, size = [], 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > chunk:
             parts.append((start, i))
             start, size = i, 0
         size += len(t)
     parts.append((start, len(texts)))
-    hashes, where = [], []
+    codes, words, sizes = [], [], []
     for a, b in parts:
         cp, offsets = code_points(texts[a:b])
         begin = starts(cp, offsets)
-        hashes.append(SpanHash(cp).of(begin, np.append(begin[1:], len(cp))))
-        where.append(np.append(begin, len(cp)).astype(np.int32))
+        end = np.append(begin[1:], len(cp))[: len(begin)]
+        own, first = span_classes(cp, begin, end)
+        joined = "".join(texts[a:b])
+        words += [joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        codes.append((own.astype(np.int32), len(first)))
         sizes.append(np.diff(np.searchsorted(begin, offsets)))
-    codes, seen = pd.factorize(np.concatenate(hashes))
-    del hashes
-    first = np.zeros(len(seen), dtype=np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    counts = np.cumsum([0, *(len(w) - 1 for w in where)])
-    part = np.searchsorted(counts, first, side="right") - 1
-    joined = ["".join(texts[a:b]) for a, b in parts]
-
-    def word(k: int) -> str:
-        p = part[k]
-        at = first[k] - counts[p]
-        return joined[p][where[p][at] : where[p][at + 1]]
-
-    rows = vocabulary.lookup(seen, word)
-    del joined
-    for p, (a, _) in enumerate(parts):
-        yield a, rows[codes[counts[p] : counts[p + 1]]], sizes[p]
+    digest = xxhash.xxh64_intdigest
+    every, seen = pd.factorize(np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words)))
+    first = first_places(every, len(seen)).tolist()
+    rows = vocabulary.lookup(seen, lambda k: words[first[k]])[every]
+    del words
+    at = 0
+    for (a, _), (own, n), size in zip(parts, codes, sizes, strict=True):
+        yield a, rows[at : at + n][own], size
+        at += n
 
 
 def gathered(numbers: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

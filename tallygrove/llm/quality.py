@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import SpanHash, blocks, cut, emit, fresh_path, mix64
+from tallygrove.llm.common import SpanHash, blocks, cut, emit, first_places, fresh_path, span_classes
 
 ORDER = 5
 SYMBOLS = b"#*$%&|<>"
@@ -62,7 +62,7 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     ends = np.cumsum(lengths)
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # every text ends in a line break of its own
     of = np.repeat(np.arange(n), lengths)
-    spans, word = SpanHash(buffer), ~_set(BLANKS)[buffer]
+    word = ~_set(BLANKS)[buffer]
     begin, end = _word_spans(word)
     owner = of[begin]
     out = {
@@ -74,23 +74,23 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     start = np.concatenate([[0], stop[:-1] + 1])
     worded = np.searchsorted(begin, stop) > np.searchsorted(begin, start)
     start, stop = start[worded], stop[worded]
-    line_owner = of[start]
-    codes, seen = pd.factorize(mix64(spans.of(start, stop) ^ mix64(line_owner)))
-    first = np.zeros(len(codes), dtype=bool)
-    where = np.zeros(len(seen), dtype=np.int64)
-    where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    first[where] = True
-    out["n_dup_lines"] = np.bincount(line_owner[~first], minlength=n)
-    h = spans.of(begin, end)
-    again = np.zeros(len(h) + 2, dtype=bool)
-    if len(h) >= 3:
+    line_owner, (codes, seen) = of[start], span_classes(buffer, start, stop)
+    codes, seen = pd.factorize(codes * np.int64(n) + line_owner)
+    later = np.ones(len(codes), dtype=bool)
+    later[first_places(codes, len(seen))] = False
+    out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n)
+    codes, seen = span_classes(buffer, begin, end)
+    again = np.zeros(len(codes) + 2, dtype=bool)
+    if len(codes) >= 3:
         same = owner[2:] == owner[:-2]
-        window = mix64(mix64(mix64(h[:-2] ^ mix64(owner[:-2])) ^ h[1:-1]) ^ h[2:])[same]
-        codes, seen = pd.factorize(window)
-        twice = np.flatnonzero(same)[(np.bincount(codes, minlength=len(seen)) > 1)[codes]]
+        window = codes[:-2]
+        for more, size in ((codes[1:-1], len(seen)), (codes[2:], len(seen)), (owner[2:], n)):  # numbers of pairs, of triples, and of a text's triples
+            window = pd.factorize(window * np.int64(size) + more)[0]
+        window = window[same]
+        twice = np.flatnonzero(same)[(np.bincount(window) > 1)[window]] if len(window) else np.zeros(0, dtype=np.int64)
         for i in range(3):
             again[twice + i] = True
-    out["n_repeat_words"] = np.bincount(owner[again[: len(h)]], minlength=n)
+    out["n_repeat_words"] = np.bincount(owner[again[: len(owner)]], minlength=n)
     return out
 
 

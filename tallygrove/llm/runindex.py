@@ -1,17 +1,19 @@
 """Long repeats of a corpus by run-length index: which bytes lie in a match-byte string that also starts somewhere else.
 
-1. Distinct texts are written once, bucketed by their hash, so the two later joins with them move no text.
+1. Distinct texts are written once, with the number of their copies, bucketed by their hash, so the two later joins with them move no text.
 2. Every match-byte window holds an anchor: the least hash of its anchor-byte strings, leftmost among equals. Equal windows have equal
    anchors, so all occurrences of a repeat meet under the anchor's hash. A window that has the anchor lies inside a fixed context of it;
    contexts of equal anchors that overlap in a text are taken as one.
-3. Equal contexts of an anchor are counted with a partial aggregate and kept once. Anchors that occur once are dropped; a context that
-   occurs twice or more repeats as a whole.
-4. The distinct contexts of an anchor are indexed: suffix order, Burrows-Wheeler transform, its runs, and samples of the text positions
-   at run ends with their common prefixes. Inside a run the longest match of a position is one less than that of the position before
+3. Equal contexts of an anchor are counted with a partial aggregate and kept once, with their number. Anchors that occur once are dropped.
+4. The contexts of an anchor are indexed: suffix order, Burrows-Wheeler transform, its runs, and samples of the text positions
+   at run ends with their common prefixes; only runs and samples are kept. Copies of a context lengthen runs and add none: they stand as a number
+   at its first position, where a separator makes a run end. Inside a run the longest match of a position is one less than that of the position before
    it, so the matching statistics of the whole text are streamed from the samples. Starts that match match bytes or more are marked.
    An anchor with more than group_limit contexts is dealt out as pairs of salted parts, which together hold every pair of contexts.
 5. Marks go back to all occurrences of their context, and each distinct text is cut once.
 
+Anchors are only told apart by what the index then compares; contexts go by the XXH64 of their bytes. Texts of any length are read tile by tile.
+
 Defined cases: null texts are empty; texts shorter than match are left as they are; exact copies of a text of match bytes or more are
 removed as a whole, all of them; repeated rows are copies; an empty table gives no rows; other columns are not looked at.
 """
@@ -23,50 +25,59 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, emit, fresh_path
+from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, fresh_path
 
 MATCH, ANCHOR = 400, 128
-POSITION = np.uint64(28)  # bits of an anchor's place in its block; the others are of its hash
+TILE = 1 << 18
 ANCHORS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("row", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
 MARKS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 # -- anchors ---------------------------------------------------------------------------------------------------------------------------
-def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """Anchors of all windows: key (hash), context (hash of text[a:b]), row (which text), a, b, times (anchors taken as one)."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    buffer = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    m = len(buffer) - anchor + 1
-    width = match - anchor + 1
-    nothing = {f.name: np.zeros(0, dtype=f.type.to_pandas_dtype()) for f in ANCHORS}
-    if m < width:
-        return nothing
-    spans, at = SpanHash(buffer), np.arange(m)
-    hashes = spans.of(at, at + anchor)
-    ranked = (hashes >> POSITION << POSITION) | at.astype(np.uint64)
+def _anchors_of_tile(buffer: np.ndarray, ends: np.ndarray, start: int, tile: int, match: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors of the windows that begin in a tile and end in the text they begin in."""
+    stop = min(start + tile, len(buffer) - match + 1)
+    width, windows = match - anchor + 1, stop - start
+    hashes = SpanHash(buffer[start : stop + match - 1]).rough(anchor)
+    m, bits = len(hashes), np.uint64(int(len(hashes)).bit_length())
+    ranked = (hashes >> bits << bits) | np.arange(m, dtype=np.uint64)
     tiles = np.concatenate([ranked, np.full(-m % width, ~np.uint64(0))]).reshape(-1, width)
     before = np.minimum.accumulate(tiles, axis=1).ravel()
     after = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(after[: m - width + 1], before[width - 1 : m])
-    row = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
-    inside = np.arange(len(least)) + match <= ends[row]
-    p = np.unique((least[inside] & ((np.uint64(1) << POSITION) - np.uint64(1))).astype(np.int64))
+    least = np.minimum(after[:windows], before[width - 1 : width - 1 + windows])
+    i, j = np.searchsorted(ends, [start, stop - 1], side="right")
+    borders = np.concatenate([[start], np.minimum(ends[i : j + 1], stop)])
+    inside = np.arange(start, stop) + match <= np.repeat(ends[i : j + 1], np.diff(borders))
+    p = np.unique((least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+    return p + start, hashes[p].view(np.int64)
+
+
+def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile: int = TILE) -> dict[str, np.ndarray]:
+    """Anchors of all windows: key (hash), context (XXH64 of text[a:b]), row (which text), a, b, times (anchors taken as one)."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    data = b"".join(texts)
+    buffer = np.frombuffer(data, dtype=np.uint8)
+    found = [_anchors_of_tile(buffer, ends, start, tile, match, anchor) for start in range(0, len(buffer) - match + 1, tile)]
+    p, where = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in found)]), return_index=True)
     if not len(p):
-        return nothing
+        return {f.name: np.zeros(0, dtype=f.type.to_pandas_dtype()) for f in ANCHORS}
+    key = np.concatenate([k for _, k in found])[where]
     row = np.searchsorted(ends, p, side="right")
     begin = ends[row] - lengths[row]
     a, b = np.maximum(p - (match - anchor), begin), np.minimum(p + match, ends[row])
     # contexts of one anchor that overlap in a text become one, lest the index take a string for a copy of itself
-    key = hashes[p].view(np.int64)
     by = np.lexsort((p, key, row))
     key, row, begin, a, b = key[by], row[by], begin[by], a[by], b[by]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (a[1:] >= b[:-1])]))
     key, row, begin, a, b = key[first], row[first], begin[first], a[first], b[np.append(first[1:], len(b)) - 1]
-    return {"key": key, "context": spans.of(a, b).view(np.int64), "row": row, "a": a - begin, "b": b - begin, "times": np.diff(np.append(first, len(p)))}
+    view, digest = memoryview(data), xxhash.xxh64_intdigest
+    context = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), dtype=np.uint64, count=len(a))
+    return {"key": key, "context": context.view(np.int64), "row": row, "a": a - begin, "b": b - begin, "times": np.diff(np.append(first, len(p)))}
 
 
 def _find_anchors(match: int, anchor: int, block_bytes: int):
@@ -85,61 +96,74 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first depth symbols at least (symbols below 512), by prefix doubling over those still tied."""
     n = len(symbols)
     packed = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, dtype=np.int64)])
     for i in range(7):
-        packed = packed << 9 | padded[i : i + n]
-    order = np.argsort(packed)
-    rank, known = np.zeros(n + 1, dtype=np.int64), 7  # rank of a suffix: where its class of equals begins in the order, plus one; 0 is past the end
-    new = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    tied = ~(new & np.append(new[1:], True))
-    place = np.flatnonzero(tied)
+        packed <<= 9
+        packed[: n - i] |= symbols[i:]
+    order = np.argsort(packed).astype(np.int32)
+    rank, known = np.zeros(n + 1, dtype=np.int32), 7  # rank of a suffix: where its class of equals begins in the order, plus one; 0 is past the end
+    packed = packed[order]
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    del packed
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0))) + 1
+    place = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     while len(place) and known < depth:
         who = order[place]
-        first = rank[who]
-        key = first << 32 | rank[np.minimum(who + known, n)]
+        key = rank[who].astype(np.int64) << 32
+        key |= rank[np.minimum(who + known, n)]
         by = np.argsort(key)
         who, key = who[by], key[by]
+        del by
         order[place] = who
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[who] = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))] + 1
+        del key
+        rank[who] = place[np.maximum.accumulate(np.where(new, np.arange(len(place), dtype=np.int32), np.int32(0)))] + 1
         place = place[~(new & np.append(new[1:], True))]
         known *= 2
     return order
 
 
-def common_prefix(symbols: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+def common_prefix(symbols: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int, chunk: int = 1 << 14) -> np.ndarray:
     """Length of the common prefix of suffixes i and j, up to limit, by blocks of 32 symbols."""
-    out = np.zeros(len(i), dtype=np.int64)
+    out = np.zeros(len(i), dtype=np.int32)
     padded = np.concatenate([symbols, np.zeros(limit + 32, dtype=symbols.dtype)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 32)
-    live = np.arange(len(i))
-    while len(live):
-        at = out[live]
-        same = words[i[live] + at] == words[j[live] + at]
-        length = np.where(same.all(axis=1), 32, same.argmin(axis=1))
-        out[live] += length
-        live = live[(length == 32) & (out[live] < limit)]
+    for c in range(0, len(i), chunk):
+        live = np.arange(c, min(c + chunk, len(i)))
+        while len(live):
+            at = out[live]
+            same = words[i[live] + at] == words[j[live] + at]
+            length = np.where(same.all(axis=1), 32, same.argmin(axis=1))
+            out[live] += length.astype(np.int32)
+            live = live[(length == 32) & (out[live] < limit)]
     return np.minimum(out, limit)
 
 
-def matching_statistics(symbols: np.ndarray, limit: int) -> np.ndarray:
-    """For every position the longest match of its suffix that starts elsewhere, up to limit, streamed from the samples at run ends."""
-    n = len(symbols)
-    order = suffix_order(symbols, limit)
-    transform = symbols[order - 1]  # of position 0 the last symbol, a separator
-    cuts = np.flatnonzero((transform[1:] != transform[:-1]) | (transform[1:] == 0)) + 1  # a run ends before each; a separator is its own run
-    ends, heads = order[cuts - 1], order[cuts]
-    common = common_prefix(symbols, ends, heads, limit)
-    sampled = np.zeros(n, dtype=np.int64)
-    np.maximum.at(sampled, ends, common)
-    np.maximum.at(sampled, heads, common)
-    at = np.arange(n)
-    return np.maximum.accumulate(sampled + at) - at
-
-
-def repeats(contexts: list[bytes], groups: np.ndarray, match: int = MATCH) -> list[tuple[int, int, int]]:
-    """(context, s, e) of the maximal runs of bytes in match-byte strings that occur twice or more within a context's group."""
+class RunIndex:
+    """The runs of a text's Burrows-Wheeler transform (symbol and length), the text positions at both sides of every border between two runs, and how far
+    the suffixes there agree. A context that stands for several copies has a border with its copy at its first position."""
+
+    def __init__(self, symbols: np.ndarray, limit: int, copied: np.ndarray, lengths: np.ndarray):
+        """copied: first positions of contexts with copies; lengths: of these contexts."""
+        order = suffix_order(symbols, limit)
+        transform = symbols[order - 1]  # of position 0 the last symbol, a separator
+        cuts = np.flatnonzero((transform[1:] != transform[:-1]) | (transform[1:] == 0)) + 1  # a run ends before each; a separator is its own run
+        self.symbols, self.lengths, self.size = transform[np.append(0, cuts)], np.diff(np.concatenate([[0], cuts, [len(symbols)]])), len(symbols)
+        ends, heads = order[cuts - 1], order[cuts]
+        del order, transform
+        common = common_prefix(symbols, ends, heads, limit)
+        self.samples, self.common = np.concatenate([ends, heads, copied]), np.concatenate([common, common, lengths])
+
+    def matching_statistics(self) -> np.ndarray:
+        """For every position the longest match of its suffix that starts elsewhere, streamed from the samples."""
+        at = np.arange(self.size)
+        reach = np.zeros(self.size, dtype=np.int64)
+        np.maximum.at(reach, self.samples, self.common)
+        reach += at
+        return np.maximum.accumulate(reach, out=reach) - at
+
+
+def repeats(contexts: list[bytes], groups: np.ndarray, match: int = MATCH, copies: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(context, s, e) of the maximal runs of bytes in match-byte strings that occur twice or more within a context's group; copies of each context, 1 if not given."""
     lengths = np.array([len(c) for c in contexts], dtype=np.int64)
     stops = np.cumsum(lengths + 1)
     symbols = np.zeros(int(stops[-1]), dtype=np.int16)
@@ -147,9 +171,12 @@ def repeats(contexts: list[bytes], groups: np.ndarray, match: int = MATCH) -> li
     inside[stops - 1] = False
     symbols[inside] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int16) + 1
     found = np.zeros(len(symbols), dtype=bool)
+    several = np.zeros(len(contexts), dtype=bool) if copies is None else copies > 1
     for g in np.split(np.arange(len(contexts)), np.flatnonzero(groups[1:] != groups[:-1]) + 1):
         a, b = int(stops[g[0]] - lengths[g[0]] - 1), int(stops[g[-1]])
-        found[a:b] = matching_statistics(symbols[a:b], int(lengths[g].max()) + 1) >= match
+        own = g[several[g]]
+        index = RunIndex(symbols[a:b], int(lengths[g].max()) + 1, stops[own] - lengths[own] - 1 - a, lengths[own])
+        found[a:b] = index.matching_statistics() >= match
     of = np.repeat(np.arange(len(contexts)), lengths + 1)
     found &= np.arange(len(symbols)) + match <= stops[of] - 1
     starts = np.flatnonzero(found)
@@ -163,11 +190,11 @@ def repeats(contexts: list[bytes], groups: np.ndarray, match: int = MATCH) -> li
 
 
 def _index(match: int, block_bytes: int):
-    """A task over rows (part, key, context, piece) sorted by part: groups of equal part are indexed, several to a call."""
+    """A task over rows (part, key, context, n, piece) sorted by part: groups of equal part are indexed, several to a call."""
 
     def marks(rows: pa.Table):
         part = rows.column("part").to_numpy()
-        found = repeats(rows.column("piece").to_pylist(), part, match)
+        found = repeats(rows.column("piece").to_pylist(), part, match, rows.column("n").to_numpy())
         if found:
             which, s, e = map(np.array, zip(*found, strict=True))
             yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").to_numpy()[which], "s": s, "e": e}, MARKS)
@@ -188,33 +215,37 @@ def _index(match: int, block_bytes: int):
 
 
 # -- Spark -----------------------------------------------------------------------------------------------------------------------------
-def distinct_texts(docs: DataFrame, match: int) -> DataFrame:
-    """h1, h2 (two 64-bit hashes), n copies, text as bytes of the distinct texts of match bytes or more, bucketed by the hashes."""
-    spark = docs.sparkSession
-    rows = docs.filter(F.octet_length("text") >= match).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    name, parts = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "h1", "h2").write.bucketBy(parts, "h1", "h2").option("path", fresh_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+class Texts:
+    """The distinct texts of match bytes or more as a table: h1, h2 (two 64-bit hashes), n copies, text as bytes, bucketed by the hashes.
+
+    Spark keeps buckets only for named tables, so it has a name in the catalog until drop().
+    """
 
+    def __init__(self, docs: DataFrame, match: int):
+        self.spark = docs.sparkSession
+        rows = docs.filter(F.octet_length("text") >= match).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+        self.name, self.path, parts = f"texts_{uuid.uuid4().hex}", fresh_path(self.spark, "texts"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(parts, "h1", "h2").write.bucketBy(parts, "h1", "h2").option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
 
-def removed_spans(docs: DataFrame, *, text_col: str = "text", match: int = MATCH, anchor: int = ANCHOR, group_limit: int = 4096, block_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the distinct texts, and spans (array of struct s, e; overlaps not yet merged) of those that have any."""
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
-    texts = distinct_texts(rows, match)
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, self.path)
+
+
+def removed_spans(texts: DataFrame, *, match: int = MATCH, anchor: int = ANCHOR, group_limit: int = 2048, block_bytes: int = 1 << 20) -> DataFrame:
+    """h1, h2, spans (array of struct s, e; overlaps not yet merged) of the distinct texts that have any; texts is Texts.rows."""
     found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, block_bytes), "key long, context long, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
-    contexts = found.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at"))
-    contexts = cut(contexts, "contexts")
+    contexts = cut(found.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at")), "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum(F.col("n") * F.col("at.times")).alias("occurrences")).filter("occurrences > 1")
-    known = cut(contexts.join(keys, "key").select("key", "context", "n", "at.*", "contexts"), "repeated")
-    # one copy of each context of an anchor that has several goes to the index
-    apart = known.filter("contexts > 1 OR times > 1").withColumn("salts", F.expr(f"CAST(ceil(contexts / {group_limit}) AS INT)")).withColumn("salt", F.expr("CAST(pmod(xxhash64(context, 7), salts) AS INT)"))
-    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("part", F.expr("CASE WHEN salts = 1 THEN key ELSE xxhash64(key, least(salt, other), greatest(salt, other)) END"))
-    pieces = texts.select("h1", "h2", "text").join(dealt, ["h1", "h2"]).select("part", "key", "context", F.expr("substring(text, a + 1, b - a)").alias("piece"))
-    indexed = pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(match, block_bytes), "key long, context long, s int, e int")
-    whole = known.filter(f"n > 1 AND b - a >= {match}").select("key", "context", F.lit(0).alias("s"), F.expr("b - a").alias("e"))
-    marks = cut(indexed.unionByName(whole), "marks")
-    spans = found.join(marks, ["key", "context"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("spans"))
-    return texts, spans
+    known = contexts.join(keys, "key").select("key", "context", "n", "at.*", "contexts")
+    salted = known.withColumn("salts", F.expr(f"CAST(ceil(contexts / {group_limit}) AS INT)")).withColumn("salt", F.expr("CAST(pmod(xxhash64(context, 7), salts) AS INT)"))
+    dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("part", F.expr("CASE WHEN salts = 1 THEN key ELSE xxhash64(key, least(salt, other), greatest(salt, other)) END"))
+    pieces = texts.select("h1", "h2", "text").join(dealt, ["h1", "h2"]).select("part", "key", "context", "n", F.expr("substring(text, a + 1, b - a)").alias("piece"))
+    marks = cut(pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(match, block_bytes), "key long, context long, s int, e int"), "marks")
+    spans = cut(found.join(marks, ["key", "context"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("spans")), "spans")
+    done(found, contexts, marks)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,7 +264,7 @@ def _cut_texts(batches):
         out = {c: [] for c in ("h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept")}
         for r in batch.to_pylist():
             text = r["text"]
-            runs = [(0, len(text))] if r["n"] > 1 else merged([(x["s"], x["e"]) for x in r["spans"]])
+            runs = merged([(x["s"], x["e"]) for x in r["spans"]])
             at, left = 0, []
             for s, e in runs:
                 left.append(text[at:s])
@@ -244,16 +275,21 @@ def _cut_texts(batches):
         yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
 
-def changed_texts(docs: DataFrame, **options) -> DataFrame:
-    """h1, h2, n_removed, n_spans, kept_sha256, kept of the distinct texts that lose bytes."""
-    texts, spans = removed_spans(docs, **options)
-    rows = texts.select("h1", "h2", "n", "text").join(spans, ["h1", "h2"], "left").filter("n > 1 OR spans IS NOT NULL").select("h1", "h2", "n", "text", "spans")
-    return rows.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, **options) -> DataFrame:
+    """h1, h2, and those of n_removed, n_spans, kept_sha256, kept that are asked for, of the distinct texts that lose bytes."""
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
+    texts = Texts(rows, match)
+    spans = removed_spans(texts.rows, match=match, **options)
+    hit = texts.rows.select("h1", "h2", "text").join(spans, ["h1", "h2"]).select("h1", "h2", "text", "spans")
+    changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").select("h1", "h2", *columns), "changed")
+    texts.drop()
+    done(spans)
+    return changed
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    changed = changed_texts(docs, text_col=text_col, **options).select("h1", "h2", "n_removed", "n_spans", "kept_sha256")
+    changed = changed_texts(docs, ["n_removed", "n_spans", "kept_sha256"], text_col=text_col, **options)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     return rows.join(changed, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
@@ -264,7 +300,7 @@ def clean(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
 
     A character of which bytes were removed goes as a whole; a row that had words and has none left is dropped.
     """
-    changed = changed_texts(docs, text_col=text_col, **options).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept"))
+    changed = changed_texts(docs, ["kept"], text_col=text_col, **options).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(changed, (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(1), text) == F.col("__h2")), "left")
 

@@ -25,7 +25,7 @@ from tallygrove.llm.common import cut, emit
 from tallygrove.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("t", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 MAX_BITS = 4
 ODD = 0x5555555555555555
@@ -51,14 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and t (hash of the text) of every row."""
 
     def run(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield emit({"doc_id": batch.column(0), "fp": values.view(np.int64)}, PRINTS)
+            yield emit({"doc_id": batch.column(0), "fp": values.view(np.int64), "t": batch.column(2)}, PRINTS)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")).mapInArrow(run, "doc_id long, fp long, t long")
 
 
 def _signed(x: int) -> int:
@@ -154,7 +155,9 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = 20_0
     if max_bits > 4:
         raise ValueError("the grid is proven for 4 differing bits at most")
     placed = cells(prints)
-    counted = placed.selectExpr("cell", "fp", "count(*) OVER (PARTITION BY cell) AS n").filter("n > 1")
+    # counted by a partial aggregate, so no task gathers a crowded cell
+    several = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = placed.join(several, "cell")
     # a crowded cell is dealt out: sub-cells i <= j of every pair of salts, each with the rows of salts i and j
     salted = counted.selectExpr("cell", "fp", f"CAST(ceil(n / {cell_limit}) AS INT) AS salts").selectExpr("cell", "fp", "salts", "CAST(pmod(xxhash64(fp), salts) AS INT) AS salt")
     dealt = salted.selectExpr("cell", "fp", "salt", "explode(sequence(0, salts - 1)) AS other", "salts").selectExpr("CASE WHEN salts = 1 THEN cell ELSE xxhash64(cell, least(salt, other), greatest(salt, other)) END AS cell", "fp")
@@ -180,13 +183,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_limit: int = 20_000) -> DataFrame:
-    """One row of each component, that of the smallest doc_id (null only if there is no other), in the input's own columns.
+    """One row of each component, in the input's own columns: that of the smallest doc_id (null ones last), then of the least text hash.
 
-    Rows of that doc_id with equal texts are one; doc_ids are taken to name one text each, so rows of it with other texts stay too.
+    Rows that agree in both are equal in all that is looked at; any one of them stays.
     """
-    _, rooted = _classes(docs, id_col, text_col, max_bits, cell_limit)
-    least = rooted.groupBy("root").agg(F.min("rep").alias("id"))
-    first = least.select(F.col("id").alias("__id"))
-    own = F.col(id_col).cast("long")
-    rows = docs.join(first, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__h", F.xxhash64(text_col))
+    prints, rooted = _classes(docs, id_col, text_col, max_bits, cell_limit)
+    hash_of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    whose = prints.join(rooted.select("fp", "root"), "fp").select("doc_id", "t", "root")
+    first = whose.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.t").alias("__t"))
+    rows = docs.withColumn("__h", hash_of).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")), "left_semi")
     return rows.dropDuplicates([id_col, "__h"]).select(*docs.columns)
