@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache, cached_property
 
 import numpy as np
@@ -44,9 +45,20 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-of-{spark.sparkContext.applicationId}"
 
 
+_stage: dict[str, str] = {}  # application to the folder of the stage it is in
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_stage.get(spark.sparkContext.applicationId, own_folder(spark))}/{name}-{uuid.uuid4().hex}"
+
+
+def next_stage(spark: SparkSession) -> None:
+    """Intermediate tables go to a new folder from now on, and those of the stage before, whose result has been written by now, are removed."""
+    app = spark.sparkContext.applicationId
+    if app in _stage:
+        discard(spark, _stage[app])
+    _stage[app] = f"{own_folder(spark)}/stage-{uuid.uuid4().hex}"
 
 
 def clear(spark: SparkSession) -> None:
@@ -85,11 +97,17 @@ def release() -> None:
         trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of long texts by fewer rows, unless the session says otherwise already: both ends of the socket hold a batch in memory."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of long texts by fewer rows for what is executed inside, unless the session says otherwise already: both ends of the socket hold a batch in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # Spark's default
+    before = spark.conf.get(name)
+    if before == "10000":  # Spark's default
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
@@ -142,7 +160,7 @@ PRIME = np.uint64((1 << 31) - 1)
 
 def _modulo(x: np.ndarray) -> np.ndarray:
     """x modulo PRIME: its upper bits count like lower ones, as 2^31 is 1 there."""
-    for _ in range(3):
+    for _ in range(2):
         x = (x & PRIME) + (x >> np.uint64(31))
     return np.where(x == PRIME, np.uint64(0), x)
 
@@ -191,10 +209,9 @@ class SpanHash:
         np.cumsum(_modulo((spread()[self.symbols] >> np.uint64(34)) * SpanHash._small[: len(out) - 1]), out=out[1:])
         return out
 
-    def rough(self, length: int) -> np.ndarray:
-        """Hashes, by the first polynomial alone, of the spans of one length: to choose by, not to tell spans apart."""
-        n = len(self.sums) - length
-        return mix64((self.sums[length:] - self.sums[:n]) * SpanHash._inverse[:n])
+    def rough(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of [start, end) spans by the first polynomial alone: to choose or to sort by, not to tell spans apart."""
+        return mix64((self.sums[ends] - self.sums[starts]) * SpanHash._inverse[starts])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of [start, end) spans; equal spans hash alike, and the length goes in too."""
@@ -237,7 +254,7 @@ def first_places(codes: np.ndarray, n: int) -> np.ndarray:
 
 def span_classes(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the class of equal spans that each span is in, a span of each class); exact, as members are compared with their class."""
-    codes, seen = pd.factorize(SpanHash(symbols).of(begin, end))
+    codes, seen = pd.factorize(SpanHash(symbols).rough(begin, end))
     first, lengths = first_places(codes, len(seen)), end - begin
     again = np.flatnonzero(first[codes] != np.arange(len(codes)))
     other = first[codes[again]]

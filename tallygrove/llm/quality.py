@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import SpanHash, blocks, cut, emit, first_places, fresh_path, span_classes
+from tallygrove.llm.common import blocks, cut, discard, done, emit, first_places, fresh_path, small_batches, span_classes
 
 ORDER = 5
 SYMBOLS = b"#*$%&|<>"
@@ -48,43 +48,47 @@ def _set(values: bytes) -> np.ndarray:
     return out
 
 
-def _word_spans(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of word bytes begin and end, if the last byte is none."""
-    edge = np.diff(word.astype(np.int8), prepend=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+class Words:
+    """The words of several texts: owner (which text each is of), code (its class of equal words), and the XXH64 of every class."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        self.lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        self.buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # every text ends in a line break of its own
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths)
+        self.inside = ~_set(BLANKS)[self.buffer]
+        edge = np.diff(self.inside.astype(np.int8), prepend=0)
+        self.begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.owner = self.of[self.begin]
+        self.code, first = span_classes(self.buffer, self.begin, end)
+        data, digest = self.buffer.data, xxhash.xxh64_intdigest
+        self.digests = np.fromiter((digest(data[i:j]) for i, j in zip(self.begin[first].tolist(), end[first].tolist(), strict=True)), dtype=np.uint64, count=len(first)).view(np.int64)
+        self.counts = np.bincount(self.owner, minlength=self.n)
 
 
 # -- base counts -----------------------------------------------------------------------------------------------------------------------
-def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
+def base_counts(words: Words) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    n = len(texts)
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # every text ends in a line break of its own
-    of = np.repeat(np.arange(n), lengths)
-    word = ~_set(BLANKS)[buffer]
-    begin, end = _word_spans(word)
-    owner = of[begin]
+    n, of, buffer, owner, codes = words.n, words.of, words.buffer, words.owner, words.code
     out = {
-        "n_words": np.bincount(owner, minlength=n),
-        "word_chars": np.bincount(of[word & (buffer & 0xC0 != 0x80)], minlength=n),
+        "n_words": words.counts,
+        "word_chars": np.bincount(of[words.inside & (buffer & 0xC0 != 0x80)], minlength=n),
         "n_symbols": np.bincount(of[_set(SYMBOLS)[buffer]], minlength=n),
     }
     stop = np.flatnonzero(buffer == 10)
     start = np.concatenate([[0], stop[:-1] + 1])
-    worded = np.searchsorted(begin, stop) > np.searchsorted(begin, start)
+    worded = np.searchsorted(words.begin, stop) > np.searchsorted(words.begin, start)
     start, stop = start[worded], stop[worded]
-    line_owner, (codes, seen) = of[start], span_classes(buffer, start, stop)
-    codes, seen = pd.factorize(codes * np.int64(n) + line_owner)
-    later = np.ones(len(codes), dtype=bool)
-    later[first_places(codes, len(seen))] = False
+    line_owner, lines = of[start], span_classes(buffer, start, stop)[0]
+    lines, seen = pd.factorize(lines * np.int64(n) + line_owner)
+    later = np.ones(len(lines), dtype=bool)
+    later[first_places(lines, len(seen))] = False
     out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n)
-    codes, seen = span_classes(buffer, begin, end)
     again = np.zeros(len(codes) + 2, dtype=bool)
     if len(codes) >= 3:
-        same = owner[2:] == owner[:-2]
+        same, classes = owner[2:] == owner[:-2], len(words.digests)
         window = codes[:-2]
-        for more, size in ((codes[1:-1], len(seen)), (codes[2:], len(seen)), (owner[2:], n)):  # numbers of pairs, of triples, and of a text's triples
+        for more, size in ((codes[1:-1], classes), (codes[2:], classes), (owner[2:], n)):  # numbers of pairs, of triples, and of a text's triples
             window = pd.factorize(window * np.int64(size) + more)[0]
         window = window[same]
         twice = np.flatnonzero(same)[(np.bincount(window) > 1)[window]] if len(window) else np.zeros(0, dtype=np.int64)
@@ -95,8 +99,8 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 # -- n-grams ---------------------------------------------------------------------------------------------------------------------------
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed ORDER-byte string that ends at every byte (zero bytes stand before a text), and which text it is of."""
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The packed ORDER-byte string that ends at every byte (zero bytes stand before a text), text after text."""
     pad = bytes(ORDER - 1)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     buffer = np.frombuffer(b"".join(pad + t for t in texts) or b"", dtype=np.uint8).astype(np.int64)
@@ -104,26 +108,21 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(n, dtype=np.int64)
     for i in range(ORDER):
         packed = packed << 8 | buffer[i : i + n]
-    of = np.repeat(np.arange(len(texts)), lengths)
-    return packed[np.arange(len(of)) + of * (ORDER - 1)], of
+    inside = np.ones(n, dtype=bool)
+    inside[(np.cumsum(lengths + ORDER - 1)[:-1, None] - ORDER + 1 + np.arange(ORDER - 1)).ravel()] = False  # windows over the border of two texts
+    return packed[inside]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and which text it is of."""
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    begin, end = _word_spans(~_set(BLANKS)[buffer])
-    return SpanHash(buffer).of(begin, end).view(np.int64), np.searchsorted(np.cumsum(lengths), begin, side="right")
+def _documents_with(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and in how many of the texts each is."""
+    pairs = pd.factorize(words.code * np.int64(max(1, words.n)) + words.owner)[1]
+    return words.digests, np.bincount(pairs // max(1, words.n), minlength=len(words.digests))
 
 
-def _documents_with(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, and in how many of the texts each is."""
-    h, of = words(texts)
-    order = np.lexsort((of, h))
-    h, of = h[order], of[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return np.unique(h[first], return_counts=True)
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
+    codes, seen = pd.factorize(keys)
+    return seen, np.bincount(codes, minlength=len(seen))
 
 
 def _by_language(block: pa.Table):
@@ -139,8 +138,8 @@ COUNTS = pa.schema([("order", pa.int32()), ("lang", pa.string()), ("gram", pa.in
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts."""
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+    back, keys = pd.factorize(np.concatenate([k for k, _ in parts]))
+    return keys, np.bincount(back, minlength=len(keys), weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
 def _count(block_bytes: int, limit: int = 1_000_000):
@@ -160,8 +159,8 @@ def _count(block_bytes: int, limit: int = 1_000_000):
             texts = [t or b"" for t in block.column("text").to_pylist()]
             for lang, rows in _by_language(block):
                 own = [texts[i] for i in rows]
-                held.setdefault((ORDER, lang), []).append(np.unique(grams(own)[0], return_counts=True))
-                held.setdefault((WORDS, lang), []).append(_documents_with(own))
+                held.setdefault((ORDER, lang), []).append(_counted(grams(own)))
+                held.setdefault((WORDS, lang), []).append(_documents_with(Words(own)))
             if sum(len(k) for parts in held.values() for k, _ in parts) > limit:
                 held = {key: [_summed(parts)] for key, parts in held.items()}
                 if sum(len(parts[0][0]) for parts in held.values()) > limit:
@@ -206,10 +205,11 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bl
     levels = [counts.filter(F.col("order") == ORDER).drop("order")]
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes that come before
         levels.insert(0, cut(levels[0].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams"))
-    tables, lower = [], None
+    tables, lower, kept = [], None, levels[:-1]
     for order, level in enumerate(levels, 1):
         p, weights = _level(level, order, lower)
         lower = p = cut(p, "level")
+        kept.append(p)
         tables.append(p.select(F.lit(order).alias("order"), "lang", "gram", "p", F.lit(None).cast("double").alias("weight")))
         tables.append(weights.select(F.lit(order - 1).alias("order"), "lang", "gram", F.lit(None).cast("double").alias("p"), "weight"))
     every = tables[0]
@@ -220,6 +220,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bl
     known = counts.filter(F.col("order") == WORDS).select(F.xxhash64("lang", "order", "gram").alias("h"), F.col("n").cast("double").alias("p"), F.lit(None).cast("double").alias("weight"))
     for rows, where in ((model, path), (known, words_path(path))):
         rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), "h").sortWithinPartitions("h").write.parquet(where)
+    done(counts, model, *kept)
     return path
 
 
@@ -227,6 +228,11 @@ def words_path(path: str) -> str:
     return path + "-words"
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of arrays of longs, sorted."""
+    return np.sort(pd.unique(np.concatenate([np.zeros(0, dtype=np.int64), *map(pd.unique, parts)])))
+
+
 def lookup(path: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability and weight (not a number: none) of sorted, distinct hashes, from the model's ranges one batch of rows at a time."""
     p, weight = np.full(len(wanted), np.nan), np.full(len(wanted), np.nan)
@@ -271,7 +277,7 @@ def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, n
     for lang, g in grams_of.items():
         ends = [g & ((1 << 8 * order) - 1) for order in range(ORDER, 0, -1)]
         hashes[lang] = [gram_hashes(lang, order, x) for order, x in zip(range(ORDER, 0, -1), ends)] + [gram_hashes(lang, order - 1, x >> 8) for order, x in zip(range(ORDER, 0, -1), ends)]
-    wanted = np.unique(np.concatenate([np.unique(h) for x in hashes.values() for h in x] or [np.zeros(0, dtype=np.int64)]))
+    wanted = _distinct([h for x in hashes.values() for h in x])
     p, weight = lookup(path, wanted)
     out = {}
     for lang, x in hashes.items():
@@ -293,7 +299,7 @@ def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, n
 def word_bits(words_of: dict[str, np.ndarray], path: str) -> dict[str, np.ndarray]:
     """Bits of distinct words by the other documents that have them; path is that of train()."""
     hashes = {lang: gram_hashes(lang, WORDS, w) for lang, w in words_of.items()}
-    wanted = np.unique(np.concatenate([*hashes.values(), np.zeros(0, dtype=np.int64)]))
+    wanted = _distinct(list(hashes.values()))
     df = np.nan_to_num(lookup(words_path(path), wanted)[0], nan=1.0)
     return {lang: -np.log2(df[np.searchsorted(wanted, h)] - 0.5) for lang, h in hashes.items()}
 
@@ -316,34 +322,60 @@ def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_by
     def run(batches):
         renamed = (b.rename_columns(names) for b in batches)
         for block in blocks(renamed, "text", block_bytes):
-            chunks = list(blocks(block.to_batches(), "text", chunk_bytes))
-            seen: dict[str, np.ndarray] = {}
-            seen_words: dict[str, np.ndarray] = {}
-            for chunk in chunks:
-                texts = _texts(chunk)
-                for lang, rows in _by_language(chunk):
-                    own = [texts[i] for i in rows]
-                    for held, of_texts in ((seen, grams), (seen_words, words)):
-                        found = np.unique(of_texts(own)[0])
-                        held[lang] = np.union1d(held[lang], found) if lang in held else found
-            log_p, of_word = log_probabilities(seen, path), word_bits(seen_words, path)
-            for chunk in chunks:
-                texts = _texts(chunk)
-                bits, by_words = np.zeros(len(texts)), np.zeros(len(texts))
-                for lang, rows in _by_language(chunk):
-                    w, which = words([texts[i] for i in rows])
-                    by_words[rows] = np.bincount(which, weights=of_word[lang][np.searchsorted(seen_words[lang], w)], minlength=len(rows))
-                    g, which = grams([texts[i] for i in rows])
-                    bits[rows] = -np.bincount(which, weights=log_p[lang][np.searchsorted(seen[lang], g)], minlength=len(rows))
-                mean = [b / len(t) if t else None for b, t in zip(bits.tolist(), texts, strict=True)]
-                counts = base_counts(texts)
-                by_word = [b / n if n else None for b, n in zip(by_words.tolist(), counts["n_words"].tolist(), strict=True)]
-                columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64()), pa.array(by_word, pa.float64())]
+            numbers: dict[str, int] = {}
+            parts = [(chunk, Part(chunk, numbers)) for chunk in blocks(block.to_batches(), "text", chunk_bytes)]
+            by_gram, by_word = _of_models([part for _, part in parts], list(numbers), path)
+            for chunk, part in parts:
+                bits, words = part.sums(by_gram, by_word)
+                mean = [b / n if n else None for b, n in zip(bits.tolist(), part.lengths.tolist(), strict=True)]
+                by_words = [b / n if n else None for b, n in zip(words.tolist(), part.counts["n_words"].tolist(), strict=True)]
+                columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(part.counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64()), pa.array(by_words, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__lang", *(f"__{c}" for c in STATS), *BITS])
 
     return run
 
 
+class Part:
+    """What is kept of a chunk of texts until the models are asked: base counts, and for every byte and word the number of its distinct n-gram or word of a language."""
+
+    def __init__(self, chunk: pa.Table, numbers: dict[str, int]):
+        texts = _texts(chunk)
+        own = np.array([numbers.setdefault(x, len(numbers)) for x in chunk.column("lang").to_pylist()], dtype=np.int64)
+        words = Words(texts)
+        self.counts, self.lengths = base_counts(words), words.lengths - 1
+        codes, self.grams = pd.factorize(np.repeat(own, self.lengths) << 8 * ORDER | grams(texts))
+        self.gram_codes = codes.astype(np.int32)
+        codes, seen = pd.factorize(own[words.owner] * np.int64(max(1, len(words.digests))) + words.code)
+        self.word_codes, self.word_langs, self.words = codes.astype(np.int32), seen // max(1, len(words.digests)), words.digests[seen % max(1, len(words.digests))]
+
+    def sums(self, by_gram: tuple[np.ndarray, np.ndarray], by_word: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the bytes and bits of the words of every text."""
+        of_gram = by_gram[1][np.searchsorted(by_gram[0], self.grams)]
+        of_word = np.zeros(len(self.words))
+        for k, (known, values) in enumerate(by_word):
+            mine = self.word_langs == k
+            of_word[mine] = values[np.searchsorted(known, self.words[mine])]
+        return _sum_runs(-of_gram[self.gram_codes], self.lengths), _sum_runs(of_word[self.word_codes], self.counts["n_words"])
+
+
+def _sum_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of runs of these lengths, one after the other."""
+    out, some = np.zeros(len(lengths)), lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some])
+    return out
+
+
+def _of_models(parts: list[Part], langs: list[str], path: str):
+    """((n-grams with their language's number, log probability), [(words, bits) of each language]) of all parts' distinct n-grams and words."""
+    every = _distinct([p.grams for p in parts])
+    bounds = np.searchsorted(every >> 8 * ORDER, np.arange(len(langs) + 1))
+    of = log_probabilities({lang: every[a:b] & (1 << 8 * ORDER) - 1 for lang, a, b in zip(langs, bounds, bounds[1:])}, path)
+    words = {lang: _distinct([p.words[p.word_langs == k] for p in parts]) for k, lang in enumerate(langs)}
+    bits = word_bits(words, path)
+    return (every, np.concatenate([np.zeros(0), *(of[lang] for lang in langs)])), [(words[lang], bits[lang]) for lang in langs]
+
+
 def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, step: float = 0.001, bits: str = "__bits") -> DataFrame:
     """__lang, __low, __high: bits between which documents stay, from a histogram of the scores in bins of step (exact up to step)."""
     bins = scores.filter(F.col(bits).isNotNull() & ~F.col("__failed")).groupBy("__lang", F.floor(F.col(bits) / step).alias("bin")).agg(F.count("*").alias("n"))
@@ -357,12 +389,16 @@ def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, s
 
 def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 16 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
     """The columns kept and, under names that begin with two underscores, the base counts, bits, failed and kept."""
-    path = train(docs, text_col=text_col, lang_col=lang_col)
+    with small_batches(docs.sparkSession):
+        path = train(docs, text_col=text_col, lang_col=lang_col)
     text = [] if text_col in kept else [F.col(text_col).cast("string").cast("binary").alias("__text")]
     rows = docs.select(*[F.col(c) for c in kept], language(lang_col).alias("__lang"), *text)
     schema = T.StructType([*rows.select(*kept, "__lang").schema.fields, *[T.StructField(f"__{c}", T.LongType()) for c in STATS], *[T.StructField(c, T.DoubleType()) for c in BITS]])
     failed = F.expr(f"__n_words < {MIN_WORDS} OR 100 * __n_repeat_words > {MAX_REPEAT_PERCENT} * __n_words")
-    scores = cut(rows.mapInArrow(_score(path, kept, text_col, block_bytes), schema).withColumn("__failed", failed), "scores")
+    with small_batches(docs.sparkSession):
+        scores = cut(rows.mapInArrow(_score(path, kept, text_col, block_bytes), schema).withColumn("__failed", failed), "scores")
+    for where in (path, words_path(path)):
+        discard(docs.sparkSession, where)
     stays, found = ~F.col("__failed"), scores
     for c in BITS:
         low, high = f"{c}_low", f"{c}_high"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, fresh_path
+from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, fresh_path, small_batches
 
 MATCH, ANCHOR = 400, 128
 TILE = 1 << 18
@@ -42,9 +42,10 @@ def _anchors_of_tile(buffer: np.ndarray, ends: np.ndarray, start: int, tile: int
     """(place, hash) of the anchors of the windows that begin in a tile and end in the text they begin in."""
     stop = min(start + tile, len(buffer) - match + 1)
     width, windows = match - anchor + 1, stop - start
-    hashes = SpanHash(buffer[start : stop + match - 1]).rough(anchor)
-    m, bits = len(hashes), np.uint64(int(len(hashes)).bit_length())
-    ranked = (hashes >> bits << bits) | np.arange(m, dtype=np.uint64)
+    at = np.arange(windows + width - 1)
+    hashes = SpanHash(buffer[start : stop + match - 1]).rough(at, at + anchor)
+    m, bits = len(hashes), np.uint64(len(hashes).bit_length())
+    ranked = (hashes >> bits << bits) | at.astype(np.uint64)
     tiles = np.concatenate([ranked, np.full(-m % width, ~np.uint64(0))]).reshape(-1, width)
     before = np.minimum.accumulate(tiles, axis=1).ravel()
     after = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -278,10 +279,13 @@ def _cut_texts(batches):
 def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, **options) -> DataFrame:
     """h1, h2, and those of n_removed, n_spans, kept_sha256, kept that are asked for, of the distinct texts that lose bytes."""
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
+    spark = docs.sparkSession
     texts = Texts(rows, match)
-    spans = removed_spans(texts.rows, match=match, **options)
+    with small_batches(spark):
+        spans = removed_spans(texts.rows, match=match, **options)
     hit = texts.rows.select("h1", "h2", "text").join(spans, ["h1", "h2"]).select("h1", "h2", "text", "spans")
-    changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").select("h1", "h2", *columns), "changed")
+    with small_batches(spark):
+        changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").select("h1", "h2", *columns), "changed")
     texts.drop()
     done(spans)
     return changed

@@ -43,7 +43,7 @@ def test_language_of_odd_rows(docs, empty):
 
 def test_base_counts(odd_texts):
     data = [(t or "").encode() for t in odd_texts]
-    found = quality.base_counts(data)
+    found = quality.base_counts(quality.Words(data))
     for i, t in enumerate(odd_texts):
         t = t or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -60,7 +60,7 @@ def test_model_is_kneser_ney(spark):
 
     texts = ["abab abc", "abca bab", "bcab aab"]
     path = quality.train(documents(spark, texts))
-    grams = np.concatenate([quality.grams([t.encode() for t in texts])[0]])
+    grams = quality.grams([t.encode() for t in texts])
     counts = [Counter(grams.tolist())]
     for order in range(quality.ORDER - 1, 0, -1):
         counts.insert(0, Counter(g & ((1 << 8 * order) - 1) for g in counts[0]))
@@ -104,7 +104,7 @@ def test_word_bits_are_of_the_other_documents(spark):
     from tests.llm.conftest import documents
 
     path = quality.train(documents(spark, ["red red blue", "blue\tgreen", "blue red", None, ""]))
-    own = quality.words([b"red blue green"])[0]
+    own = quality.Words([b"red blue green"]).digests
     order = np.argsort(own)
     assert np.allclose(quality.word_bits({"=en": own[order]}, path)["=en"], -np.log2(np.array([2, 3, 1]) - 0.5)[order])
 
