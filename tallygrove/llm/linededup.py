@@ -1,41 +1,44 @@
-"""Line deduplication within an edit distance of one, by a deletion-neighbourhood join.
+"""Line deduplication within an edit distance, by a deletion-neighbourhood join.
 
-Lines are the \\n-split pieces of a text; those of min_chars characters or more take part, shorter ones always stay. Equal lines are
-one class, whose earliest place (doc_id, line number; null doc_ids last) counts. Every class emits its own hash and the hashes of all its variants
-with one character deleted, each with the deleted place:
+Lines are the \\n-split pieces of a text that have a character other than a blank. Equal lines are one class, whose earliest place (doc_id, line number;
+null doc_ids last) counts. Two lines are near if their edit distance is max_edits or less and no more than 1 - similarity of the longer one's length
+(so at a similarity of 0.8 lines of under five characters have equal ones only).
 
-* two lines that share a variant at the same place differ by one substitution;
-* a line whose own hash is another's variant differs from it by one insertion or deletion.
+Every class emits the hashes of its variants: itself, and with up to max_edits characters deleted or put as a wild card. Lines that share a variant with w
+wild cards, of which one has d and the other e characters deleted, are at an edit distance of d + e + w or less, and lines at a distance share such a
+variant. So for each variant and number of deletions the earliest place is found by a grouped minimum, no pairs within a group are made, and
+each class is left with the earliest place of those it may be near to. These partners are verified by edit distance on their texts.
 
-In either case the earliest place of the whole group decides, found by grouped minima, so no pairs within a group are made. Partners are
-verified by edit distance on their texts. Lines at an edit distance of one share their first or last half, so only classes that share a
-half with another class (a grouped count) are taken that far.
+Of lines at a distance of max_edits or less, one of max_edits + 1 equal parts of the shorter one stands in the other, moved by no more than the edits on
+either side of it allow. So only classes that share a part with another class (a grouped count) are taken that far.
 
-A line is removed if an equal line, or one within the edit distance, stands earlier. This is judged on the input: an earlier line that is
-itself removed still counts.
+A line is removed if an equal or near line stands earlier. This is judged on the input: an earlier line that is itself removed still counts.
 
-Defined cases: null and empty texts have no line that takes part; rows with equal doc_id and text have equal places, and none of them
+Defined cases: null, empty and blank texts have no line that takes part; rows with equal doc_id and text have equal places, and none of them
 precedes the other; ties beyond that cannot occur; an empty table gives no rows; other columns of the input are kept by dedup() and not looked at.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, mix64
+from tallygrove.llm.common import SpanHash, blocks, cut, done
 from tallygrove.llm.pretokens import code_points
 
-MIN_CHARS = 16
-HALVES = ("p0", "p1", "s0", "s1")
+MAX_EDITS, SIMILARITY = 1, 0.8
+WORD = r"[^\x20\x09-\x0D]"
+WILD = 0x10FFFF  # no character; a line that has it gives candidates that do not verify
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t1 (hash of the text), pos, line, h1, h2 of the lines that take part."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t1"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    return rows.filter(F.col("line").rlike(WORD)).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def place() -> F.Column:
@@ -43,86 +46,111 @@ def place() -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")
 
 
-def _halves(lines: DataFrame) -> DataFrame:
-    """Hashes of the first and last halves, for partners of equal length (or one longer: p0, s0) and one shorter (p1, s1)."""
-    n = F.length("line")
-    half = {0: F.floor(n / 2).cast("int"), 1: F.floor((n - 1) / 2).cast("int")}
-    for shorter, size in half.items():
-        lines = lines.withColumn(f"p{shorter}", F.xxhash64(F.lit("p"), n - shorter, F.substring("line", F.lit(1), size)))
-        lines = lines.withColumn(f"s{shorter}", F.xxhash64(F.lit("s"), n - shorter, F.substring("line", n - size + 1, size)))
-    return lines
+def allowed(length, max_edits: int, similarity: float):
+    """Edits allowed to a pair whose longer line has this length (a Column)."""
+    return F.least(F.lit(max_edits), F.floor(length * (1 - similarity) + 1e-9).cast("int"))
+
 
+def part_keys(max_edits: int) -> list[F.Column]:
+    """Hashes of the parts of a line as the shorter of a pair, and of where the parts of a line that is 0 to max_edits characters shorter may stand in it."""
+    n, parts, out = F.length("line"), max_edits + 1, []
+    for shorter in range(max_edits + 1):
+        cut_at = lambda i, s=shorter: F.floor((n - s) * i / parts).cast("int")
+        for i in range(parts):
+            for moved in range(max(-i, shorter - max_edits + i), min(i, shorter + max_edits - i) + 1):
+                begin = F.greatest(cut_at(i) + moved, F.lit(0))
+                out.append(F.xxhash64(F.lit(i), n - shorter, F.substring("line", begin + 1, cut_at(i + 1) - cut_at(i))))
+    # a line's own parts are those it has for a partner of its length
+    return out
 
-def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place) of every line itself (place -1) and of its variants with the character at place deleted.
 
-    In a run of equal characters every place is listed: a line that has another character in its midst shares just one of them.
-    """
+def variants(lines: list[str], max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, characters deleted, wild cards) of the variants of every line."""
     cp, offsets = code_points(lines)
-    lengths = np.diff(offsets)
-    spans = SpanHash(cp)
-    sums, inverse = spans.sums, SpanHash._inverse
-    own = mix64((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] ^ mix64(lengths.astype(np.uint64)))
-    at = np.arange(len(cp))
-    of = np.repeat(np.arange(len(lines)), lengths)
-    begin = offsets[of]
-    raw = (sums[at] - sums[begin]) * inverse[begin] + (sums[offsets[of + 1]] - sums[at + 1]) * inverse[begin + 1]
-    keys = mix64(raw ^ mix64((lengths[of] - 1).astype(np.uint64)))
-    return np.concatenate([np.arange(len(lines)), of]), np.concatenate([own, keys]).view(np.int64), np.concatenate([np.full(len(lines), -1), at - begin])
-
-
-def _emit_variants(block_bytes: int):
+    spans, lengths = SpanHash(cp), np.diff(offsets)
+    out = []
+    for edits in range(max_edits + 1):
+        if edits < 2:
+            of = np.repeat(np.arange(len(lines)), lengths if edits else 1)
+            places = np.arange(len(cp))[:, None] if edits else np.zeros((len(lines), 0), dtype=np.int64)
+        else:
+            own = [np.array(list(combinations(range(a, b), edits)), dtype=np.int64).reshape(-1, edits) for a, b in zip(offsets, offsets[1:])]
+            of, places = np.repeat(np.arange(len(lines)), [len(x) for x in own]), np.concatenate([np.zeros((0, edits), dtype=np.int64), *own])
+        for kinds in product((0, 1), repeat=edits):  # 1: a wild card
+            before, at, pieces, extra = offsets[of], np.zeros(len(of), dtype=np.int64), [], []
+            for k, wild in enumerate(kinds):
+                pieces.append((before, places[:, k], at))
+                at = at + places[:, k] - before
+                if wild:
+                    extra.append((WILD, at))
+                    at = at + 1
+                before = places[:, k] + 1
+            pieces.append((before, offsets[of + 1], at))
+            key = spans.joined(pieces, at + offsets[of + 1] - before, tuple(extra)).view(np.int64)
+            out.append((of, key, np.full(len(of), edits - sum(kinds)), np.full(len(of), sum(kinds))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _emit_variants(max_edits: int, block_bytes: int):
     def run(batches):
         for block in blocks(batches, "line", block_bytes):
-            who, key, place = variants(block.column("line").to_pylist())
-            for i in range(0, len(who), 1_000_000):
-                w = who[i : i + 1_000_000]
-                yield pa.RecordBatch.from_pydict({"v": key[i : i + 1_000_000], "i": place[i : i + 1_000_000].astype(np.int32)} | {c: block.column(c).combine_chunks().take(pa.array(w)) for c in ("h1", "h2", "no_id", "doc_id", "pos")})
+            who, key, gone, wild = variants(block.column("line").to_pylist(), max_edits)
+            whose = {c: block.column(c).combine_chunks() for c in ("h1", "h2", "no_id", "doc_id", "pos", "n")}
+            for i in range(0, len(who), 200_000):
+                some = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_pydict({"v": key[some], "gone": gone[some].astype(np.int32), "wild": wild[some].astype(np.int32)} | {c: x.take(pa.array(who[some])) for c, x in whose.items()})
 
     return run
 
 
-def near_classes(lines: DataFrame, classes: DataFrame, *, block_bytes: int = 1 << 20) -> DataFrame:
-    """h1, h2 of the classes that have an earlier class within the edit distance, verified."""
-    keys = classes.select("h1", "h2", F.explode(F.array(*HALVES)).alias("half"))
-    shared = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = keys.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    texts = cut(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")).join(classes.select("h1", "h2", "at.*"), ["h1", "h2"]), "lines")
-    rows = texts.mapInArrow(_emit_variants(block_bytes), "v long, i int, h1 long, h2 long, no_id boolean, doc_id long, pos int")
-    again = rows.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    rows = cut(rows.join(again, "v", "left_semi").withColumn("at", F.struct("no_id", "doc_id", "pos", "h1", "h2")).select("v", "i", "at"), "variants")
-    same_place = rows.groupBy("v", "i").agg(F.min("at").alias("least"))
-    by_role = same_place.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("own"), F.min(F.when(F.col("i") >= 0, F.col("least"))).alias("variant"))
-    joined = rows.join(same_place, ["v", "i"]).join(by_role, "v")
-    partner = F.when(F.col("i") < 0, F.col("variant")).otherwise(F.least("least", "own"))
-    pairs = joined.withColumn("partner", partner).filter("partner < at").select(F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"), F.col("partner.h1").alias("q1"), F.col("partner.h2").alias("q2")).distinct()
+def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
+    """h1, h2 of the classes that have an earlier class within the edits allowed, verified. classes has the keys of part_keys()."""
+    long_enough = allowed(F.col("chars") + max_edits, max_edits, similarity) > 0
+    keys = classes.filter(long_enough).select("h1", "h2", F.explode(F.array_distinct("keys")).alias("part"))
+    shared = keys.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    wanted = keys.join(shared, "part", "left_semi").select("h1", "h2").distinct()
+    found = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    texts = cut(found.join(classes.select("h1", "h2", F.col("chars").alias("n"), "at.*"), ["h1", "h2"]), "lines")
+    rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, gone int, wild int, h1 long, h2 long, no_id boolean, doc_id long, pos int, n int").withColumn("at", F.struct("no_id", "doc_id", "pos", "h1", "h2"))
+    least = rows.groupBy("v").agg(F.count("*").alias("rows"), *[F.min(F.when(F.col("gone") == e, F.col("at"))).alias(f"m{e}") for e in range(max_edits + 1)]).filter("rows > 1")
+    joined = rows.join(least, "v")
+    # the other's length is n - gone + e
+    fits = [F.when(F.col("gone") + F.col("wild") + e <= allowed(F.greatest(F.col("n"), F.col("n") - F.col("gone") + e), max_edits, similarity), F.col(f"m{e}")) for e in range(max_edits + 1)]
+    partner = fits[0] if len(fits) == 1 else F.least(*fits)
+    pairs = joined.withColumn("partner", partner).filter("partner < at").select("h1", "h2", F.col("partner.h1").alias("q1"), F.col("partner.h2").alias("q2")).distinct()
     other = texts.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("line").alias("other"))
     verified = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["q1", "q2"])
-    return verified.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
+    near = F.levenshtein("line", "other", max_edits).between(F.lit(0), allowed(F.greatest(F.length("line"), F.length("other")), max_edits, similarity))
+    out = cut(verified.filter(near).select("h1", "h2").distinct().withColumn("near", F.lit(True)), "near")
+    done(texts)
+    return out
 
 
-def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t1, removed (sorted line numbers), removed_chars of the documents that lose a line."""
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    classes = cut(_halves(lines).groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in HALVES]), "classes")
-    near = cut(near_classes(lines, classes).withColumn("near", F.lit(True)), "near")
+    lines = lines_of(docs, id_col, text_col)
+    keys = part_keys(max_edits)
+    own = lines.select("h1", "h2", "doc_id", "pos", F.length("line").alias("chars"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    grouped = own.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("chars", *(f"k{i}" for i in range(len(keys))))])
+    classes = cut(grouped.select("h1", "h2", "at", "n", "chars", F.array(*[f"k{i}" for i in range(len(keys))]).alias("keys")), "classes")
+    near = near_classes(lines, classes, max_edits=max_edits, similarity=similarity)
     told = classes.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "at", "near")
     places = lines.select("doc_id", "t1", "pos", "h1", "h2", F.length("line").alias("chars")).join(told, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") < place()))
     return places.groupBy("doc_id", "t1").agg(F.array_sort(F.collect_set("pos")).alias("removed"), F.collect_set(F.struct("pos", "chars")).alias("sized")).select("doc_id", "t1", "removed", F.expr("aggregate(sized, 0L, (a, x) -> a + x.chars)").alias("removed_chars"))
 
 
-def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_chars, removed (line numbers from 0, joined by commas) of every row."""
-    lost = removed_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).withColumnRenamed("doc_id", "lost_id")
+    lost = removed_lines(docs, id_col=id_col, text_col=text_col, max_edits=max_edits, similarity=similarity).withColumnRenamed("doc_id", "lost_id")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t1"), F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     joined = rows.join(lost.withColumnRenamed("t1", "lost_t1"), F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("t1") == F.col("lost_t1")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows with their removed lines taken out, in the input's own columns. A row that had words and has none left is dropped."""
-    lost = removed_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).select(F.col("doc_id").alias("__lost_id"), F.col("t1").alias("__lost_t1"), F.col("removed").alias("__removed"))
+    lost = removed_lines(docs, id_col=id_col, text_col=text_col, max_edits=max_edits, similarity=similarity).select(F.col("doc_id").alias("__lost_id"), F.col("t1").alias("__lost_t1"), F.col("removed").alias("__removed"))
     joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__lost_id")) & (F.xxhash64(F.col(text_col)) == F.col("__lost_t1")), "left")
 
     @F.pandas_udf("string")
@@ -132,4 +160,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
         return pd.Series(["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if (gone := set() if r is None else set(r)) else t for t, r in zip(texts, removed, strict=True)])
 
     cleaned = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__removed"))))
-    return cleaned.filter(F.col("__removed").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return cleaned.filter(F.col("__removed").isNull() | F.col(text_col).rlike(WORD)).select(*docs.columns)

@@ -41,12 +41,12 @@ SELECT doc_id, license, max(containment) AS containment FROM c WHERE containment
 
 SQL["op3_licenses"] = _licenses()
 
-# all pairs of distinct lines that share a half, by edit distance
+# all pairs of distinct lines of five characters or more (the longer one) that share a half, by edit distance
 SQL["op1_lines"] = """
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (
     SELECT doc_id, pos - 1 AS pos, parts[pos] AS line
-    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM s) WHERE length(parts[pos]) >= 16
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM s) WHERE regexp_matches(parts[pos], '[^\x20\x09-\x0D]')
 ),
 c AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first_at FROM l GROUP BY line),
 k AS (
@@ -55,7 +55,7 @@ k AS (
         's' || n || right(line, n // 2), 's' || (n - 1) || right(line, (n - 1) // 2)]) AS half FROM c
 ),
 near AS (
-    SELECT DISTINCT a.line FROM k a JOIN k b ON a.half = b.half AND b.first_at < a.first_at AND abs(a.n - b.n) <= 1
+    SELECT DISTINCT a.line FROM k a JOIN k b ON a.half = b.half AND b.first_at < a.first_at AND abs(a.n - b.n) <= 1 AND greatest(a.n, b.n) >= 5
     WHERE levenshtein(a.line, b.line) <= 1
 ),
 gone AS (
