@@ -12,8 +12,8 @@ from tallygrove.llm.common import table
 def test_gradients_are_those_of_the_loss():
     net, rng = langid.Network(["a", "b", "c"], hidden=5), np.random.default_rng(0)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    x, y = rng.integers(0, 256, (3, 4, langid.STEP)).astype(np.uint8), np.array([0, 2, 1])
-    loss = lambda: -np.log(net.probabilities(x)[:, np.arange(3), :, y]).mean()
+    x, y = rng.integers(0, 256, (3, 7)).astype(np.uint8), np.array([0, 2, 1])
+    loss = lambda: -np.log(net.probabilities(x)[:, np.arange(3), y]).mean()
     grads = net.gradients(x, y)
     for k, v in net.w.items():
         places = np.argwhere(np.abs(grads[k]) > 1e-5)
@@ -27,6 +27,19 @@ def test_gradients_are_those_of_the_loss():
             assert abs((up - down) / 2e-3 - grads[k][at]) <= 0.03 * abs(grads[k][at]) + 1e-6
 
 
+def test_reading_side_by_side_is_reading_alone():
+    """Texts of many lengths at once, whole and in stretches, against one network run for each."""
+    net, rng = langid.Network(["a", "b", "c"], hidden=5), np.random.default_rng(1)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 300, 7, 40, 41, 250, 3)]
+    found = langid.pooled(net, texts, width=3)
+    cut = langid.pooled(net, texts, width=4, stretch=32, lead=8)
+    for k, t in enumerate(texts):
+        alone = lambda x: net.probabilities(np.frombuffer(x, dtype=np.uint8)[None])[:, 0]
+        assert np.allclose(found[k], alone(t).mean(axis=0) if t else 0, atol=1e-5)
+        parts = [alone(t[max(0, s - 8) : s + 40])[min(s, 8) :][:32] for s in range(0, len(t), 32)]
+        assert np.allclose(cut[k], np.concatenate(parts).mean(axis=0) if t else 0, atol=1e-5)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = table(spark, sf.replace("0.001", "0.01"), "documents")
     found = langid.identify(docs, per_language=200).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
