@@ -2,8 +2,12 @@
 
 The decoder reads prefix codes (simple and normal), meta prefix groups, back-references with the two-dimensional distance codes, the
 colour cache, and inverts the predictor, cross-colour, subtract-green and palette (with pixel bundling) transforms. The encoder writes
-literals, runs as back-references, and on request each of the transforms and the colour cache, so that all of the decoder can be tested
-by round trips.
+literals and back-references at any distance, and on request each of the transforms and the colour cache.
+
+Like the images of a crawl, those of a stored column are of several forms (FORMS), which need every part of the decoder: with a palette where there
+are 256 colours at most, with green subtracted and a colour cache, or with a predictor and cross-colour. A checksum of the pixels says which; the
+predictor's mode (left or above) is the one with the smaller residues. Photographs gain by the last form, texts do
+not: on texts of documents the mix takes 0.78 bytes a byte, and back-references alone would take 0.50.
 
 A payload is stored as an RGB image of 192 pixels (576 bytes) a row; one longer than max_rows rows is a sequence of such images, one WebP file
 after the other. Rows are encoded and decoded each for itself, so a task's memory is bounded by its longest text.
@@ -21,6 +25,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +37,10 @@ MAX_ROWS = 16_384  # the format's largest height
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LIMIT = 11  # bits of the encoder's longest code
 
-# Fixed values of the format: the order in which code length codes are stored, and the 120 near distances as y << 4 | 8 - x.
+# Fixed values of the format: the order in which code length codes are stored.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
-NEAR = bytes.fromhex(
-    "1807171928062729161a262a38053739151b363a252b48044749141c353b464a"
-    "242c58454b343c035759131d565a232d444c555b333d68026769121e666a222e"
-    "545c434d656b323e78017779535d111f646c424e767a212f757b313f636d525e"
-    "00747c414f1020626e30737d515f40727e616f50717f6070"
-)
+# The format's near distances, as (pixels to the left, rows up): by distance, then by how far to the side, left before right.
+NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
 # -- prefix codes ----------------------------------------------------------------------------------------------------------------------
@@ -82,6 +83,26 @@ def reading_table(lengths: bytes, shift: int = 0) -> tuple[list[tuple[int, int]]
     return table, (1 << top) - 1
 
 
+@lru_cache(maxsize=16)
+def _reversed(bits: int) -> np.ndarray:
+    """Every number of so many bits with its bits in reverse."""
+    x = np.arange(1 << bits)
+    return sum((x >> k & 1) << bits - 1 - k for k in range(bits)) if bits else x
+
+
+def packed_table(lengths: bytes) -> tuple[np.ndarray, int]:
+    """(symbol << 4 | bits for the next bits of the stream, how many those are) of a code of LIMIT bits at most."""
+    n = np.frombuffer(lengths, dtype=np.uint8)
+    used = np.flatnonzero(n)
+    if len(used) == 1:
+        return used << 4, 0
+    top = complete(lengths)
+    order = used[np.argsort(n[used], kind="stable")]
+    out = np.empty(1 << top, dtype=np.int64)
+    out[_reversed(top)] = np.repeat(order << 4 | n[order], 1 << top - n[order].astype(np.int64))
+    return out, top
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> list[int]:
     """Huffman code lengths of counts, halved until none is over the limit."""
     counts = counts.astype(np.int64)
@@ -158,20 +179,19 @@ def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
             out.put(s, 8)
         return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
     tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    last = len(lengths)
-    i = 0
-    while i < last:
-        j = i
-        while j < last and not lengths[j] and not lengths[i] and j - i < 138:
-            j += 1
-        if j - i >= 11:
-            tokens.append((18, j - i - 11, 7))
-        elif j - i >= 3:
-            tokens.append((17, j - i - 3, 3))
-        else:
-            j = i + 1
-            tokens.append((lengths[i], 0, 0))
-        i = j
+    at = 0
+    for symbol in [*used, len(lengths)]:
+        zeros = symbol - at
+        while zeros >= 11:
+            tokens.append((18, min(zeros, 138) - 11, 7))
+            zeros -= min(zeros, 138)
+        if zeros >= 3:
+            tokens.append((17, zeros - 3, 3))
+        elif zeros:
+            tokens += [(0, 0, 0)] * zeros
+        if symbol < len(lengths):
+            tokens.append((lengths[symbol], 0, 0))
+        at = symbol + 1
     own = [4] * 13 + [5] * 6  # a complete code for all 19 symbols
     codes = _own_codes()
     out.put(0, 1)
@@ -179,9 +199,12 @@ def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     for s in LENGTH_ORDER:
         out.put(own[s], 3)
     out.put(0, 1)
+    value = size = 0
     for s, extra, bits in tokens:
         code, n = codes[s]
-        out.put(code | extra << n, n + bits)
+        value |= (code | extra << n) << size
+        size += n + bits
+    out.put(value, size)
     return canonical(lengths) if len(used) > 1 else {used[0]: (0, 0)}
 
 
@@ -203,19 +226,58 @@ def cache_index(argb: np.ndarray, bits: int) -> np.ndarray:
     return ((argb.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFF_FFFF)) >> np.uint64(32 - bits)).astype(np.int64)
 
 
-def put_image(out: Writer, argb: np.ndarray, *, cache_bits: int = 0, main: bool = True, min_run: int = 4) -> None:
-    """An entropy-coded image: literals, runs of one pixel as back-references, and colour cache hits."""
+def references(argb: np.ndarray, least: int = 4, longest: int = 4096, farthest: int = 100_000) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, from the left as they come: each place is matched with the last one before it that has the same least pixels."""
+    n = len(argb) - least + 1
+    if n < 2:
+        return []
+    key = argb.astype(np.uint64)[:n]
+    for k in range(1, least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    again = np.flatnonzero(key[1:] == key[:-1])
+    here, before = order[again + 1], order[again]
+    same = here - before <= farthest
+    for k in range(least):
+        same &= argb[here + k] == argb[before + k]
+    distance = np.zeros(n + 1, dtype=np.int64)
+    distance[here[same]] = (here - before)[same]
+    edge = np.flatnonzero(np.diff(distance, prepend=0))
+    edge = edge[distance[edge] > 0]
+    if not len(edge):
+        return []
+    change = np.flatnonzero(np.diff(distance))
+    stop = change[np.searchsorted(change, edge)] + 1
+    out, covered = [], 0
+    for s, e, d in zip(edge.tolist(), stop.tolist(), distance[edge].tolist(), strict=True):
+        b = max(s, covered)
+        if b < e:
+            covered = e + least - 1
+            for at in range(b, covered, longest):
+                out.append((at, min(longest, covered - at), d))
+    return out
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance in pixels to the first near code that stands for it."""
+    out: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, y * width + x), code)
+    return out
+
+
+def put_image(out: Writer, argb: np.ndarray, width: int, *, cache_bits: int = 0, main: bool = True) -> None:
+    """An entropy-coded image: literals, back-references, and colour cache hits."""
     n = len(argb)
     out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         out.put(0, 1)  # one group of prefix codes
-    same = np.concatenate([[False], argb[1:] == argb[:-1], [False]])
-    edge = np.diff(same.astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    keep = end - begin >= min_run
-    runs = [(b, min(4096, e - b)) for s, e in zip(begin[keep].tolist(), end[keep].tolist(), strict=True) for b in range(s, e, 4096)]
+    near = _near_codes(width)
+    runs = references(argb)
     covered = np.zeros(n + 1, dtype=np.int64)
-    for b, length in runs:
+    for b, length, _ in runs:
         covered[b] += 1
         covered[b + length] -= 1
     literal = np.flatnonzero(np.cumsum(covered[:n]) == 0)
@@ -228,7 +290,8 @@ def put_image(out: Writer, argb: np.ndarray, *, cache_bits: int = 0, main: bool
         before = np.concatenate([[False], (index[order[1:]] == index[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])])
         hit[order] = before
     plain, cached = literal[~hit[literal]], literal[hit[literal]]
-    lengths = [prefix_symbol(length) for _, length in runs]
+    lengths = [prefix_symbol(length) for _, length, _ in runs]
+    distances = [prefix_symbol(near.get(d, d + 120)) for _, _, d in runs]
     green = np.bincount(channels["g"][plain], minlength=280 + (1 << cache_bits if cache_bits else 0))
     green += np.bincount(index[cached] + 280, minlength=len(green))
     for s, _, _ in lengths:
@@ -240,8 +303,7 @@ def put_image(out: Writer, argb: np.ndarray, *, cache_bits: int = 0, main: bool
     codes = {"g": put_code(out, code_lengths(green))}
     codes["r"] = codes["b"] = put_code(out, code_lengths(joint) if joint.any() else lone, again=2)  # red and blue share a code
     codes["a"] = put_code(out, code_lengths(alpha) if alpha.any() else lone)
-    near_left = [0, 1] + [0] * 38  # distance code 2: the pixel to the left, symbol 1
-    put_code(out, near_left)
+    far = put_code(out, code_lengths(np.bincount([s for s, _, _ in distances], minlength=40)) if runs else lone[:40])
 
     def table(of: dict[int, tuple[int, int]]) -> np.ndarray:
         out = np.zeros((2, len(green)), dtype=np.int64)
@@ -260,13 +322,22 @@ def put_image(out: Writer, argb: np.ndarray, *, cache_bits: int = 0, main: bool
     value[plain], bits[plain] = own_value, own_bits
     if len(cached):
         value[cached], bits[cached] = tables["g"][:, index[cached] + 280]
-    for (b, _), (s, extra, more) in zip(runs, lengths, strict=True):
-        code, length = codes["g"][256 + s]
-        value[b], bits[b] = code | extra << length, length + more
-    written = np.sort(np.concatenate([literal, np.array([b for b, _ in runs], dtype=np.int64)]))
+    for (b, _, _), (s, extra, more), (t, extra_far, more_far) in zip(runs, lengths, distances, strict=True):
+        (code, length), (code_far, length_far) = codes["g"][256 + s], far[t]
+        value[b] = code | extra << length | (code_far | extra_far << length_far) << length + more
+        bits[b] = length + more + length_far + more_far
+    written = np.sort(np.concatenate([literal, np.array([b for b, _, _ in runs], dtype=np.int64)]))
     out.put_many(value[written], bits[written])
 
 
+@lru_cache(maxsize=4096)
+def _even_image(pixel: int, n: int, width: int) -> tuple[int, int]:
+    """(bits, how many) of an image of n equal pixels."""
+    out = Writer()
+    put_image(out, np.full(n, pixel, dtype=np.int64), width, main=False)
+    return out.value, out.n
+
+
 def encode(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tuple[int, ...] = (), mode: int = 1, block_bits: int = 4) -> bytes:
     """A WebP file of rows of RGB pixels (array of n x 3); transforms are applied in the order given, each at most once."""
     argb = (0xFF000000 | rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]).astype(np.int64)
@@ -281,7 +352,7 @@ def encode(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tupl
             out.put(block_bits - 2, 3)
             tiles = ((now + (1 << block_bits) - 1) >> block_bits) * ((height + (1 << block_bits) - 1) >> block_bits)
             element = 0xFF000000 | (mode << 8 if kind == PREDICTOR else 5 << 16 | 250 << 8 | 7)
-            put_image(out, np.full(tiles, element, dtype=np.int64), main=False)
+            out.put(*_even_image(element, tiles, (now + (1 << block_bits) - 1) >> block_bits))
             argb = _minus(argb, predicted(argb, now, mode)) if kind == PREDICTOR else cross_colour(argb, np.full(len(argb), element), -1)
         elif kind == SUBTRACT_GREEN:
             green = argb >> 8 & 255
@@ -291,19 +362,24 @@ def encode(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tupl
             if len(table) > 256:
                 raise ValueError("a palette holds 256 colours at most")
             out.put(len(table) - 1, 8)
-            put_image(out, _minus(table, np.concatenate([[0], table[:-1]])), main=False)
+            put_image(out, _minus(table, np.concatenate([[0], table[:-1]])), len(table), main=False)
             argb, now = bundle(argb, now, len(table))
     out.put(0, 1)
-    put_image(out, argb, cache_bits=cache_bits)
+    put_image(out, argb, now, cache_bits=cache_bits)
     data = out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk
 
 
 # -- transforms ------------------------------------------------------------------------------------------------------------------------
+def _bytes(argb: np.ndarray) -> np.ndarray:
+    """n x 4 array of blue, green, red and alpha."""
+    return argb.astype("<u4").view(np.uint8).reshape(-1, 4)
+
+
 def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Channel by channel, modulo 256."""
-    return sum(((a >> s & 255) - (b >> s & 255) & 255) << s for s in (0, 8, 16, 24))
+    return (_bytes(a) - _bytes(b)).view("<u4").ravel().astype(np.int64)
 
 
 def _plus(a: int, b: int) -> int:
@@ -385,10 +461,31 @@ def _around(px, i: int, width: int, mode: int) -> int:
 
 def predicted(argb: np.ndarray, width: int, mode: int) -> np.ndarray:
     """What one mode predicts for every pixel of a known image."""
+    if mode in (1, 2):
+        before = np.concatenate([[0xFF000000], argb[:-1]])
+        above = before.copy()
+        above[width:] = argb[:-width]
+        if mode == 2:
+            return above
+        before[width::width] = above[width::width]
+        return before
     px = argb.tolist()
     return np.array([_around(px, i, width, mode) for i in range(len(px))], dtype=np.int64)
 
 
+def unpredicted(residue: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """The image of residues of mode 1 (left) or 2 (above), by running sums."""
+    px = _bytes(residue).reshape(-1, width, 4).copy()
+    px[0, 0, 3] += 255  # the first pixel's prediction is black
+    px[0] = np.cumsum(px[0], axis=0, dtype=np.uint8)
+    if mode == 1:
+        px[:, 0] = np.cumsum(px[:, 0], axis=0, dtype=np.uint8)
+        px[1:] = np.cumsum(px[1:], axis=1, dtype=np.uint8)
+    else:
+        px = np.cumsum(px, axis=0, dtype=np.uint8)
+    return px.reshape(-1, 4).view("<u4").ravel().astype(np.int64)
+
+
 def cross_colour(argb: np.ndarray, element: np.ndarray, sign: int) -> np.ndarray:
     """Add (sign 1) or take away (-1) what green says of red and blue, and red of blue."""
     signed = lambda x: (x & 255 ^ 128) - 128
@@ -470,20 +567,32 @@ class Reader:
         for s in LENGTH_ORDER[: 4 + self.get(4)]:
             own[s] = self.get(3)
         left = 2 + self.get(2 + 2 * self.get(3)) if self.get(1) else size
-        table, i, before = (bytes(own), 0), 0, 8
+        table, mask = reading_table(bytes(own), 0)
+        i, before, data, at, value, n = 0, 8, self.data, self.at, self.value, self.n
         while i < size and left:
             left -= 1
-            s = self.symbol(table)
+            if n < 24:
+                value |= int.from_bytes(data[at : at + 12], "little") << n
+                at += 12
+                n += 96
+            s, bits = table[value & mask]
+            value >>= bits
+            n -= bits
             if s < 16:
                 lengths[i] = s
                 before = s or before
                 i += 1
                 continue
-            value, times = (before, 3 + self.get(2)) if s == 16 else (0, 3 + self.get(3)) if s == 17 else (0, 11 + self.get(7))
+            bits, times = (2, 3) if s == 16 else (3, 3) if s == 17 else (7, 11)
+            times += value & (1 << bits) - 1
+            value >>= bits
+            n -= bits
             if i + times > size:
                 raise ValueError("code lengths run past the alphabet")
-            lengths[i : i + times] = bytes([value]) * times
+            if s == 16:
+                lengths[i : i + times] = bytes([before]) * times
             i += times
+        self.at, self.value, self.n = at, value, n
         return bytes(lengths), shift
 
     def number(self, symbol: int) -> int:
@@ -509,17 +618,15 @@ class Reader:
         codes = [[self.code(280 + (1 << cache_bits if cache_bits else 0)), *[self.code(256, shift) for shift in (16, 0, 24)], self.code(40)] for _ in range(groups)]
         return {"width": width, "total": width * height, "cache_bits": cache_bits, "meta": meta, "meta_bits": meta_bits, "side": side, "codes": codes}
 
-    def body(self, head: dict, out: list[int], green: int | None = None) -> np.ndarray:
-        """The pixels, of which out has the first ones already (none if there is a colour cache); green is the next symbol if it is read already."""
+    def body(self, head: dict, out: list[int]) -> np.ndarray:
+        """The pixels, of which out has the first ones already."""
         width, total, cache_bits, meta, meta_bits, side, codes = head.values()
         cache = [0] * (1 << cache_bits) if cache_bits else None
         seen = 0  # pixels already in the cache
         shift = 32 - cache_bits
         group = codes[0]
         while len(out) < total:
-            if green is not None:
-                pass
-            elif meta is None and cache is None:
+            if meta is None and cache is None:
                 green = self._literals(group, out, total)
                 if green is None:
                     break
@@ -533,7 +640,7 @@ class Reader:
                 out.append(alpha | red | green << 8 | blue)
             elif green < 280:
                 length, code = self.number(green - 256), self.number(self.symbol(group[4]))
-                distance = code - 120 if code > 120 else max(1, (NEAR[code - 1] >> 4) * width + 8 - (NEAR[code - 1] & 15))
+                distance = code - 120 if code > 120 else max(1, NEAR[code - 1][1] * width + NEAR[code - 1][0])
                 if distance > len(out) or len(out) + length > total:
                     raise ValueError("a back-reference leaves the image")
                 if distance >= length:
@@ -547,7 +654,6 @@ class Reader:
                     cache[(px * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = px
                 seen = len(out)
                 out.append(cache[green - 280])
-            green = None
         self.check()
         return np.array(out, dtype=np.int64)
 
@@ -632,8 +738,12 @@ def undone(argb: np.ndarray, undo: list) -> np.ndarray:
             if kind == CROSS_COLOUR:
                 argb = cross_colour(argb, element, 1)
             else:
-                px, modes = argb.tolist(), (element >> 8 & 15).tolist()
-                for i, mode in enumerate(modes):
+                modes = element >> 8 & 15
+                if modes[0] in (1, 2) and (modes == modes[0]).all():
+                    argb = unpredicted(argb, w, int(modes[0]))
+                    continue
+                px = argb.tolist()
+                for i, mode in enumerate(modes.tolist()):
                     px[i] = _plus(px[i], _around(px, i, w, mode))
                 argb = np.array(px, dtype=np.int64)
     return argb
@@ -645,90 +755,130 @@ def decode(file: bytes) -> tuple[np.ndarray, int, int]:
     return undone(bits.body(head, []), undo), width, height
 
 
-def decode_many(files: list[bytes], least: int = 24) -> list[tuple[np.ndarray, int, int]]:
+def decode_many(files: list[bytes], least: int = 64) -> list[tuple[np.ndarray, int, int]]:
     """What decode() gives for each file.
 
-    Images with one group of codes and no colour cache are read side by side, a pixel of each at a time, while they have literals and there are least of
-    them; each goes on by itself from its first back-reference, or when few are left.
+    Images with one group of codes of LIMIT bits at most are read side by side, a pixel of each at a time, while there are least of them; the longest ones
+    that are left then go on each by itself.
     """
     found = [opened(f) for f in files]
-    begun: list[tuple[list[int], int | None]] = [([], None) for _ in files]
-    wide = [i for i, (_, head, *_) in enumerate(found) if head["meta"] is None and not head["cache_bits"] and max(map(max, (code[0] for code in head["codes"][0][:4]))) <= LIMIT]
+    begun: list = [[] for _ in files]
+    wide = [i for i, (_, head, *_) in enumerate(found) if head["meta"] is None and max(map(max, (code[0] for code in head["codes"][0]))) <= LIMIT]
     if len(wide) >= least:
-        for i, (px, green, bit) in zip(wide, _side_by_side([found[i][:2] for i in wide], least), strict=True):
-            begun[i] = px, green
+        for i, (px, bit) in zip(wide, _side_by_side([found[i][:2] for i in wide], least), strict=True):
+            begun[i] = px
             found[i][0].seek(bit)
-    return [(undone(bits.body(head, out, green), undo), width, height) for (bits, head, undo, width, height), (out, green) in zip(found, begun, strict=True)]
+    whole = [np.asarray(out, dtype=np.int64) if len(out) == head["total"] else bits.body(head, list(out)) for (bits, head, *_), out in zip(found, begun, strict=True)]
+    return [(undone(px, undo), width, height) for px, (_, _, undo, width, height) in zip(whole, found, strict=True)]
+
 
+def _extra(value: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, bits used) of lengths or distances from their prefix symbols and the bits that follow."""
+    bits = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    more = (value & (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+    return np.where(symbol < 4, symbol + 1, (2 + (symbol & 1) << bits) + more + 1), bits
 
-def _side_by_side(images: list[tuple[Reader, dict]], least: int) -> list[tuple[list[int], int | None, int]]:
-    """(first pixels, the symbol after them where that is no literal, bit position after what is read) of each image."""
+
+def _side_by_side(images: list[tuple[Reader, dict]], least: int) -> list[tuple[np.ndarray, int]]:
+    """(first pixels, bit position after them) of each image. A lane is an image; every lane has one pixel more after each step, read or copied."""
     n, room = len(images), 1 << LIMIT
     sizes = np.array([len(bits.data) for bits, _ in images], dtype=np.int64)
     base = np.cumsum(sizes + 8) - sizes - 8
     buffer = b"".join(bits.data + bytes(8) for bits, _ in images)
     words = np.lib.stride_tricks.as_strided(np.frombuffer(buffer, dtype="<u8", count=1), shape=(len(buffer) - 7,), strides=(1,))
-    start = base * 8 + np.array([8 * bits.at - bits.n for bits, _ in images], dtype=np.int64)
-    tables, masks = np.zeros((4, n * room), dtype=np.int32), np.zeros((4, n), dtype=np.uint64)
-    for i, (_, head) in enumerate(images):
-        for c, code in enumerate(head["codes"][0][:4]):
-            lengths = code[0]
-            if c == 2 and lengths == head["codes"][0][1][0]:
-                tables[2, i * room : (i + 1) * room], masks[2, i] = tables[1, i * room : (i + 1) * room], masks[1, i]
-                continue
-            top = 0 if lengths.count(0) == len(lengths) - 1 else complete(lengths)
-            masks[c, i] = (1 << top) - 1
-            own = tables[c, i * room : i * room + (1 << top)]
-            if not top:
-                own[0] = (len(lengths) - 1 - lengths[::-1].index(max(lengths))) << 4
-            else:
-                for s, (value, k) in canonical(lengths).items():
-                    own[value :: 1 << k] = s << 4 | k
+    last = len(words) - 1
     totals = np.array([head["total"] for _, head in images], dtype=np.int64)
+    order = np.argsort(-totals, kind="stable")  # the last lanes are complete first
+    images, totals = [images[i] for i in order], totals[order]
+    tables, masks = np.zeros((5, n * room), dtype=np.int32), np.zeros((5, n), dtype=np.uint64)
+    widths = np.array([head["width"] for _, head in images], dtype=np.int64)
+    cache_bits = np.array([head["cache_bits"] for _, head in images], dtype=np.uint64)
+    for i, (_, head) in enumerate(images):
+        made: dict[bytes, tuple[np.ndarray, int]] = {}
+        for c, (lengths, _) in enumerate(head["codes"][0]):
+            if lengths not in made:
+                made[lengths] = packed_table(lengths)
+            table, top = made[lengths]
+            tables[c, i * room : i * room + (1 << top)], masks[c, i] = table, (1 << top) - 1
+    pos = base[order] * 8 + np.array([8 * bits.at - bits.n for bits, _ in images], dtype=np.int64)
     place = np.cumsum(totals) - totals
-    out, done, at, symbol = np.zeros(int(totals.sum()), dtype=np.int64), np.zeros(n, dtype=np.int64), start.copy(), np.full(n, -1)
-    lane = np.argsort(-totals, kind="stable")
-    with_alpha = bool(masks[3].any())
-    alphas = (tables[3, ::room] >> 4).astype(np.int64) << 24
-    pos, row, (gm, rm, bm, am), goal, t = start[lane], lane * room, masks[:, lane], totals[lane], 0
-    last = len(words) - 1
-    while len(lane) >= least:
-        value = words[np.minimum(pos >> 3, last)] >> (pos & 7).astype(np.uint64)
-        green = tables[0].take(row + (value & gm).astype(np.int64))
-        used = green & 15
-        value >>= used.astype(np.uint64)
-        red = tables[1].take(row + (value & rm).astype(np.int64))
-        bits = red & 15
-        value >>= bits.astype(np.uint64)
-        used += bits
-        blue = tables[2].take(row + (value & bm).astype(np.int64))
-        bits = blue & 15
-        used += bits
-        px = (red >> 4 << 16 | green >> 4 << 8 | blue >> 4).astype(np.int64)
-        if with_alpha:
-            value >>= bits.astype(np.uint64)
-            alpha = tables[3].take(row + (value & am).astype(np.int64))
-            used += alpha & 15
-            px |= (alpha >> 4).astype(np.int64) << 24
-        stays = green < 256 << 4
-        if stays.all():
-            out[place[lane] + t] = px
-            pos += used
+    out = np.zeros(int(totals.sum()), dtype=np.int64)
+    left, distance = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    with_cache = bool(cache_bits.any())
+    cache_room = 1 << int(cache_bits.max())
+    cache = np.zeros(n * cache_room if with_cache else 0, dtype=np.int64)
+    near = np.array(NEAR, dtype=np.int64)
+    lanes, t, end = n, 0, pos.copy()
+    row = np.arange(n) * room
+    while True:
+        while lanes and totals[lanes - 1] <= t:
+            lanes -= 1
+        if lanes < least:
+            break
+        reading = np.flatnonzero(left[:lanes] == 0)
+        value = words[np.minimum(pos[reading] >> 3, last)] >> (pos[reading] & 7).astype(np.uint64)
+        at = row[reading]
+        symbol = tables[0].take(at + (value & masks[0][reading]).astype(np.int64))
+        used = symbol & 15
+        green = (symbol >> 4).astype(np.int64)
+        px = np.zeros(lanes, dtype=np.int64)
+        plain = np.flatnonzero(green < 256)
+        other = np.flatnonzero(green >= 256) if len(plain) < len(green) else plain[:0]
+        if len(other):
+            who, more, of = reading[other], value[other] >> used[other].astype(np.uint64), green[other]
+            cached = of >= 280
+            if cached.any():
+                px[who[cached]] = cache[who[cached] * cache_room + of[cached] - 280]
+            copying = ~cached
+            if copying.any():
+                who, more, of = who[copying], more[copying], of[copying] - 256
+                length, bits = _extra(more, of)
+                more >>= bits.astype(np.uint64)
+                far = tables[4].take(row[who] + (more & masks[4][who]).astype(np.int64))
+                back, further = _extra(more >> (far & 15).astype(np.uint64), (far >> 4).astype(np.int64))
+                spot = near[np.minimum(back, 120) - 1]
+                back = np.where(back > 120, back - 120, np.maximum(1, spot[:, 1] * widths[who] + spot[:, 0]))
+                if (back > t).any() or (t + length > totals[who]).any():
+                    raise ValueError("a back-reference leaves the image")
+                left[who], distance[who] = length, back
+                pos[who] += bits + (far & 15) + further
+            value, at, green = value[plain], at[plain], green[plain]
+            pos[reading] += used
+            reading, used = reading[plain], used[plain]
         else:
-            gone = ~stays
-            done[lane[gone]], at[lane[gone]], symbol[lane[gone]] = t, pos[gone] + (green[gone] & 15), green[gone] >> 4
-            lane, pos, row, goal, gm, rm, bm, am, used, px = (x[stays] for x in (lane, pos, row, goal, gm, rm, bm, am, used, px))
-            out[place[lane] + t] = px
-            pos += used
+            pos[reading] += used
+        value = value >> used.astype(np.uint64)
+        bits = np.zeros(len(reading), dtype=np.int64)
+        found = green << 8
+        for c, shift in ((1, 16), (2, 0), (3, 24)):
+            symbol = tables[c].take(at + (value & masks[c][reading]).astype(np.int64))
+            own = symbol & 15
+            value >>= own.astype(np.uint64)
+            bits += own
+            found |= (symbol >> 4).astype(np.int64) << shift
+        px[reading] = found
+        pos[reading] += bits
+        copies = np.flatnonzero(left[:lanes])
+        if len(copies):
+            px[copies] = out[place[copies] + t - distance[copies]]
+            left[copies] -= 1
+        out[place[:lanes] + t] = px
+        if with_cache:
+            spread = (px.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFF_FFFF)) >> (np.uint64(32) - cache_bits[:lanes])
+            cache[np.arange(lanes) * cache_room + np.where(cache_bits[:lanes] > 0, spread, np.uint64(0)).astype(np.int64)] = px
         t += 1
-        if len(goal) and goal[-1] <= t:  # in order of size: the last ones are complete first
-            k = int(np.searchsorted(-goal, -t))
-            done[lane[k:]], at[lane[k:]] = t, pos[k:]
-            lane, pos, row, goal, gm, rm, bm, am = (x[:k] for x in (lane, pos, row, goal, gm, rm, bm, am))
-    done[lane], at[lane] = t, pos
-    if not with_alpha:
-        out |= np.repeat(alphas, totals)
-    return [(out[p : p + k].tolist(), None if s < 0 else s, bit) for p, k, s, bit in zip(place.tolist(), done.tolist(), symbol.tolist(), (at - base * 8).tolist(), strict=True)]
+    if ((pos - base[order] * 8) > 8 * sizes[order]).any():
+        raise ValueError("the stream ends too soon")
+    done = np.minimum(totals, t)
+    results: list = [None] * n
+    for i, k in enumerate(order.tolist()):
+        px = out[place[i] : place[i] + done[i]]
+        if left[i] and done[i] < totals[i]:  # a copy that is under way
+            px = px.tolist()
+            for _ in range(int(left[i])):
+                px.append(px[-int(distance[i])])
+        results[k] = (px, int(pos[i] - base[k] * 8))
+    return results
 
 
 def pixels(argb: np.ndarray) -> np.ndarray:
@@ -737,10 +887,28 @@ def pixels(argb: np.ndarray) -> np.ndarray:
 
 
 # -- payloads --------------------------------------------------------------------------------------------------------------------------
+FORMS = [{"transforms": (PALETTE,)}, {"transforms": (SUBTRACT_GREEN,), "cache_bits": 5}, {"transforms": (PREDICTOR, CROSS_COLOUR)}]
+
+
+def form_of(rgb: np.ndarray, width: int) -> dict:
+    """How an image is stored: the form that its pixels' checksum says, without the palette if it has more than 256 colours, and with the better of two predictors."""
+    form = dict(FORMS[zlib.crc32(rgb.tobytes()) % len(FORMS)])
+    argb = rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]
+    if PALETTE in form["transforms"] and len(pd.unique(argb)) > 256:
+        form["transforms"] = ()
+    if PREDICTOR in form["transforms"]:
+        size = [int(np.abs(_bytes(_minus(argb, predicted(argb, width, mode) & 0xFFFFFF)).view(np.int8).astype(np.int64)).sum()) for mode in (1, 2)]
+        form["mode"] = 1 if size[0] <= size[1] else 2
+    return form
+
+
 def store(payload: bytes, max_rows: int = MAX_ROWS) -> bytes:
     """A payload of whole rows as one WebP file, or several one after the other."""
-    step = ROW * max_rows
-    return b"".join(encode(np.frombuffer(payload[i : i + step], dtype=np.uint8).reshape(-1, 3), PIXELS) for i in range(0, len(payload), step))
+    step, out = ROW * max_rows, []
+    for i in range(0, len(payload), step):
+        rgb = np.frombuffer(payload[i : i + step], dtype=np.uint8).reshape(-1, 3)
+        out.append(encode(rgb, PIXELS, **form_of(rgb, PIXELS)))
+    return b"".join(out)
 
 
 def load_many(media: list[bytes]) -> list[tuple[np.ndarray, int]]:

@@ -86,7 +86,7 @@ def test_predictors(mode):
 
 def test_near_distances():
     """The table's order: by distance, and each place once."""
-    places = [(c >> 4, 8 - (c & 15)) for c in webp.NEAR]
+    places = [(y, x) for x, y in webp.NEAR]
     assert len(set(places)) == 120 and places[:4] == [(1, 0), (0, 1), (1, 1), (1, -1)]
     far = [y * y + x * x for y, x in places]
     assert far == sorted(far)
@@ -105,6 +105,26 @@ def test_side_by_side():
     assert webp.decode_many([]) == []
 
 
+def test_stored_images_need_every_part_of_the_decoder(spark):
+    """Of the documents' images: each transform, the colour cache, literals, and back-references near and far."""
+    from tallygrove.llm.common import table
+
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select("text").limit(300).collect()
+    seen, cached, far, near = set(), 0, 0, 0
+    for (t,) in rows:
+        raw = (t or "").encode()
+        rgb = np.frombuffer(raw + b"\xff" * (-len(raw) % 576 if raw else 576), dtype=np.uint8).reshape(-1, 3)
+        form = webp.form_of(rgb, webp.PIXELS)
+        _, head, undo, width, _ = webp.opened(webp.encode(rgb, webp.PIXELS, **form))
+        seen |= {kind for kind, *_ in undo}
+        cached += head["cache_bits"] > 0
+        argb = rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]
+        distances = [d for _, _, d in webp.references(argb)]
+        near += sum(d in webp._near_codes(webp.PIXELS) for d in distances)
+        far += sum(d not in webp._near_codes(webp.PIXELS) for d in distances)
+    assert seen == {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN, webp.PALETTE} and cached and near and far
+
+
 def test_broken_files():
     good = webp.encode(np.zeros((4, 3), dtype=np.uint8), 2)
     for bad in (b"", good[:12], b"RIFF" + good[4:12] + b"VP8 " + good[16:]):
