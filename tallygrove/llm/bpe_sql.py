@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import blocks, emit
+from tallygrove.llm.common import blocks, emit, frees
 from tallygrove.llm.pretokens import Vocabulary, word_rows
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_words", pa.int64())])
@@ -128,6 +128,7 @@ def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_words of every row."""
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+    @frees
     def run(batches):
         for block in blocks(batches, "text", block_bytes):
             found = list(digests([t or "" for t in block.column("text").to_pylist()], path))
@@ -142,6 +143,7 @@ def encode_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    @frees
     def run(batches):
         for block in blocks(batches, "text", block_bytes):
             known, ids = vocabulary(path), []
@@ -158,6 +160,7 @@ def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.binary())])
 
+    @frees
     def run(batches):
         db = vocabulary(path).store.db
         for batch in batches:

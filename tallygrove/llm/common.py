@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from functools import cache, cached_property
+from functools import cache, cached_property, wraps
 
 import numpy as np
 import pandas as pd
@@ -97,6 +97,17 @@ def release() -> None:
         trim(0)
 
 
+def frees(run):
+    """A task that, once it is over and nothing of it is held, gives its memory back."""
+
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of long texts by fewer rows for what is executed inside, unless the session says otherwise already: both ends of the socket hold a batch in memory."""
@@ -128,8 +139,6 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             held.append(batch.slice(start, n - start))
     if held:
         yield pa.Table.from_batches(held)
-    del held
-    release()
 
 
 def emit(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
@@ -184,28 +193,22 @@ class SpanHash:
     _powers = np.ones(1, dtype=np.uint64)
     _inverse, _small, _small_inverse = _powers, _powers, _powers
 
-    @classmethod
-    def reach(cls, n: int) -> None:
-        """Make the tables of powers n long."""
-        if len(cls._powers) >= n:
-            return
-        size = max(n, 1 << 16)
-        for name, base in (("_powers", cls.BASE), ("_inverse", pow(cls.BASE, -1, 1 << 64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            setattr(cls, name, np.multiply.accumulate(p))
-        cls._small = _powers_modulo(cls.SMALL, size)
-        cls._small_inverse = _powers_modulo(pow(cls.SMALL, -1, int(PRIME)), size)
-
     def __init__(self, symbols: np.ndarray):
         n = len(symbols) + 1
-        self.reach(n)
+        if len(SpanHash._powers) < n:
+            for name, base in (("_powers", self.BASE), ("_inverse", pow(self.BASE, -1, 1 << 64))):
+                p = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+                p[0] = 1
+                setattr(SpanHash, name, np.multiply.accumulate(p))
         self.sums, self.symbols = np.zeros(n, dtype=np.uint64), symbols
         np.cumsum(spread()[symbols] * SpanHash._powers[: n - 1], out=self.sums[1:])
 
     @cached_property
     def small(self) -> np.ndarray:
         out = np.zeros(len(self.sums), dtype=np.uint64)
+        if len(SpanHash._small) < len(out):
+            size = max(len(out), 1 << 16)
+            SpanHash._small, SpanHash._small_inverse = _powers_modulo(self.SMALL, size), _powers_modulo(pow(self.SMALL, -1, int(PRIME)), size)
         np.cumsum(_modulo((spread()[self.symbols] >> np.uint64(34)) * SpanHash._small[: len(out) - 1]), out=out[1:])
         return out
 
@@ -220,9 +223,10 @@ class SpanHash:
     def joined(self, spans: list[tuple[np.ndarray, np.ndarray, int]], lengths: np.ndarray, extra: tuple = ()) -> np.ndarray:
         """Hashes of spans put together: each (start, end, place at which its first symbol then stands), and single symbols extra (code point, place)."""
         raw = small = np.zeros(1, dtype=np.uint64)
+        sums_modulo = self.small
         for start, end, place in spans:
             raw = raw + (self.sums[end] - self.sums[start]) * SpanHash._inverse[start] * SpanHash._powers[place]
-            moved = _modulo(_modulo(self.small[end] - self.small[start]) * SpanHash._small_inverse[start])
+            moved = _modulo(_modulo(sums_modulo[end] - sums_modulo[start]) * SpanHash._small_inverse[start])
             small = small + (moved if isinstance(place, int) and place == 0 else _modulo(moved * SpanHash._small[place]))
         for symbol, place in extra:
             raw = raw + spread()[symbol] * SpanHash._powers[place]

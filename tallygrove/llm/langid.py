@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import blocks, emit
+from tallygrove.llm.common import blocks, emit, frees
 
 STRETCH, LEAD, HIDDEN = 2048, 128, 8
 PREDICTIONS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -215,6 +215,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     labels = sorted({lang for _, lang in found})
     net = train([(t, labels.index(lang)) for t, lang in found], labels) if labels else None
 
+    @frees
     def run(batches):
         for block in blocks(batches, "text", block_bytes):
             texts = [t or b"" for t in block.column("text").to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, done
+from tallygrove.llm.common import SpanHash, blocks, cut, done, frees
 from tallygrove.llm.pretokens import code_points
 
 MAX_EDITS, SIMILARITY = 1, 0.8
@@ -92,6 +92,7 @@ def variants(lines: list[str], max_edits: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _emit_variants(max_edits: int, block_bytes: int):
+    @frees
     def run(batches):
         for block in blocks(batches, "line", block_bytes):
             who, key, gone, wild = variants(block.column("line").to_pylist(), max_edits)

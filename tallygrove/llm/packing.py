@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import blocks, emit
+from tallygrove.llm.common import blocks, emit, frees
 from tallygrove.llm.pretokens import Vocabulary, gathered, word_rows
 
 SPECIAL = "<|endoftext|>"
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost."""
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
 
+    @frees
     def run(batches):
         packer, sequence = Packer(capacity, linear, quadratic), TaskContext.get().partitionId() << 32
         for block in blocks(batches, "text", block_bytes):

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import blocks, cut, discard, done, emit, first_places, fresh_path, small_batches, span_classes
+from tallygrove.llm.common import blocks, cut, discard, done, emit, first_places, frees, fresh_path, small_batches, span_classes
 
 ORDER = 5
 SYMBOLS = b"#*$%&|<>"
@@ -145,6 +145,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _count(block_bytes: int, limit: int = 1_000_000):
     """A task that counts its n-grams, and the documents of its words, by language; it sums up what it holds beyond limit keys, and sends it on if that is still too much."""
 
+    @frees
     def run(batches):
         held: dict[tuple[int, str], list] = {}
 
@@ -319,6 +320,7 @@ def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_by
     """
     names = [*("text" if c == text_col else f"k{i}" for i, c in enumerate(kept)), "lang", *(["text"] if text_col not in kept else [])]
 
+    @frees
     def run(batches):
         renamed = (b.rename_columns(names) for b in batches)
         for block in blocks(renamed, "text", block_bytes):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, fresh_path, small_batches
+from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, frees, fresh_path, small_batches
 
 MATCH, ANCHOR = 400, 128
 TILE = 1 << 18
@@ -82,6 +82,7 @@ def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile:
 
 
 def _find_anchors(match: int, anchor: int, block_bytes: int):
+    @frees
     def run(batches):
         for block in blocks(batches, "text", block_bytes):
             found = anchors(block.column("text").to_pylist(), match, anchor)
@@ -200,6 +201,7 @@ def _index(match: int, block_bytes: int):
             which, s, e = map(np.array, zip(*found, strict=True))
             yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").to_numpy()[which], "s": s, "e": e}, MARKS)
 
+    @frees
     def run(batches):
         held: pa.Table | None = None
         for block in blocks(batches, "piece", block_bytes):

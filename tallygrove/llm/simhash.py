@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import cut, emit
+from tallygrove.llm.common import cut, emit, frees
 from tallygrove.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -53,6 +53,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and t (hash of the text) of every row."""
 
+    @frees
     def run(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
@@ -132,6 +133,7 @@ def _compare(small: int, max_bits: int):
             links = links[links[:, 0] != links[:, 1]]
             yield emit({"a": np.ascontiguousarray(links[:, 0]), "b": np.ascontiguousarray(links[:, 1])}, LINKS)
 
+    @frees
     def run(batches):
         held_c, held_f = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:

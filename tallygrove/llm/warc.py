@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import blocks, cut, emit, fresh_path
+from tallygrove.llm.common import blocks, cut, emit, frees, fresh_path
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGES = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -197,6 +197,7 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 def write_packages(rows: DataFrame, folder: str, *, package_bytes: int = 16 << 20) -> DataFrame:
     """archive, records, bytes of the packages that the rows of with_revisits() were written to."""
 
+    @frees
     def run(batches):
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
@@ -215,6 +216,7 @@ def write_packages(rows: DataFrame, folder: str, *, package_bytes: int = 16 << 2
 def read_packages(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """Every record of the packages listed in column archive."""
 
+    @frees
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import blocks, cut, emit
+from tallygrove.llm.common import blocks, cut, emit, frees
 
 ROW, PIXELS = 576, 192
 MAX_ROWS = 16_384  # the format's largest height
@@ -936,6 +936,7 @@ FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media of every row."""
 
+    @frees
     def run(batches):
         for block in blocks(batches, "text", 1 << 20):
             texts = [t or b"" for t in block.column("text").to_pylist()]
@@ -948,6 +949,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def features(media: DataFrame) -> DataFrame:
     """What the decoded pixels of a media column give: size, digests, and a feature text of rows and mean colour."""
 
+    @frees
     def run(batches):
         for block in blocks(batches, "media", 3 << 20):
             out = {name: [] for name in FEATURES.names}
