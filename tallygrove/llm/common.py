@@ -132,11 +132,13 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             if size and size + lengths[i] > limit:
                 if i > start:
                     held.append(batch.slice(start, i - start))
-                yield pa.Table.from_batches(held)
-                held, size, start = [], 0, i
+                whole, held, size, start = pa.Table.from_batches(held), [], 0, i
+                yield whole
+                del whole
             size += lengths[i]
         if n > start:
             held.append(batch.slice(start, n - start))
+        del batch
     if held:
         yield pa.Table.from_batches(held)
 

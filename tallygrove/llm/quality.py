@@ -274,19 +274,19 @@ def gram_hashes(lang: str, order: int, gram: np.ndarray) -> np.ndarray:
 
 def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, np.ndarray]:
     """Base-two log probability of distinct order-ORDER grams; unseen ones back off through the weights of their contexts."""
-    hashes = {}
+    asked: dict[str, list] = {}
     for lang, g in grams_of.items():
         ends = [g & ((1 << 8 * order) - 1) for order in range(ORDER, 0, -1)]
-        hashes[lang] = [gram_hashes(lang, order, x) for order, x in zip(range(ORDER, 0, -1), ends)] + [gram_hashes(lang, order - 1, x >> 8) for order, x in zip(range(ORDER, 0, -1), ends)]
-    wanted = _distinct([h for x in hashes.values() for h in x])
+        asked[lang] = [_hashed(lang, order, x) for order, x in zip(range(ORDER, 0, -1), ends)] + [_hashed(lang, order - 1, x >> 8) for order, x in zip(range(ORDER, 0, -1), ends)]
+    wanted = _distinct([h for x in asked.values() for h, _ in x])
     p, weight = lookup(path, wanted)
     out = {}
-    for lang, x in hashes.items():
+    for lang, x in asked.items():
         total, open_ = np.zeros(len(grams_of[lang])), np.ones(len(grams_of[lang]), dtype=bool)
         for k in range(ORDER):
             if not open_.any():
                 break
-            own_p, own_weight = p[np.searchsorted(wanted, x[k])], weight[np.searchsorted(wanted, x[ORDER + k])]
+            own_p, own_weight = (values[np.searchsorted(wanted, h)][codes] for values, (h, codes) in ((p, x[k]), (weight, x[ORDER + k])))
             seen = open_ & ~np.isnan(own_p)
             total[seen] += np.log2(own_p[seen])
             open_ &= ~seen
@@ -297,6 +297,12 @@ def log_probabilities(grams_of: dict[str, np.ndarray], path: str) -> dict[str, n
     return out
 
 
+def _hashed(lang: str, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct grams, number of each gram among them)."""
+    codes, seen = pd.factorize(grams)
+    return gram_hashes(lang, order, seen), codes.astype(np.int32)
+
+
 def word_bits(words_of: dict[str, np.ndarray], path: str) -> dict[str, np.ndarray]:
     """Bits of distinct words by the other documents that have them; path is that of train()."""
     hashes = {lang: gram_hashes(lang, WORDS, w) for lang, w in words_of.items()}
@@ -313,7 +319,7 @@ def _texts(block: pa.Table) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else t or b"" for t in block.column("text").to_pylist()]
 
 
-def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_bytes: int = 1 << 20):
+def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_bytes: int = 1 << 19):
     """A task that asks the models once for the distinct n-grams and words of a block, and then goes through the block's texts chunk by chunk.
 
     Rows come with the columns kept, then their language, and then the text unless it is among those kept.
@@ -333,6 +339,7 @@ def _score(path: str, kept: list[str], text_col: str, block_bytes: int, chunk_by
                 by_words = [b / n if n else None for b, n in zip(words.tolist(), part.counts["n_words"].tolist(), strict=True)]
                 columns = [c.combine_chunks() for c in chunk.columns[: len(kept) + 1]] + [pa.array(part.counts[c], pa.int64()) for c in STATS] + [pa.array(mean, pa.float64()), pa.array(by_words, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__lang", *(f"__{c}" for c in STATS), *BITS])
+            del parts, by_gram, by_word, chunk, part, columns, block  # before the next block is read
 
     return run
 
@@ -346,9 +353,9 @@ class Part:
         words = Words(texts)
         self.counts, self.lengths = base_counts(words), words.lengths - 1
         codes, self.grams = pd.factorize(np.repeat(own, self.lengths) << 8 * ORDER | grams(texts))
-        self.gram_codes = codes.astype(np.int32)
+        self.gram_codes = codes.astype(np.min_scalar_type(len(self.grams)))
         codes, seen = pd.factorize(own[words.owner] * np.int64(max(1, len(words.digests))) + words.code)
-        self.word_codes, self.word_langs, self.words = codes.astype(np.int32), seen // max(1, len(words.digests)), words.digests[seen % max(1, len(words.digests))]
+        self.word_codes, self.word_langs, self.words = codes.astype(np.min_scalar_type(len(seen))), seen // max(1, len(words.digests)), words.digests[seen % max(1, len(words.digests))]
 
     def sums(self, by_gram: tuple[np.ndarray, np.ndarray], by_word: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of the bytes and bits of the words of every text."""
@@ -389,7 +396,7 @@ def bands(scores: DataFrame, *, tail: float = TAIL, width: float = BAND_WIDTH, s
     return marks.select("__lang", (F.col("mid") - width * F.greatest(F.col("mid") - F.col("lo"), spare)).alias("__low"), (F.col("mid") + width * F.greatest(F.col("hi") - F.col("mid"), spare)).alias("__high"))
 
 
-def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 16 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
+def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20, tail: float = TAIL, width: float = BAND_WIDTH) -> DataFrame:
     """The columns kept and, under names that begin with two underscores, the base counts, bits, failed and kept."""
     with small_batches(docs.sparkSession):
         path = train(docs, text_col=text_col, lang_col=lang_col)
