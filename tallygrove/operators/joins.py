@@ -37,11 +37,18 @@ def entity_match(left: DataFrame, right: DataFrame, *, on: Column, within: Colum
 
 
 def containment(sets: DataFrame, owner: str, item: str, least: float) -> DataFrame:
-    """(a, b, containment) of owners whose items lie in another's to least or more.
+    """(a, b, containment) of owners whose items lie in another's to least or more. sets has distinct (owner, item) rows.
 
-    Counted from shared items (one equality join), never from all pairs of owners. sets has distinct (owner, item) rows.
+    An owner of n items that lies in another to c items or more has one of its n - c + 1 rarest items there, so only these are looked for among all rows; owners
+    that have fewer than c items are left out before the exact count. Pairs are counted from items, never made from all owners.
     """
     sizes = sets.groupBy(owner).agg(F.count("*").alias("size"))
-    a, b = sets.select(F.col(owner).alias("a"), item), sets.select(F.col(owner).alias("b"), item)
-    shared = a.join(b, item).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return shared.join(sizes.withColumnRenamed(owner, "a"), "a").select("a", "b", (F.col("shared") / F.col("size")).alias("containment")).filter(F.col("containment") >= least)
+    rarity = sets.groupBy(item).agg(F.count("*").alias("owners"))
+    need = F.ceil(F.col("size") * least - 1e-9)
+    ranked = sets.join(rarity, item).join(sizes, owner).withColumn("k", F.row_number().over(W.partitionBy(owner).orderBy("owners", item)))
+    rare = ranked.filter(F.col("k") <= F.col("size") - need + 1).select(F.col(owner).alias("a"), item, need.alias("need"))
+    large = sets.join(sizes, owner).select(F.col(owner).alias("b"), item, F.col("size").alias("b_size"))
+    met = rare.join(large, item).filter("a <> b AND b_size >= need").select("a", "b").distinct()
+    own, other = sets.select(F.col(owner).alias("a"), item), sets.select(F.col(owner).alias("b"), item)
+    shared = met.join(own, "a").join(other, ["b", item]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return shared.join(sizes.withColumnRenamed(owner, "a"), "a").select("a", "b", (F.col("shared") / F.col("size")).alias("containment")).filter(F.col("containment") >= least - 1e-12)

@@ -30,6 +30,13 @@ def page_slice(df: DataFrame, order: list[Column], number: int, size: int = 100)
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, with place and how many rows it has beyond them."""
+    """The first k rows of each group, with their place."""
     ranked = df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order)))
     return ranked.filter(F.col("place") <= k)
+
+
+def first_and_more(df: DataFrame, group: str, order: list[Column], name: str, k: int) -> DataFrame:
+    """group, shown (its first k names, joined by commas) and more (how many rows it has beyond them)."""
+    counts = df.groupBy(group).agg(F.count("*").alias("all"))
+    shown = top_k_per_group(df, group, order, k).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", name))), lambda x: x[name]), ",").alias("shown"))
+    return counts.join(shown, group).select(group, "shown", F.greatest(F.lit(0), F.col("all") - k).alias("more"))

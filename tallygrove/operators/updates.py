@@ -77,3 +77,33 @@ def incremental(new: DataFrame, old: DataFrame, key: list[str], ordinal: list[st
     from tallygrove.operators.windows import keep_first
 
     return keep_first(new.join(old.select(*key), key, "left_anti"), key, ordinal)
+
+
+def pin_labels(labels: DataFrame, pins: DataFrame, key: str) -> DataFrame:
+    """Labels (key, verdict, pinned, hash) after pins (key, verdict): a verdict is set and pinned, new keys too; auto frees a known label for the next classification."""
+    wanted = pins.select(F.col(key).alias("__k"), F.col("verdict").alias("__v"))
+    both = labels.join(wanted, F.col(key) == F.col("__k"), "full").filter(F.col(key).isNotNull() | (F.col("__v") != "auto"))
+    free, fixed = F.col("__v") == "auto", F.col("__v").isNotNull() & (F.col("__v") != "auto")
+    return both.select(
+        F.coalesce(key, "__k").alias(key), F.when(fixed, F.col("__v")).otherwise(F.col("verdict")).alias("verdict"),
+        F.when(fixed, True).when(free, False).otherwise(F.col("pinned")).alias("pinned"), F.when(free, None).otherwise(F.col("hash")).alias("hash"),
+    )
+
+
+def count_failure(df: DataFrame, failed: Column, count: str, given_up: str, as_of: str, most: int = 3) -> DataFrame:
+    """One failure more where failed; given_up is the time from the most-th on, else null, and as it was in other rows."""
+    now = F.to_timestamp_ntz(F.lit(as_of))
+    more = F.coalesce(F.col(count), F.lit(0)) + 1
+    return df.withColumn(given_up, F.when(failed, F.when(more >= most, now)).otherwise(F.col(given_up))).withColumn(count, F.when(failed, more).otherwise(F.col(count)))
+
+
+def migrated(df: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """The rows under a newer schema: columns it lacks come with their default (else null), others are cast; columns beyond it go."""
+    made = {c: F.col(c) if c in df.columns else F.lit((defaults or {}).get(c)) for c in columns}
+    return df.select(*[made[c].cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def mark_notified(df: DataFrame, sent: DataFrame, key: str, column: str, as_of: str) -> DataFrame:
+    """The time in column for the keys that were sent and had none."""
+    told = sent.select(F.col(key).alias("__k")).distinct()
+    return df.join(told, F.col(key) == F.col("__k"), "left").withColumn(column, F.when(F.col("__k").isNotNull(), F.coalesce(F.col(column), F.to_timestamp_ntz(F.lit(as_of)))).otherwise(F.col(column))).drop("__k")

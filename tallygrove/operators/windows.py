@@ -37,12 +37,14 @@ def site_state(streaks: DataFrame, paused: int = 3, dead: int = 7) -> DataFrame:
 def greedy_dedupe(df: DataFrame, *, id_col: str, company: str, title: str, priority: str, similar, priorities: list[int]) -> DataFrame:
     """id, dup_of: in the order of (priority, id) a row is a duplicate of the first primary of its company from another source with a like title.
 
-    Duplicates never become primaries. One round for each source: its rows meet the primaries of the sources before it.
+    Duplicates never become primaries. One round for each source: its rows meet the primaries of the sources before it. Rows of a priority that is not
+    listed, null too, come last, as one source.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(company).alias("company"), F.col(title).alias("title"), F.col(priority).alias("priority"))
+    rank = F.when(F.col(priority).isin(priorities), F.col(priority)).otherwise(F.lit(max(priorities) + 1))
+    rows = df.select(F.col(id_col).alias("id"), F.col(company).alias("company"), F.col(title).alias("title"), rank.alias("priority"))
     primaries = rows.filter(F.col("priority") == priorities[0]).withColumn("dup_of", F.lit(None).cast(rows.schema["id"].dataType))
     done = [primaries]
-    for p in priorities[1:]:
+    for p in [*priorities[1:], max(priorities) + 1]:
         own = rows.filter(F.col("priority") == p)
         known = reduce(DataFrame.unionByName, done).filter("dup_of IS NULL").select(F.col("id").alias("k_id"), F.col("company").alias("k_company"), F.col("title").alias("k_title"), F.col("priority").alias("k_priority"))
         met = own.join(known, (F.col("company") == F.col("k_company")) & similar(F.col("title"), F.col("k_title")), "left")

@@ -71,10 +71,9 @@ p1 AS (SELECT * FROM p0 UNION ALL SELECT r.* FROM r JOIN d1 USING (id) WHERE dup
 d2 AS (SELECT a.id, (SELECT min((b.priority, b.id)) FROM p1 b WHERE b.company = a.company AND {_LIKE}) AS best FROM r a WHERE priority = 2)
 SELECT id, NULL::BIGINT AS dup_of FROM p0 UNION ALL SELECT id, dup_of FROM d1 UNION ALL SELECT id, best[2] FROM d2"""
 SQL["greedy_dedupe"] = _DEDUPE
-SQL["containment_pairs"] = """WITH s AS (SELECT DISTINCT user_id, event_type || ':' || day(ts) AS item FROM events)
-SELECT a.user_id AS a, b.user_id AS b, count(*) / (SELECT count(*) FROM s WHERE user_id = a.user_id) AS containment
-FROM s a JOIN s b ON a.item = b.item AND a.user_id <> b.user_id GROUP BY 1, 2 HAVING containment >= 0.7"""
-_SIGHT = """r AS (SELECT event_type AS source, user_id AS id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 5)::INTEGER AS page FROM events QUALIFY page < 60),
+SQL["containment_pairs"] = """WITH s AS (SELECT DISTINCT c_custkey AS owner, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 46), z AS (SELECT owner, count(*) AS n FROM s GROUP BY 1)
+SELECT a.owner AS a, b.owner AS b, count(*) / any_value(z.n) AS containment FROM s a JOIN s b ON a.item = b.item AND a.owner <> b.owner JOIN z ON z.owner = a.owner GROUP BY 1, 2 HAVING containment >= 0.5"""
+_SIGHT = """r AS (SELECT event_type AS source, user_id AS id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 5)::INTEGER AS page FROM events),
 k AS (SELECT DISTINCT source, id FROM r WHERE id % 2 = 0 OR page > 20),
 f AS (SELECT source, page, count(*) AS ids, count(*) FILTER (NOT EXISTS (SELECT 1 FROM k WHERE k.source = x.source AND k.id = x.id)) AS fresh,
     count(*) FILTER (NOT EXISTS (SELECT 1 FROM r e WHERE e.source = x.source AND e.id = x.id AND e.page < x.page)) AS unseen
@@ -85,14 +84,14 @@ s AS (SELECT source, page + 1 AS n, fresh, unseen, lag(fresh) OVER (PARTITION BY
 SELECT source, coalesce(min(CASE WHEN n = 1 THEN CASE WHEN known AND fresh = 0 THEN 1 END WHEN unseen = 0 THEN n - 1 WHEN fresh = 0 AND before = 0 AND n > 2 THEN n END), any_value(last))::INTEGER AS last_page
 FROM s GROUP BY 1"""
 SQL["barren_stop"] = f"WITH {_SIGHT} SELECT source, coalesce(min(CASE WHEN unseen = 0 OR ids < 3 THEN page + 1 END), max(page + 1))::INTEGER AS last_page FROM f GROUP BY 1"
-SQL["incremental_anti"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1"
+SQL["incremental_anti"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01') GROUP BY 1"
 SQL["vanish_guard"] = """WITH r AS (SELECT c_nationkey AS source, c_custkey AS id FROM customer), s AS (SELECT * FROM r WHERE id % (2 + source % 2) <> 0 AND source % 4 <> 3)
 SELECT source, id FROM r WHERE (SELECT count(*) FROM s WHERE s.source = r.source) > 0 AND (SELECT count(*) FROM s WHERE s.source = r.source) >= 0.5 * (SELECT count(*) FROM r q WHERE q.source = r.source)
 AND id NOT IN (SELECT id FROM s)"""
-SQL["upsert_snapshot"] = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 END AS p FROM orders WHERE o_orderkey % 2 = 0)
+SQL["upsert_snapshot"] = """WITH o AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), n AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s, CASE WHEN o_totalprice > 100000 THEN o_totalprice + 1 END AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01')
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.s ELSE o.o_orderstatus END AS o_orderstatus, coalesce(n.p, o.o_totalprice) AS o_totalprice,
 coalesce(o.o_orderpriority, 'new') AS o_orderpriority FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
-SQL["replace_and_insert"] = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size + 100 WHEN p_partkey % 3 <> 0 THEN p_size ELSE -1 END AS p_size FROM part"
+SQL["replace_and_insert"] = "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_size + 100 WHEN p_size > 10 THEN p_size ELSE -1 END AS p_size FROM part"
 SQL["hash_upsert_class"] = "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'inserted' WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS class, count(*) AS n FROM orders GROUP BY 1"
 SQL["orphan_close"] = """SELECT event_id, floor(epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) / 60)::BIGINT AS age_minutes FROM events
 WHERE event_type = 'error' AND epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) >= 31 * 60"""
@@ -116,7 +115,7 @@ SQL["union_keep_first"] = f"WITH {_AB} SELECT id, min(precedence)::INTEGER AS pr
 SQL["except_intersect"] = f"WITH {_AB} SELECT id, 'only_a' AS side FROM (SELECT id FROM a EXCEPT ALL SELECT id FROM b) UNION ALL SELECT id, 'both' FROM (SELECT id FROM a INTERSECT SELECT id FROM b)"
 SQL["subset_test"] = """WITH u AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (value > 80), []) AS high, coalesce(list(DISTINCT event_type) FILTER (value < 5), []) AS low FROM events GROUP BY 1)
 SELECT user_id, list_has_all(high, low) AS is_subset, len(list_intersect(low, high))::INTEGER AS shared FROM u"""
-SQL["text_keys"] = f"SELECT doc_id, {_KEY.format('text[:80]')} AS label, {_COMPANY.format('text[:80]')} AS company, {_TITLE.format('text[:80]')} AS title FROM documents"
+SQL["text_keys"] = f"SELECT doc_id, {_KEY.format('text')} AS label, {_COMPANY.format('text')} AS company, {_TITLE.format('text')} AS title FROM documents"
 SQL["contacts"] = """WITH e AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}') AS found FROM documents),
 x AS (SELECT doc_id, unnest(found) AS email, generate_subscripts(found, 1) AS p FROM e), f AS (SELECT doc_id, email, min(p) AS p FROM x GROUP BY 1, 2)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INTEGER AS pos, email FROM f QUALIFY pos <= 50"""

@@ -198,9 +198,10 @@ def greedy_dedupe(spark, d):
 
 @query
 def containment_pairs(spark, d):
-    (events,) = tables(spark, d, "events")
-    rows = events.select("user_id", F.concat_ws(":", "event_type", F.dayofmonth("ts").cast("string")).alias("item")).distinct()
-    return joins.containment(rows, "user_id", "item", 0.7)
+    """Customers half of whose bulk parts another customer buys in bulk too."""
+    lines, orders, customer = tables(spark, d, "lineitem", "orders", "customer")
+    bought = lines.filter("l_quantity >= 46").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joins.containment(bought.select(F.col("c_custkey").alias("owner"), F.col("l_partkey").alias("item")).distinct(), "owner", "item", 0.5)
 
 
 def _sightings(events):
@@ -227,7 +228,7 @@ def barren_stop(spark, d):
 @query
 def incremental_anti(spark, d):
     (orders,) = tables(spark, d, "orders")
-    old, new = orders.filter("o_orderkey % 3 = 0"), orders.filter("o_orderkey % 2 = 0")
+    old, new = orders.filter("o_orderdate < TIMESTAMP_NTZ '1993-01-01'"), orders.filter("o_orderdate >= TIMESTAMP_NTZ '1993-01-01'")
     return updates.incremental(new, old, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
@@ -241,15 +242,15 @@ def vanish_guard(spark, d):
 @query
 def upsert_snapshot(spark, d):
     (orders,) = tables(spark, d, "orders")
-    old = orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    new = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("new").alias("o_orderpriority"))
+    old = orders.filter("o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    new = orders.filter("o_orderdate >= TIMESTAMP_NTZ '1994-01-01'").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("new").alias("o_orderpriority"))
     return updates.upsert(old, new, ["o_orderkey"], overwrite=["o_orderstatus"], coalesced=["o_totalprice"], insert_only=["o_orderpriority"])
 
 
 @query
 def replace_and_insert(spark, d):
     (part,) = tables(spark, d, "part")
-    old, new = part.filter("p_partkey % 3 <> 0").select("p_partkey", "p_size"), part.filter("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") + 100).alias("p_size"))
+    old, new = part.filter("p_size > 10").select("p_partkey", "p_size"), part.filter("p_type = 'ECONOMY'").select("p_partkey", (F.col("p_size") + 100).alias("p_size"))
     return updates.insert_missing(updates.replace_rows(old, new, ["p_partkey"]), part.select("p_partkey", F.lit(-1).alias("p_size")), ["p_partkey"])
 
 

@@ -1,6 +1,6 @@
 """Every registered query of the library and its oracle."""
 
-from tallygrove.plans import oracles
+from tallygrove.plans import oracles, posting_queries
 from tallygrove.plans.queries import QUERIES
 
 FLAGSHIP = "flagship"
@@ -8,9 +8,9 @@ FLAGSHIP = "flagship"
 
 def queries():
     """Name to (spark, sf_dir) -> DataFrame."""
-    return dict(QUERIES)
+    return QUERIES | posting_queries.QUERIES
 
 
 def oracle_sql():
     """Name to DuckDB SQL."""
-    return dict(oracles.SQL)
+    return oracles.SQL | posting_queries.SQL
