@@ -154,11 +154,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     lost = removed_lines(docs, id_col=id_col, text_col=text_col, max_edits=max_edits, similarity=similarity).select(F.col("doc_id").alias("__lost_id"), F.col("t1").alias("__lost_t1"), F.col("removed").alias("__removed"))
     joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__lost_id")) & (F.xxhash64(F.col(text_col)) == F.col("__lost_t1")), "left")
 
-    @F.pandas_udf("string")
-    def without(texts, removed):
-        import pandas as pd
-
-        return pd.Series(["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if (gone := set() if r is None else set(r)) else t for t, r in zip(texts, removed, strict=True)])
-
-    cleaned = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__removed"))))
+    left = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("__removed"), i))
+    cleaned = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
     return cleaned.filter(F.col("__removed").isNull() | F.col(text_col).rlike(WORD)).select(*docs.columns)

@@ -273,9 +273,9 @@ def _cut_texts(batches):
                 left.append(text[at:s])
                 at = e
             kept = b"".join([*left, text[at:]])
-            for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                 out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
 
 
 def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, **options) -> DataFrame:
@@ -287,7 +287,7 @@ def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text"
         spans = removed_spans(texts.rows, match=match, **options)
     hit = texts.rows.select("h1", "h2", "text").join(spans, ["h1", "h2"]).select("h1", "h2", "text", "spans")
     with small_batches(spark):
-        changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").select("h1", "h2", *columns), "changed")
+        changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").select("h1", "h2", *columns), "changed")
     texts.drop()
     done(spans)
     return changed
@@ -310,9 +310,5 @@ def clean(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(changed, (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(1), text) == F.col("__h2")), "left")
 
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    cleaned = joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(decoded("__kept")))
+    cleaned = joined.withColumn(text_col, F.coalesce("__kept", text_col))
     return cleaned.filter(F.col("__kept").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import cut, emit, frees
+from tallygrove.llm.common import cut, emit, frees, small_batches
 from tallygrove.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -168,7 +168,8 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = 20_0
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, max_bits: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
     """(prints, classes): doc_id and fp of every row; fp, rep (smallest doc_id) and root (one for each component) of every fp."""
-    prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
+    with small_batches(docs.sparkSession):
+        prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     pairs = links(classes.select("fp"), max_bits=max_bits, cell_limit=cell_limit)
     # components run over fingerprints; the smallest doc_id of each comes after
