@@ -129,3 +129,20 @@ def test_noise_on_words_is_outside_the_bands(spark, sf):
     rows = quality.score(docs).join(labels, "doc_id").toPandas()
     junk, clean = rows[(rows.quality == 0) & ~rows.base_failed], rows[(rows.quality == 1) & ~rows.base_failed]
     assert junk.kept.mean() < 0.3 and clean.kept.mean() > 0.98
+
+
+def test_verdict_against_sorted_scores(spark, sf):
+    """The bands of both scores from the sorted scores of each language, and who lies within them."""
+    rows = quality.judged(table(spark, sf, "documents"), ["doc_id"]).toPandas()
+    want = ~rows["__failed"]
+    for bits in quality.BITS:
+        for _, group in rows.groupby("__lang"):
+            own = group[~group["__failed"] & group[bits].notna()]
+            bins = np.sort(np.floor(own[bits].to_numpy() / 0.001)) * 0.001
+            inside = np.zeros(len(group), dtype=bool)
+            if len(bins):
+                lo, mid, hi = (bins[max(0, int(np.ceil(q * len(bins) - 1e-9)) - 1)] for q in (0.25, 0.5, 0.75))
+                low, high = mid - 7 * max(mid - lo, 0.01), mid + 7 * max(hi - mid, 0.01)
+                inside = group[bits].between(low, high).to_numpy()
+            want[group.index] &= inside
+    assert (want == rows["__kept"]).all() and want.any() and not want.all()
