@@ -53,11 +53,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_stage.get(spark.sparkContext.applicationId, own_folder(spark))}/{name}-{uuid.uuid4().hex}"
 
 
-def next_stage(spark: SparkSession) -> None:
-    """Intermediate tables go to a new folder from now on, and those of the stage before, whose result has been written by now, are removed."""
+def next_stage(spark: SparkSession, docs: DataFrame) -> None:
+    """Intermediate tables go to a new folder from now on; those of the stage before, whose result has been written by now, are removed, but for the one that docs is read from."""
     app = spark.sparkContext.applicationId
     if app in _stage:
-        discard(spark, _stage[app])
+        where = spark._jvm.org.apache.hadoop.fs.Path(_stage[app])
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+        for child in store.listStatus(where) if store.exists(where) else []:
+            if child.getPath().getName() not in folders:
+                store.delete(child.getPath(), True)
     _stage[app] = f"{own_folder(spark)}/stage-{uuid.uuid4().hex}"
 
 
