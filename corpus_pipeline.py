@@ -24,27 +24,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
+    next_stage(spark, docs)
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
+    next_stage(spark, docs)
     return _counted(linededup.dedup(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
+    next_stage(spark, docs)
     return simhash.keep_one(docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
+    next_stage(spark, docs)
     return _counted(runindex.clean(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
+    next_stage(spark, docs)
     return packing.pack(docs)
 
 
