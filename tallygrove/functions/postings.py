@@ -182,3 +182,26 @@ def local_media(html, pattern: str, folder: str) -> Column:
 def first_number(x, paths: list[str]) -> Column:
     """The first of several JSON paths that holds a number."""
     return F.coalesce(*[F.get_json_object(col(x), p).try_cast("bigint") for p in paths])
+
+
+def answered(answer, url, labels: list[str]) -> Column:
+    """struct label, reason that a model's JSON answer has for a URL, the last if several; unknown for other labels, no entry, or malformed text.
+
+    An answer is a list of entries, an object that holds such a list, a single entry, or an object of entries by URL.
+    """
+    entry = "url string, label string, reason string"
+    t = F.ltrim(F.coalesce(col(answer), F.lit("")))
+    fields = F.from_json(F.when(F.startswith(t, F.lit("{")), t), "map<string,string>")
+    several = lambda x: F.from_json(x, f"array<struct<{entry}>>")
+    held = F.get(F.filter(F.map_values(fields), lambda v: F.startswith(v, F.lit("["))), F.lit(0))
+
+    def by_url(pair):
+        inner = F.from_json(pair["value"], entry)
+        return F.struct(F.coalesce(inner["url"], pair["key"]).alias("url"), inner["label"].alias("label"), inner["reason"].alias("reason"))
+
+    single = F.map_contains_key(fields, F.lit("url")) & F.map_contains_key(fields, F.lit("label"))
+    keyed = F.forall(F.map_values(fields), lambda v: F.startswith(v, F.lit("{")))
+    entries = F.when(F.startswith(t, F.lit("[")), several(t)).when(held.isNotNull(), several(held)).when(single, F.array(F.from_json(t, entry))).when(keyed, F.transform(F.map_entries(fields), by_url))
+    last = F.try_element_at(F.filter(entries, lambda e: e["url"] == col(url)), F.lit(-1))
+    label = F.when(last["label"].isin(labels), last["label"]).otherwise("unknown")
+    return F.struct(label.alias("label"), F.coalesce(last["reason"], F.lit("")).alias("reason"))

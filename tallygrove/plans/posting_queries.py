@@ -10,7 +10,7 @@ from tallygrove.functions import postings as P
 from tallygrove.functions import text, urls
 from tallygrove.operators import ordering, updates, windows
 from tallygrove.sources import html
-from tallygrove.sources.landing import tables
+from tallygrove.sources.landing import site_urls, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -355,3 +355,36 @@ def salary_ranges(spark, d):
 def report_lines(spark, d):
     (customer,) = tables(spark, d, "customer")
     return customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")).select(F.format_string("%-12s %6d", "c_mktsegment", "n").alias("line"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 AND p_type IN ('ECONOMY', 'STANDARD') THEN p_type ELSE 'unknown' END AS label, CASE WHEN p_partkey % 5 < 4 THEN p_name ELSE '' END AS reason FROM part")
+def answer_shapes(spark, d):
+    """Every part is answered in one of four shapes, or by malformed text."""
+    (part,) = tables(spark, d, "part")
+    url, k = F.concat(F.lit("u"), F.col("p_partkey").cast("string")), F.col("p_partkey") % 5
+    body = [F.col("p_type").alias("label"), F.col("p_name").alias("reason")]
+    entry = F.struct(url.alias("url"), *body)
+    raw = (
+        F.when(k == 0, F.to_json(F.array(entry))).when(k == 1, F.to_json(F.struct(F.lit(1).alias("n"), F.array(entry).alias("results")))).when(k == 2, F.to_json(entry))
+        .when(k == 3, F.to_json(F.create_map(url, F.struct(*body)))).otherwise('{"url": ')
+    )
+    return part.withColumn("raw", raw).withColumn("url", url).withColumn("got", P.answered("raw", "url", ["ECONOMY", "STANDARD"])).select("p_partkey", "got.label", "got.reason")
+
+
+@query("""SELECT n_regionkey::BIGINT AS site, arg_min('https://r' || n_regionkey || '/n' || n_nationkey || '/list-' || lower(c_mktsegment) || '-' || c_custkey, (n_nationkey, c_custkey)) AS url
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, c_mktsegment""")
+def sitemap_lists(spark, d):
+    """A site for each region: its sitemap names one for each nation, which names a list page, a single post and an escaped path for each customer."""
+    customer, nation, region = tables(spark, d, "customer", "nation", "region")
+    base = lambda c: F.concat(F.lit("https://r"), F.col(c).cast("string"))
+    loc = lambda x: F.concat(F.lit("<loc> "), x, F.lit("</loc>"))
+    root = F.when(F.col("r_regionkey") == 0, "/sitemap.xml").otherwise("/sitemap-main.xml")
+    robots = region.select(F.col("r_regionkey").cast("long").alias("site"), base("r_regionkey").alias("base"), F.when(F.col("r_regionkey") > 0, F.concat(F.lit("User-agent: *\nsitemap: "), base("r_regionkey"), root)).alias("text"))
+    inner = F.concat(base("n_regionkey"), F.lit("/sitemap-"), F.col("n_nationkey").cast("string"), F.lit(".xml"))
+    joined = lambda: F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "loc"))), lambda x: x["loc"]))
+    tops = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.concat(base("r_regionkey"), root).alias("url"), F.col("n_nationkey").alias("at"), loc(inner).alias("loc"))
+    key = F.col("c_custkey").cast("string")
+    folder = F.concat(base("n_regionkey"), F.lit("/n"), F.col("n_nationkey").cast("string"))
+    three = F.concat(loc(F.concat(base("n_regionkey"), F.lit("/view/"), key)), loc(F.concat(base("n_regionkey"), F.lit("/%EC/"), key)), loc(F.concat(folder, F.lit("/list-"), F.lower("c_mktsegment"), F.lit("-"), key)))
+    leaves = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(inner.alias("url"), F.col("c_custkey").alias("at"), three.alias("loc"))
+    return site_urls(robots, tops.unionByName(leaves).groupBy("url").agg(joined().alias("text")))

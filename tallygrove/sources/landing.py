@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrove.functions import postings, urls
+
 PAGE = "url string, status int, text string, final_url string, error string"
 
 
@@ -36,6 +39,26 @@ def sitemap_urls(xml: str | Column) -> Column:
     return F.regexp_extract_all(F.col(xml) if isinstance(xml, str) else xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
 
 
+def site_urls(robots: DataFrame, files: DataFrame, *, roots: int = 3, depth: int = 2, most: int = 50) -> DataFrame:
+    """site, url of list pages in sitemaps, one for each URL pattern in the order the sitemaps name them, the first most of a site.
+
+    robots: site, base, text (null if there is none); files: url, text of landed sitemaps. Sitemaps that a sitemap names are followed to the given depth.
+    Single posts and paths with escapes are left out. Each level is one join with files; a file that has not landed names nothing.
+    """
+    named = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?im)^\s*Sitemap:\s*(\S+)"), F.lit(1))
+    start = F.when(F.size(named) > 0, F.slice(named, 1, roots)).otherwise(F.array(F.concat("base", F.lit("/sitemap.xml"))))
+    level = robots.select("site", F.posexplode(start).alias("pos", "url")).select("site", F.array("pos").alias("place"), "url")
+    landed, pages = files.select("url", sitemap_urls("text").alias("found")), None
+    for _ in range(depth + 1):
+        inner = level.join(landed, "url").select("site", "place", F.posexplode("found").alias("pos", "url")).select("site", F.concat("place", F.array("pos")).alias("place"), "url")
+        nested = F.endswith("url", F.lit(".xml")) & F.contains(F.lower("url"), F.lit("sitemap"))
+        here, level = inner.filter(~nested), inner.filter(nested)
+        pages = here if pages is None else pages.unionByName(here)
+    lists = pages.filter(~postings.is_detail_url("url") & ~F.contains(urls.path("url"), F.lit("%")))
+    first = lists.groupBy("site", urls.url_pattern("url").alias("pattern")).agg(F.min(F.struct("place", "url")).alias("at")).select("site", "at.*")
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy("place"))).filter(F.col("rank") <= most).select("site", "url")
+
+
 def script_chunks(html: str | Column) -> Column:
     """Strings pushed by script blocks, joined: where a page's embedded JSON lies."""
     found = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r'\.push\(\[1,\s*"((?:[^"\\]|\\.)*)"\]\)'), F.lit(1))
