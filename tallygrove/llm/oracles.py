@@ -21,21 +21,42 @@ FROM d
 
 
 def _licenses() -> str:
-    """Every template in every window, counted exactly."""
-    from tallygrove.llm.licenses import SHINGLE, TEMPLATES, shingles_of
+    """Every template in every window, counted exactly, and the rule between templates that share much."""
+    from tallygrove.llm.licenses import OWN_SHARE, SHINGLE, TEMPLATES, margins, rivals, shingles_of
 
-    rows = ", ".join(f"('{name}', {len(shingles_of(t))}, '{' '.join(x)}')" for name, t in TEMPLATES.items() for x in shingles_of(t))
+    n, reach, pairs = {name: len(shingles_of(t)) for name, t in TEMPLATES.items()}, margins(TEMPLATES), rivals(TEMPLATES)
+    rows = ", ".join(f"('{name}', {n[name]}, {reach[n[name]]}, '{' '.join(x)}')" for name, t in TEMPLATES.items() for x in shingles_of(t))
+    own = ", ".join(f"('{a}', '{b}', {n[a]}, {len(part)}, '{x}')" for a, b, part in pairs for x in part)
     return f"""
-WITH t(license, n, shingle) AS (VALUES {rows}),
+WITH t(license, n, margin, shingle) AS (VALUES {rows}),
+o(large, small, large_n, own_n, shingle) AS (VALUES {own}),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, unnest(range(0, greatest(0, len(words) - {SHINGLE - 1}))) AS p, words FROM w),
 h AS (
-    SELECT doc_id, license, n, shingle, p, greatest(1, n // 4) AS step
+    SELECT doc_id, license, n, margin, shingle, p, greatest(1, n // 4) AS step
     FROM (SELECT doc_id, p, array_to_string(words[p + 1 : p + {SHINGLE}], ' ') AS shingle FROM s) JOIN t USING (shingle)
 ),
 k AS (SELECT *, unnest(range(greatest(0, ceil((p - (n + step - 1) + 1) / step)::BIGINT), p // step + 1)) AS k FROM h),
-c AS (SELECT doc_id, license, n, k, count(DISTINCT shingle) / n AS containment FROM k GROUP BY doc_id, license, n, k)
-SELECT doc_id, license, max(containment) AS containment FROM c WHERE containment >= 0.8 GROUP BY ALL
+c AS (
+    SELECT doc_id, license, k, k * step AS first, k * step + n + step - 2 AS last, n, margin, count(DISTINCT shingle) / n AS containment
+    FROM k GROUP BY doc_id, license, n, margin, step, k HAVING count(DISTINCT shingle) / n >= 0.8
+),
+without_own AS (
+    SELECT c.doc_id, c.license, c.k
+    FROM c JOIN o ON o.large = c.license LEFT JOIN h ON h.doc_id = c.doc_id AND h.license = o.large AND h.shingle = o.shingle AND h.p BETWEEN c.first AND c.last
+    GROUP BY c.doc_id, c.license, c.k, o.small, o.own_n HAVING count(DISTINCT h.shingle) < {OWN_SHARE} * o.own_n
+),
+in_larger AS (
+    SELECT c.doc_id, c.license, c.k
+    FROM c JOIN (SELECT DISTINCT large, small, large_n, own_n FROM o) AS r ON r.small = c.license AND r.large_n > c.n
+    JOIN h ON h.doc_id = c.doc_id AND h.license = r.large AND h.p BETWEEN c.first - c.margin AND c.last + c.margin
+    LEFT JOIN o ON o.large = r.large AND o.small = r.small AND o.shingle = h.shingle
+    GROUP BY c.doc_id, c.license, c.k, r.large, r.large_n, r.own_n
+    HAVING count(DISTINCT h.shingle) / r.large_n >= 0.8 AND count(DISTINCT o.shingle) >= {OWN_SHARE} * r.own_n
+)
+SELECT doc_id, license, max(containment) AS containment FROM c
+WHERE (doc_id, license, k) NOT IN (SELECT * FROM without_own) AND (doc_id, license, k) NOT IN (SELECT * FROM in_larger)
+GROUP BY ALL
 """
 
 

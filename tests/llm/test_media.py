@@ -160,3 +160,36 @@ def test_licenses(spark, docs, empty):
     assert set(found) == {(0, "MIT"), (1, "MIT"), (3, "MIT-notice"), (5, "ISC"), (5, "GPL-3.0-or-later")}
     n = len(licenses.shingles_of(mit))
     assert found[0, "MIT"] == 1.0 and abs(found[1, "MIT"] - (n - 5) / n) < 1e-9
+
+
+def test_every_template_is_told_from_its_rivals(spark):
+    from tests.llm.conftest import documents
+
+    names = list(licenses.TEMPLATES)
+    filler = "some words of no license at all stand here "
+    found = {(r["doc_id"], r["license"], r["containment"]) for r in licenses.scan(documents(spark, [filler * 3 + t + " " + filler * 3 for t in licenses.TEMPLATES.values()])).collect()}
+    assert found == {(i, name, 1.0) for i, name in enumerate(names)}
+
+
+def test_licenses_against_sql(spark):
+    import random
+
+    import duckdb
+
+    from tallygrove.llm.oracles import SQL
+    from tests.llm.conftest import documents
+
+    draw, texts = random.Random(5), [None, ""]
+    for _ in range(60):
+        parts = []
+        for t in draw.sample(list(licenses.TEMPLATES.values()), 3):
+            words = t.split()
+            words = [w for w in words if draw.random() > draw.choice((0.0, 0.01, 0.04))]
+            parts += [" ".join(words[draw.choice((0, 0, len(words) // 12)) :]), " ".join(["word"] * draw.choice((0, 1, 30)))]
+        texts.append(" ".join(parts))
+    docs = documents(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    held = {tuple(r) for r in con.execute(SQL["op3_licenses"]).fetchall()}
+    found = [tuple(r[c] for c in ("doc_id", "license", "containment")) for r in licenses.scan(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == held and len({name for _, name, _ in found}) > 15
