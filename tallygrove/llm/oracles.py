@@ -88,3 +88,42 @@ SELECT s.doc_id, CASE WHEN coalesce(s.text, '') = '' THEN 0 ELSE len(s.parts) EN
     coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed_chars, 0)::BIGINT AS removed_chars, coalesce(g.removed, '') AS removed
 FROM s LEFT JOIN g USING (doc_id)
 """
+
+# crc32 from its polynomial, byte by byte over a table that SQL makes; words that share a deletion, then forms followed to their roots
+SQL["op12_spelling"] = """
+WITH RECURSIVE crc_table AS MATERIALIZED (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(0, 256)) AS i))
+),
+r AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+    FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+),
+h AS (
+    SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+    FROM (SELECT run, k, encode(doc_id || ':' || run) AS b FROM r WHERE length(run) >= 5), crc_table
+),
+v AS (
+    SELECT word, sum(k)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n FROM d AS a JOIN d AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest
+    UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest
+),
+best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS b FROM pairs GROUP BY word),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+    FROM v LEFT JOIN best USING (word)
+),
+onward AS (
+    SELECT word, word AS root FROM formed WHERE form IS NULL
+    UNION ALL SELECT f.word, o.root FROM formed AS f JOIN onward AS o ON f.form = o.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN onward USING (word)
+"""

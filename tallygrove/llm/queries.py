@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, langid, licenses, linededup, packing, quality, runindex, simhash, warc, webp
+from tallygrove.llm import bpe_sql, langid, licenses, linededup, packing, quality, runindex, simhash, spelling, warc, webp, whitening
 from tallygrove.llm.common import table
 
 
@@ -47,3 +47,10 @@ def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
