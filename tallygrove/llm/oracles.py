@@ -127,3 +127,17 @@ onward AS (
 )
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN onward USING (word)
 """
+
+# all windows of 35 words, counted as texts
+SQL["op13_doubling"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+k AS (SELECT row, i, array_to_string(words[i + 1 : i + 35], ' ') AS w FROM (SELECT row, words, unnest(range(0, len(words) - 34)) AS i FROM d)),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS pos FROM k WHERE w IN (SELECT w FROM k GROUP BY w HAVING count(*) > 1)),
+kept AS (
+    SELECT row, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+    FROM (SELECT row, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM d) ANTI JOIN gone USING (row, pos) GROUP BY row
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)
+"""

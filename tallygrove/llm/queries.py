@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrove.llm import bpe_sql, langid, licenses, linededup, packing, quality, runindex, simhash, spelling, warc, webp, whitening
+from tallygrove.llm import bpe_sql, doubling, langid, licenses, linededup, packing, quality, runindex, simhash, spelling, warc, webp, whitening
 from tallygrove.llm.common import table
 
 
@@ -54,3 +54,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.report(table(spark, sf_dir, "documents"))

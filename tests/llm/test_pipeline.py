@@ -22,5 +22,5 @@ def test_stages(spark, sf):
 
 def test_registry():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 13)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(registry.oracle_sql()) <= set(names)
