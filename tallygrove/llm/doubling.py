@@ -3,7 +3,7 @@
 Words are the maximal runs of characters other than the blanks 0x20 and 0x09-0x0D; a text is taken as its words joined by single spaces, so windows are equal
 if their bytes are.
 
-1. Documents are put together to blocks of some megabytes, each a row of a table that later steps read again.
+1. Documents are put together to blocks of about a megabyte, each a row of a table that later steps read again.
 2. Windows of a quarter of the length come first. A block gives the hash of every window once (twice if it has the window twice), so that what
    stands in a third of all documents stands once or twice in a block's keys. They are sorted in numpy, packed by their leading bits, and dealt out by these.
 3. Where the parts of equal leading bits meet, keys that occur twice or more are found and go back to the blocks that gave them.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm.common import SpanHash, blocks, cut, done, frees, small_batches
 
-WINDOW, BLOCK = 35, 4 << 20
+WINDOW, BLOCK = 35, 1 << 20
 KEY_BYTES, DIGEST_BYTES = 6, 16
 SEGMENTS = pa.schema([("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("start", pa.list_(pa.int64())), ("text", pa.list_(pa.binary()))])
 DOCUMENTS = pa.schema([("block", pa.int64()), ("id", pa.list_(pa.int64())), ("text", pa.list_(pa.binary()))])
