@@ -80,6 +80,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def apart(operator):
+    """operator, which returns the columns of its first argument, with those whose names begin with two underscores, like its own, renamed while it runs."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, **options) -> DataFrame:
+        names = docs.columns
+        own = [f"column {i}" if c.startswith("__") else c for i, c in enumerate(names)]
+        known = dict(zip(names, own, strict=True))
+        return operator(docs.toDF(*own), **{k: known.get(v, v) if k.endswith("_col") else v for k, v in options.items()}).toDF(*names)
+
+    return run
+
+
 def done(*tables: DataFrame) -> None:
     """Remove tables of cut() that nothing reads any more."""
     for t in tables:

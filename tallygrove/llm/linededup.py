@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, done, frees
+from tallygrove.llm.common import SpanHash, apart, blocks, cut, done, frees
 from tallygrove.llm.pretokens import code_points
 
 MAX_EDITS, SIMILARITY = 1, 0.8
@@ -149,6 +149,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
+@apart
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows with their removed lines taken out, in the input's own columns. A row that had words and has none left is dropped."""
     lost = removed_lines(docs, id_col=id_col, text_col=text_col, max_edits=max_edits, similarity=similarity).select(F.col("doc_id").alias("__lost_id"), F.col("t1").alias("__lost_t1"), F.col("removed").alias("__removed"))

@@ -9,11 +9,9 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import regex
-import xxhash
 
-from tallygrove.llm.common import first_places, span_classes
+from tallygrove.llm.common import span_classes
 
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 
@@ -71,7 +69,7 @@ def starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers for distinct pre-tokens by their XXH64, kept for later blocks. store.add(words) turns new words into whatever the caller keeps by
+    """Numbers for distinct pre-tokens, which are compared as strings, kept for later blocks. store.add(words) turns new words into whatever the caller keeps by
     number; beyond limit words both start anew."""
 
     def __init__(self, store, limit: int = 400_000):
@@ -80,34 +78,23 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.store.clear()
-        self.size = 0
-        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.numbers: dict[str, int] = {}
 
-    def lookup(self, keys: np.ndarray, word) -> np.ndarray:
-        """Numbers of distinct keys; word(k) is the text of the k-th."""
-        if self.size > self.limit:
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, of which some may be equal."""
+        if len(self.numbers) > self.limit:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        rows = np.empty(len(keys), dtype=np.int64)
-        rows[known] = self.rows[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            self.store.add([word(k) for k in new.tolist()])
-            rows[new] = self.size + np.arange(len(new))
-            self.size += len(new)
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged)
-            self.keys, self.rows = merged[order], np.concatenate([self.rows, rows[new]])[order]
-        return rows
+        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
+        if new:
+            self.store.add(new)
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        return np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def word_rows(texts: list[str], vocabulary: Vocabulary, chunk: int = 1_000_000):
     """For slices of texts of about chunk characters: (first text, word rows in the vocabulary, words of each text).
 
-    Equal words of a slice are found by comparing them; those of different slices and blocks go by XXH64. The vocabulary is asked once for all slices.
+    Equal words are found by comparing them. The vocabulary is asked once for all slices.
     """
     parts, start, size = [], 0, 0
     for i, t in enumerate(texts):
@@ -126,10 +113,7 @@ def word_rows(texts: list[str], vocabulary: Vocabulary, chunk: int = 1_000_000):
         words += [joined[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         codes.append((own.astype(np.int32), len(first)))
         sizes.append(np.diff(np.searchsorted(begin, offsets)))
-    digest = xxhash.xxh64_intdigest
-    every, seen = pd.factorize(np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words)))
-    first = first_places(every, len(seen)).tolist()
-    rows = vocabulary.lookup(seen, lambda k: words[first[k]])[every]
+    rows = vocabulary.lookup(words)
     del words
     at = 0
     for (a, _), (own, n), size in zip(parts, codes, sizes, strict=True):

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import blocks, cut, discard, done, emit, first_places, frees, fresh_path, small_batches, span_classes
+from tallygrove.llm.common import apart, blocks, cut, discard, done, emit, first_places, frees, fresh_path, small_batches, span_classes
 
 ORDER = 5
 SYMBOLS = b"#*$%&|<>"
@@ -422,6 +422,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     return found.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(f"__{c}").alias(c) for c in STATS], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__bits").alias("bits"))
 
 
+@apart
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows that the rules keep, in the input's own columns."""
     return judged(docs, docs.columns, **options).filter("__kept").select(*docs.columns)

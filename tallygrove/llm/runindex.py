@@ -12,7 +12,7 @@
    An anchor with more than group_limit contexts is dealt out as pairs of salted parts, which together hold every pair of contexts.
 5. Marks go back to all occurrences of their context, and each distinct text is cut once.
 
-Anchors are only told apart by what the index then compares; contexts go by the XXH64 of their bytes. Texts of any length are read tile by tile.
+Anchors are only told apart by what the index then compares; contexts go by the BLAKE2b-128 of their bytes. Texts of any length are read tile by tile.
 
 Defined cases: null texts are empty; texts shorter than match are left as they are; exact copies of a text of match bytes or more are
 removed as a whole, all of them; repeated rows are copies; an empty table gives no rows; other columns are not looked at.
@@ -25,16 +25,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SpanHash, blocks, cut, discard, done, emit, frees, fresh_path, small_batches
+from tallygrove.llm.common import SpanHash, apart, blocks, cut, discard, done, emit, frees, fresh_path, small_batches
 
 MATCH, ANCHOR = 400, 128
 TILE = 1 << 18
-ANCHORS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("row", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
-MARKS = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+ANCHORS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("row", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
+MARKS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 # -- anchors ---------------------------------------------------------------------------------------------------------------------------
@@ -58,7 +57,7 @@ def _anchors_of_tile(buffer: np.ndarray, ends: np.ndarray, start: int, tile: int
 
 
 def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile: int = TILE) -> dict[str, np.ndarray]:
-    """Anchors of all windows: key (hash), context (XXH64 of text[a:b]), row (which text), a, b, times (anchors taken as one)."""
+    """Anchors of all windows: key (hash), context (BLAKE2b-128 of text[a:b]), row (which text), a, b, times (anchors taken as one)."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
     data = b"".join(texts)
@@ -66,7 +65,7 @@ def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile:
     found = [_anchors_of_tile(buffer, ends, start, tile, match, anchor) for start in range(0, len(buffer) - match + 1, tile)]
     p, where = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in found)]), return_index=True)
     if not len(p):
-        return {f.name: np.zeros(0, dtype=f.type.to_pandas_dtype()) for f in ANCHORS}
+        return {f.name: pa.array([], type=f.type) if f.name == "context" else np.zeros(0, dtype=f.type.to_pandas_dtype()) for f in ANCHORS}
     key = np.concatenate([k for _, k in found])[where]
     row = np.searchsorted(ends, p, side="right")
     begin = ends[row] - lengths[row]
@@ -76,9 +75,9 @@ def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile:
     key, row, begin, a, b = key[by], row[by], begin[by], a[by], b[by]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (a[1:] >= b[:-1])]))
     key, row, begin, a, b = key[first], row[first], begin[first], a[first], b[np.append(first[1:], len(b)) - 1]
-    view, digest = memoryview(data), xxhash.xxh64_intdigest
-    context = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), dtype=np.uint64, count=len(a))
-    return {"key": key, "context": context.view(np.int64), "row": row, "a": a - begin, "b": b - begin, "times": np.diff(np.append(first, len(p)))}
+    view, digest = memoryview(data), hashlib.blake2b
+    context = pa.array([digest(view[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)], type=pa.binary())
+    return {"key": key, "context": context, "row": row, "a": a - begin, "b": b - begin, "times": np.diff(np.append(first, len(p)))}
 
 
 def _find_anchors(match: int, anchor: int, block_bytes: int):
@@ -199,7 +198,7 @@ def _index(match: int, block_bytes: int):
         found = repeats(rows.column("piece").to_pylist(), part, match, rows.column("n").to_numpy())
         if found:
             which, s, e = map(np.array, zip(*found, strict=True))
-            yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").to_numpy()[which], "s": s, "e": e}, MARKS)
+            yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").combine_chunks().take(pa.array(which)), "s": s, "e": e}, MARKS)
 
     @frees
     def run(batches):
@@ -238,14 +237,14 @@ class Texts:
 
 def removed_spans(texts: DataFrame, *, match: int = MATCH, anchor: int = ANCHOR, group_limit: int = 2048, block_bytes: int = 1 << 20) -> DataFrame:
     """h1, h2, spans (array of struct s, e; overlaps not yet merged) of the distinct texts that have any; texts is Texts.rows."""
-    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, block_bytes), "key long, context long, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
+    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, block_bytes), "key long, context binary, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
     contexts = cut(found.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at")), "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum(F.col("n") * F.col("at.times")).alias("occurrences")).filter("occurrences > 1")
     known = contexts.join(keys, "key").select("key", "context", "n", "at.*", "contexts")
     salted = known.withColumn("salts", F.expr(f"CAST(ceil(contexts / {group_limit}) AS INT)")).withColumn("salt", F.expr("CAST(pmod(xxhash64(context, 7), salts) AS INT)"))
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("part", F.expr("CASE WHEN salts = 1 THEN key ELSE xxhash64(key, least(salt, other), greatest(salt, other)) END"))
     pieces = texts.select("h1", "h2", "text").join(dealt, ["h1", "h2"]).select("part", "key", "context", "n", F.expr("substring(text, a + 1, b - a)").alias("piece"))
-    marks = cut(pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(match, block_bytes), "key long, context long, s int, e int"), "marks")
+    marks = cut(pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(match, block_bytes), "key long, context binary, s int, e int"), "marks")
     spans = cut(found.join(marks, ["key", "context"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("spans")), "spans")
     done(found, contexts, marks)
     return spans
@@ -301,6 +300,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.join(changed, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
+@apart
 def clean(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows with their repeats cut out of the text, in the input's own columns.
 

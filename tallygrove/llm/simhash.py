@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import cut, emit, frees, small_batches
+from tallygrove.llm.common import apart, cut, emit, frees, small_batches
 from tallygrove.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@apart
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_limit: int = 20_000) -> DataFrame:
     """One row of each component, in the input's own columns: that of the smallest doc_id (null ones last), then of the least text hash.
 

@@ -181,3 +181,16 @@ def test_repeats(spark, docs, odd_texts, empty):
     assert runindex.remove_repeats(empty).count() == 0
     cleaned = runindex.clean(docs)
     assert cleaned.columns == docs.columns
+
+
+def test_texts_of_equal_hashes_keep_their_bytes(spark):
+    """Two texts of one XXH64 that share no string of the match length."""
+    from tests.llm.conftest import documents as make
+
+    pair = ["abcdefgh" + 24 * "q" + "ijklmnop" + 24 * "q", "WpQXMZne" + 24 * "q" + "pVpFjcOV" + 24 * "q"]
+    assert xxhash.xxh64_intdigest(pair[0]) == xxhash.xxh64_intdigest(pair[1])
+    rows = runindex.remove_repeats(make(spark, pair), match=64, anchor=24).collect()
+    assert [r["n_removed"] for r in rows] == [0, 0]
+    found = runindex.anchors([p.encode() for p in pair], 64, 24)
+    assert len(set(found["context"].to_pylist())) == len(found["context"])
+    assert sorted(r["n_removed"] for r in runindex.remove_repeats(make(spark, [*pair, pair[0]]), match=64, anchor=24).collect()) == [0, 64, 64]

@@ -24,3 +24,35 @@ def test_registry():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(registry.oracle_sql()) <= set(names)
+
+
+OWN = ["__h", "__removed", "__kept", "__lang", "__H1", "__text"]
+
+
+def stage_input(spark, texts, ids):
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c} of {k}" for c in OWN]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __h string, __removed string, __kept string, __lang string, __H1 string, __text string")
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, odd_texts):
+    """Null ids and texts, repeated ids, columns named like the operators' own: every row that stays is one of the input but for text and n_chars."""
+    from tallygrove.llm.common import cut
+
+    real = [r["text"] for r in table(spark, sf, "documents").limit(40).collect()]
+    texts = [*odd_texts, *real, real[0]]
+    docs = stage_input(spark, texts, [None, None, 7, 7, *range(10, 6 + len(texts))])
+    known = {tuple(r[c] for c in ("doc_id", "lang", "source", *OWN)) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, docs, sf), "stage")
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert {tuple(r[c] for c in ("doc_id", "lang", "source", *OWN)) for r in rows} <= known, name
+        assert len({r["__h"] for r in rows}) == len(rows)
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    docs = stage_input(spark, [], [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0

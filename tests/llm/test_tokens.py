@@ -70,3 +70,28 @@ def test_bpe(docs, odd_texts):
 @pytest.mark.parametrize("f", [packing.pack, bpe_sql.encode_decode])
 def test_empty(empty, f):
     assert f(empty).count() == 0
+
+
+ALIKE = ["abcdefgh" + 24 * "q" + "ijklmnop" + 24 * "q", "WpQXMZne" + 24 * "q" + "pVpFjcOV" + 24 * "q"]  # words of one XXH64
+
+
+def test_words_of_equal_hashes(spark):
+    import xxhash
+
+    from tests.llm.conftest import documents
+
+    assert xxhash.xxh64_intdigest(ALIKE[0]) == xxhash.xxh64_intdigest(ALIKE[1])
+    encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = [x.tolist() for x in packing.encoded(ALIKE, P.path("byte_bpe_50k.json"))]
+    assert got == [encoder.encode(t, add_special_tokens=False).ids for t in ALIKE]
+    rows = {r["doc_id"]: r["decoded_sha256"] for r in bpe_sql.encode_decode(documents(spark, ALIKE).coalesce(1)).collect()}
+    assert [rows[i] for i in range(2)] == [hashlib.sha256(t.encode()).hexdigest() for t in ALIKE]
+
+
+def test_a_long_unbroken_run(spark):
+    from tests.llm.conftest import documents
+
+    text = "".join(random.Random(5).choice("abcde") for _ in range(1500))
+    ranks = bpe_sql.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe_sql.encode_decode(documents(spark, [text])).first()["n_tokens"] == len(library.encode_ordinary(text))
