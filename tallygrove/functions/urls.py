@@ -155,22 +155,28 @@ def without_dots(p) -> Column:
     return F.when(F.regexp_like(col(p), F.lit(r"(?:^|/)\.{1,2}$")) & ~F.endswith(joined, F.lit("/")), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
-def resolve(base, href) -> Column:
-    """A link as a whole URL against its page; null for mail, telephone and mere fragments, for other schemes, and for mere sorting or paging.
-
-    A JavaScript call with a quoted first argument becomes the page's URL with the function and the argument as its query.
-    """
+def absolute(base, href) -> Column:
+    """A link as a whole URL against its page's."""
     h, page = F.trim(col(href)), F.regexp_replace(col(base), "[?#].*$", "")
     origin, scheme = F.regexp_extract(col(base), r"^[A-Za-z][\w+.\-]*://[^/?#]*", 0), F.regexp_extract(col(base), r"^[A-Za-z][\w+.\-]*:", 0)
-    call = r"^(?:javascript:\s*)+([A-Za-z_][\w$]*)\s*\(\s*['\"]([^'\"]+)['\"]"
-    called = F.when(F.regexp_like(h, F.lit(call)), F.concat(page, F.lit("?_jsfn="), F.url_encode(F.regexp_extract(h, call, 1)), F.lit("&_jsid="), F.url_encode(F.regexp_extract(h, call, 2))))
     own, rest = F.regexp_extract(h, "^[^?#]*", 0), F.regexp_extract(h, "[?#].*$", 0)
     folder = F.regexp_replace(F.regexp_replace(page, r"^[A-Za-z][\w+.\-]*://[^/]*", ""), "[^/]*$", "")
-    whole = (
+    return (
         F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][\w+.\-]*:")), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, h)).when(F.startswith(h, F.lit("/")), F.concat(origin, without_dots(own), rest))
         .when(F.startswith(h, F.lit("?")), F.concat(page, h)).when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(col(base), "#.*$", ""), h))
         .otherwise(F.concat(origin, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest))
     )
+
+
+def resolve(base, href) -> Column:
+    """A link as a whole URL against its page; null for mail, telephone and mere fragments, for other schemes, and for mere sorting or paging.
+
+    A JavaScript call with a quoted first argument becomes the page's URL with the function and the argument as its query.
+    """
+    h, page = F.trim(col(href)), F.regexp_replace(col(base), "[?#].*$", "")
+    call = r"^(?:javascript:\s*)+([A-Za-z_][\w$]*)\s*\(\s*['\"]([^'\"]+)['\"]"
+    called = F.when(F.regexp_like(h, F.lit(call)), F.concat(page, F.lit("?_jsfn="), F.url_encode(F.regexp_extract(h, call, 1)), F.lit("&_jsid="), F.url_encode(F.regexp_extract(h, call, 2))))
+    whole = absolute(base, href)
     kept = F.when(F.regexp_like(whole, F.lit("^https?:")) & ~sort_or_page_only(whole), whole)
     return F.when((h == "") | (h == "#") | F.regexp_like(h, F.lit("^(?:mailto|tel):")), None).when(F.startswith(h, F.lit("javascript:")), called).otherwise(kept)
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import urls
 from tallygrove.functions.text import col
+from tallygrove.operators.paging import PAGE_PARAMS
 
-# Words that lead to job pages, and names of page parameters.
+# Words that lead to job pages.
 KEYWORDS = [
     "채용", "공고", "모집", "입사", "지원", "인재", "커리어", "채용공고", "리크루팅", "리쿠르팅", "인재영입", "구인", "구직", "구인구직", "잡", "취업", "일자리", "채용정보",
     "career", "careers", "recruit", "recruiting", "recruitment", "job", "jobs", "hiring", "employment", "vacancy", "vacancies", "join-us", "joinus", "work-with-us", "apply",
     "position", "positions", "opening", "openings", "opportunity", "opportunities",
 ]
-PAGE_PARAMS = ["page", "pageIndex", "pageNum", "pageNo", "currentPage", "p"]
 SEPARATORS = r"\s*\|\s*|\s+[-–]{1,2}\s+|\s+::\s+|\s*,\s*"
 
 
