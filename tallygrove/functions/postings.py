@@ -173,12 +173,6 @@ def scan_html(html, pattern: str, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(col(html), F.lit(pattern), F.lit(1))), 1, most)
 
 
-def local_media(html, pattern: str, folder: str) -> Column:
-    """The HTML with each matched address replaced by folder and the digest of the address."""
-    found = F.array_distinct(F.regexp_extract_all(col(html), F.lit(pattern), F.lit(1)))
-    return F.aggregate(found, col(html), lambda text, x: F.replace(text, x, F.concat(F.lit(folder), F.sha1(x))))
-
-
 def first_number(x, paths: list[str]) -> Column:
     """The first of several JSON paths that holds a number."""
     return F.coalesce(*[F.get_json_object(col(x), p).try_cast("bigint") for p in paths])

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallygrove.operators import chains, handlers, paging, schema
+from tallygrove.functions import templates
+from tallygrove.operators import chains, companies, handlers, paging, profile, schema, subjects
+from tallygrove.sources import html, pages as read
 from tallygrove.sources.landing import json_path, tables
 
 QUERIES: dict = {}
@@ -203,3 +205,148 @@ def script_resolved(spark, d):
     )
     pages = supplier.select("s_suppkey", script.alias("html"), F.concat(F.lit("https://www.example.com/s"), "s_suppkey", F.lit("/list.do?q=1")).alias("page"), F.explode(F.array(*map(F.lit, ("goView", "GOLIST", "openPopup", "none")))).alias("fn"))
     return pages.select("s_suppkey", "fn", handlers.resolved("page", "html", "fn", F.col("s_suppkey").cast("string")).alias("url"))
+
+
+# -- pages: what regular expressions can say of them; these pages have no head but a title, and an article ----------------------------------------
+def _said(x: str) -> str:
+    """SQL: HTML as text."""
+    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{c}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)
+SELECT page_id, {_said("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, sha1(rtrim({_said("article")}[:20000])) AS body, {_said("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+    length({_said("regexp_replace(article, '(?s)<h1>.*?</h1>', '')")})::INTEGER AS chars, 0 AS links, 'utf-8' AS charset
+FROM a
+""")
+def page_details(spark, d):
+    (pages,) = tables(spark, d, "pages")
+    found = read.page_details(pages, "page_id", "url", "html")
+    section = F.element_at("sections", -1)
+    charset = F.when(F.map_contains_key("meta", "charset"), F.element_at("meta", "charset")).otherwise("utf-8")
+    return found.filter("error IS NULL").select(F.col("page").alias("page_id"), "title", F.sha1("body").alias("body"), section["heading"].alias("heading"), F.length(section["text"]).alias("chars"), F.size("links").alias("links"), charset.alias("charset"))
+
+
+@query(f"""
+WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<a href="([^"]*)">(.*?)</a>', 1) AS hrefs, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<a href="([^"]*)">(.*?)</a>', 2) AS texts FROM pages),
+x AS (SELECT page_id, unnest(range(1, len(hrefs) + 1)) AS row, hrefs, texts FROM l WHERE len(hrefs) >= 2)
+SELECT page_id AS page, 1 AS block, 'ul>li.' AS signature, row::INTEGER AS row, 1 AS pos, replace(replace(hrefs[row], '&quot;', '"'), '&amp;', '&') AS href, {_said("texts[row]")} AS text FROM x
+""")
+def block_anchors(spark, d):
+    (pages,) = tables(spark, d, "pages")
+    return read.block_anchors(pages, "page_id", "html", skipped=()).select("page", "block", "signature", "row", "pos", "href", "text")
+
+
+# -- subjects: a language's pages are the rows of a block; their links are those of the page, and a call with the page's number ---------------------------
+_ROWS = """
+links AS (
+    SELECT lang, page_id, unnest(range(1, len(hrefs) + 1)) AS pos, hrefs, texts, origin
+    FROM (SELECT regexp_extract(url, '^https?://[^/]*/([^/]*)', 1) AS lang, page_id, regexp_extract(url, '^https?://[^/?#]*') AS origin,
+        regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 2) AS texts FROM pages)
+), a AS (
+    SELECT lang, page_id, pos, texts[pos] AS text, 'https://www.example.com' || hrefs[pos] AS url, hrefs[pos] AS kind FROM links WHERE starts_with(hrefs[pos], '/') AND NOT regexp_matches(hrefs[pos], '[?#&;]|//|/\\.')
+    UNION ALL SELECT lang, page_id, 100, 'no ' || page_id, 'https://www.example.com/' || lang || '/?_jsfn=goView&_jsid=' || (page_id // 2), 'js:goView' FROM links WHERE pos = 1
+)"""
+
+
+@query(f"""
+WITH {_ROWS},
+ok AS (SELECT * FROM a WHERE length(text) >= 2),
+k AS (SELECT lang, kind, count(DISTINCT url) / count(DISTINCT page_id) AS score FROM ok GROUP BY ALL)
+SELECT lang AS page, page_id AS row, url, substr(text, 1, 200) AS title, score FROM ok JOIN k USING (lang, kind) QUALIFY row_number() OVER (PARTITION BY lang, page_id ORDER BY score DESC, length(text) DESC, pos) = 1
+""")
+def list_subjects(spark, d):
+    (pages,) = tables(spark, d, "pages")
+    lang = F.regexp_extract("url", "^https?://[^/]*/([^/]*)", 1)
+    links = html.anchors(pages, "page_id", "html").filter(F.startswith("href", F.lit("/")) & ~F.col("href").rlike(r"[?#&;]|//|/\."))
+    call = pages.filter(F.contains("html", F.lit("<a href="))).select("page_id", F.lit(100).alias("pos"), F.concat(F.lit("javascript:goView('"), F.floor(F.col("page_id") / 2).cast("string"), F.lit("')")).alias("href"), F.concat(F.lit("no "), "page_id").alias("text"))
+    rows = links.unionByName(call).join(pages.select("page_id", lang.alias("page")), "page_id")
+    anchors = rows.select("page", F.lit(1).alias("block"), F.col("page_id").alias("row"), "pos", F.concat(F.lit("https://www.example.com/"), "page", F.lit("/")).alias("base"), "href", "text")
+    return subjects.subjects(anchors).drop("block")
+
+
+# -- profiles: a document's lines as Markdown by their first letters ---------------------------------------------------------------------------------
+_MARKED = """CASE left(line, 1) WHEN 'A' THEN '## 보유 기술 ' || line WHEN 'E' THEN '## 연봉' WHEN 'O' THEN '## ' || line WHEN 'I' THEN ' - 보유 : ' || replace(line, ' ', ', ')
+    WHEN 'T' THEN '- 일부:' || replace(line, ' ', ',') || '(memo, x), z ' WHEN 'S' THEN '- 현재: 4,' || length(line) || ' 만원' ELSE line END"""
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc_id, pos, {_MARKED} AS line FROM l),
+h AS (SELECT *, CASE WHEN starts_with(line, '## 보유 기술') THEN 's' WHEN starts_with(line, '## 연봉') THEN 'p' WHEN starts_with(line, '## ') THEN '-' END AS heading FROM m),
+s AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), '-') AS section FROM h),
+t AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (section = '-'), '') AS plain, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (section = 's' AND heading IS NULL), '') AS skills,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (section = 'p' AND heading IS NULL), '') AS pay FROM s GROUP BY doc_id
+),
+i AS (
+    SELECT doc_id, name, string_agg(trim(item), '|' ORDER BY pos, place) AS items FROM (
+        SELECT *, unnest(string_split(rest, ',')) AS item, generate_subscripts(string_split(rest, ','), 1) AS place FROM (
+            SELECT doc_id, pos, regexp_extract(line, '^\\s*-\\s*(보유|일부)\\s*:', 1) AS name, regexp_replace(regexp_extract(line, '^\\s*-\\s*(?:보유|일부)\\s*:\\s*(.+)', 1), '\\([^)]*\\)', '', 'g') AS rest
+            FROM s WHERE section = 's' AND heading IS NULL)) WHERE name <> '' AND trim(item) <> '' GROUP BY ALL
+)
+SELECT doc_id AS doc, substr(sha1(regexp_replace(plain, '^\\s+|\\s+$', '', 'g') || chr(10)), 1, 12) AS text_hash, substr(sha1(regexp_replace(skills, '^\\s+|\\s+$', '', 'g')), 1, 12) AS skills_hash,
+    coalesce(a.items, '') AS has, coalesce(b.items, '') AS partial, TRY_CAST(replace(regexp_extract(pay, '현재\\s*:\\s*([\\d,]+)\\s*만', 1), ',', '') AS INTEGER) AS salary
+FROM t LEFT JOIN (FROM i WHERE name = '보유') AS a USING (doc_id) LEFT JOIN (FROM i WHERE name = '일부') AS b USING (doc_id)
+""")
+def profiles(spark, d):
+    (docs,) = tables(spark, d, "documents")
+    x, first = F.col("line"), F.substring("line", 1, 1)
+    marked = F.when(first == "A", F.concat(F.lit("## 보유 기술 "), x)).when(first == "E", F.lit("## 연봉")).when(first == "O", F.concat(F.lit("## "), x)).when(first == "I", F.concat(F.lit(" - 보유 : "), F.replace(x, F.lit(" "), F.lit(", "))))
+    marked = marked.when(first == "T", F.concat(F.lit("- 일부:"), F.replace(x, F.lit(" "), F.lit(",")), F.lit("(memo, x), z "))).when(first == "S", F.concat(F.lit("- 현재: 4,"), F.length(x), F.lit(" 만원"))).otherwise(x)
+    found = profile.profiles(profile.lines_of(docs, "doc_id", "text").withColumn("line", marked))
+    return found.select("doc", "text_hash", "skills_hash", F.array_join("has", "|").alias("has"), F.array_join("partial", "|").alias("partial"), "salary")
+
+
+# -- companies ------------------------------------------------------------------------------------------------------------------------------------------
+@query("""
+SELECT s_suppkey AS company, CASE WHEN s_nationkey < 20 THEN 1900 + s_nationkey END AS founded_year, CASE WHEN s_nationkey >= 5 THEN 1000 + s_suppkey END::INTEGER AS employees,
+    CASE WHEN s_nationkey >= 10 THEN s_suppkey + 0.5 END::DOUBLE AS revenue_eok, CASE WHEN s_nationkey < 12 THEN 'large' ELSE 'small' END AS company_type
+FROM supplier
+""")
+def company_pages(spark, d):
+    (supplier,) = tables(spark, d, "supplier")
+    nation, said = F.col("s_nationkey"), lambda *parts: F.concat(*(F.lit(p) if p[0] != "@" else F.col(p[1:]).cast("string") for p in parts))
+    cell = lambda label, *value: said(f'<tr><th scope="row" class="a field-label">{label}</th>\n<td class="c"><div class="value big">', *value, "</div></td></tr>")
+    card = lambda label, *value: said(f'<li>\n<span class="icnCorp01">{label}</span><p>', *value, "</p></li>")
+    thousand = F.concat(F.lit('<tr><th class="field-label">사원수</th><td><b class="value"> '), F.format_number(F.col("s_suppkey") + 1000, 0), F.lit("명</b></td></tr>"))
+    page = F.concat(
+        F.lit("<h1>x</h1><table>"), F.when(nation < 20, F.concat(F.lit('<tr><th class="field-label">설립일</th><td><span class="value">19'), F.lpad(nation.cast("string"), 2, "0"), F.lit("년 <b>1월</b></span></td></tr>"))).otherwise(""),
+        F.when(nation >= 5, thousand).otherwise(""), cell("기업구분", "small"), F.lit("</table><ul>"), F.when(nation >= 10, card("매출액", "@s_suppkey", "억 5,000만원</p><p>2020")).otherwise(""), card("기업구분", "middle"),
+        F.when(nation < 12, card("기업형태", "large")).otherwise(""), F.when(nation >= 5, card("사원수", "7명")).otherwise(""), F.lit("</ul>"),
+    )
+    return companies.company_fields(companies.label_values(supplier.select("s_suppkey", page.alias("html")), "s_suppkey", "html"))
+
+
+@query("""
+WITH l AS (
+    SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN 1950 + c_nationkey END AS founded, CASE WHEN c_mktsegment < 'F' THEN 100 END AS lo, unnest(['(주)Group ' || right(c_name, 3), 'G-' || right(c_name, 2)]) AS said, unnest([0, 1]) AS variant
+    FROM customer
+), r AS (SELECT s_suppkey AS match, CASE WHEN s_acctbal >= 0 THEN 1950 + s_nationkey END AS founded, s_suppkey % 900 AS employees, lower(CASE WHEN s_nationkey < 12 THEN 'g' || right(s_name, 2) ELSE 'group' || right(s_name, 3) END) AS key FROM supplier),
+t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY match) AS k FROM r QUALIFY k <= 4),
+p AS (SELECT id, match, l.founded, t.founded AS its, lo, employees, min((variant, k)) AS place FROM l JOIN t ON lower(regexp_replace(replace(said, '(주)', ''), '[ -]', '', 'g')) = key GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY place, match) AS r FROM p QUALIFY r <= 4)
+SELECT id, arg_min(match, r) AS match FROM n WHERE (employees = 0 OR lo IS NULL OR employees BETWEEN 100 / 3 AND 600) AND (coalesce(abs(its - founded) <= 1, false) OR n = 1 AND (its IS NULL OR founded IS NULL)) GROUP BY id
+""")
+def same_companies(spark, d):
+    customer, supplier = tables(spark, d, "customer", "supplier")
+    lo = F.when(F.col("c_mktsegment") < "F", 100)
+    name = F.concat(F.lit("(주)Group "), F.right("c_name", F.lit(3)), F.lit(" (G-"), F.right("c_name", F.lit(2)), F.lit(")"))
+    left = customer.select(F.col("c_custkey").alias("id"), name.alias("name"), F.when(F.col("c_acctbal") >= 0, 1950 + F.col("c_nationkey")).alias("founded"), lo.alias("least_employees"), (lo * 2).alias("most_employees"))
+    label = F.when(F.col("s_nationkey") < 12, F.concat(F.lit("G."), F.right("s_name", F.lit(2)), F.lit(" (old)"))).otherwise(F.concat(F.lit("GROUP "), F.right("s_name", F.lit(3)), F.lit("(주)")))
+    right = supplier.select(F.col("s_suppkey").alias("match"), label.alias("label"), F.when(F.col("s_acctbal") >= 0, 1950 + F.col("s_nationkey")).alias("founded"), (F.col("s_suppkey") % 900).alias("employees"), F.col("s_suppkey").alias("rank"))
+    return companies.same_companies(left, right)
+
+
+# -- places to fill: a line's words in the order that its length gives, some of which look like places themselves --------------------------------------------
+@query("""
+SELECT o_orderkey, '<p>[[[CONTENT-ELEMENT-1]]]' || o_orderstatus || '</p>' || o_orderpriority || '|' || o_custkey || '[[[CONTENT-ELEMENT-x]]]' AS body FROM orders
+""")
+def filled_places(spark, d):
+    (orders,) = tables(spark, d, "orders")
+    body = F.lit("<p>[[[CONTENT-ELEMENT-0]]]</p>[[[CONTENT-ELEMENT-1]]]|[[[CONTENT-ELEMENT-7]]][[[CONTENT-ELEMENT-12]]][[[CONTENT-ELEMENT-x]]]")
+    contents = F.create_map(F.lit("0"), F.concat(F.lit("[[[CONTENT-ELEMENT-1]]]"), "o_orderstatus"), F.lit("1"), F.col("o_orderpriority"), F.lit("12"), F.col("o_custkey").cast("string"))
+    return orders.select("o_orderkey", templates.filled(body, contents).alias("body"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrove.functions import postings as P
-from tallygrove.functions import text, urls
+from tallygrove.functions import templates, text, urls
 from tallygrove.operators import ordering, updates, windows
 from tallygrove.sources import html
 from tallygrove.sources.landing import site_urls, tables
@@ -286,14 +286,11 @@ def html_scan(spark, d):
     return pages.select("page_id", F.array_join(P.scan_html("html", 'href="(/[^"]*)"'), " ").alias("found"))
 
 
-@query("""SELECT page_id, sha1(list_reduce(list_concat([html], list_distinct(regexp_extract_all(html, 'href="(http[^"]*)"', 1))), lambda t, x: replace(t, x, '/media/' || sha1(x)))) AS digest
-FROM (SELECT * FROM pages WHERE len(list_distinct(regexp_extract_all(html, 'href="(http[^"]*)"', 1))) = 1)""")
+@query("""WITH p AS (SELECT page_id, string_split_regex(html, 'href="(/[^"]+)"') AS between, regexp_extract_all(html, 'href="(/[^"]+)"', 1) AS found FROM pages)
+SELECT page_id, sha1(array_to_string(list_transform(range(1, len(between) + 1), lambda i: between[i] || coalesce('href="/media/' || sha1(found[i]) || '"', '')), '')) AS digest FROM p""")
 def local_media_html(spark, d):
-    """Pages with one such address: with several, the order of replacement could matter where one begins another."""
     (pages,) = tables(spark, d, "pages")
-    pattern = 'href="(http[^"]*)"'
-    one = F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))) == 1
-    return pages.filter(one).select("page_id", F.sha1(P.local_media("html", pattern, "/media/")).alias("digest"))
+    return pages.select("page_id", F.sha1(templates.local_media("html", 'href="(/[^"]+)"', "/media/")).alias("digest"))
 
 
 @query("SELECT event_id, coalesce((props::JSON ->> '$.total')::BIGINT, (props::JSON ->> '$.k')::BIGINT) AS total FROM events")
