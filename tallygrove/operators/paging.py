@@ -41,7 +41,7 @@ def path_template(anchors: DataFrame) -> DataFrame:
     the number of the first link; step: the least difference between the numbers of links that the template gives; n: how many numbers there are. A
     page's first link is found by a grouped minimum and joined to its links; no pairs of links are made.
     """
-    numbered = anchors.filter(F.regexp_like(F.trim("text"), F.lit(r"^[0-9]{1,4}$"))).select("page", "pos", F.trim("text").cast("int").alias("number"), urls.absolute("base", "href").alias("url"), "base")
+    numbered = anchors.filter(F.regexp_like(F.trim("text"), F.lit(r"^[0-9]{1,4}$"))).select("page", "pos", F.trim("text").try_cast("int").alias("number"), urls.absolute("base", "href").alias("url"), "base")
     own = numbered.filter(F.col("number").between(1, 999) & (urls.host("url") == urls.host("base"))).withColumn("parts", F.split(urls.path("url"), "/"))
     first = own.groupBy("page").agg(F.min(F.struct("pos", "number", "url", "parts")).alias("a"))
     both = own.join(first, "page").withColumn("differ", F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i) != F.coalesce(F.get("a.parts", i), F.lit("/"))))

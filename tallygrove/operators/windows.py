@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallygrove.operators.chains import cut
+
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order."""
@@ -37,20 +37,22 @@ def site_state(streaks: DataFrame, paused: int = 3, dead: int = 7) -> DataFrame:
 def greedy_dedupe(df: DataFrame, *, id_col: str, company: str, title: str, priority: str, similar, priorities: list[int]) -> DataFrame:
     """id, dup_of: in the order of (priority, id) a row is a duplicate of the first primary of its company from another source with a like title.
 
-    Duplicates never become primaries. One round for each source: its rows meet the primaries of the sources before it. Rows of a priority that is not
+    Duplicates never become primaries. Like rows are joined once; then one round for each source drops its links to duplicates of the sources before it. Rows of a priority that is not
     listed, null too, come last, as one source.
     """
     rank = F.when(F.col(priority).isin(priorities), F.col(priority)).otherwise(F.lit(max(priorities) + 1))
     rows = df.select(F.col(id_col).alias("id"), F.col(company).alias("company"), F.col(title).alias("title"), rank.alias("priority"))
-    primaries = rows.filter(F.col("priority") == priorities[0]).withColumn("dup_of", F.lit(None).cast(rows.schema["id"].dataType))
-    done = [primaries]
+    before = rows.select(F.col("id").alias("k_id"), F.col("company").alias("k_company"), F.col("title").alias("k_title"), F.col("priority").alias("k_priority"))
+    alike = (F.col("company") == F.col("k_company")) & (F.col("k_priority") < F.col("priority")) & similar(F.col("title"), F.col("k_title"))
+    met = cut(rows.join(before, alike).select("id", "priority", "k_id", "k_priority"))  # like rows of earlier sources, found once
+    copies = None
     for p in [*priorities[1:], max(priorities) + 1]:
-        own = rows.filter(F.col("priority") == p)
-        known = reduce(DataFrame.unionByName, done).filter("dup_of IS NULL").select(F.col("id").alias("k_id"), F.col("company").alias("k_company"), F.col("title").alias("k_title"), F.col("priority").alias("k_priority"))
-        met = own.join(known, (F.col("company") == F.col("k_company")) & similar(F.col("title"), F.col("k_title")), "left")
-        first = met.groupBy("id").agg(F.min(F.when(F.col("k_id").isNotNull(), F.struct("k_priority", "k_id"))).alias("first"))
-        done.append(own.join(first, "id").select("id", "company", "title", "priority", F.col("first.k_id").alias("dup_of")))
-    return reduce(DataFrame.unionByName, done).select("id", "dup_of")
+        own = met.filter(F.col("priority") == p)
+        if copies is not None:
+            own = own.join(copies.select(F.col("id").alias("k_id")), "k_id", "left_anti")
+        first = own.groupBy("id").agg(F.min(F.struct("k_priority", "k_id"))["k_id"].alias("dup_of"))
+        copies = first if copies is None else copies.unionByName(first)
+    return rows.select("id").join(copies, "id", "left")
 
 
 def recheck_average(df: DataFrame, first: str, second: str, low: int = 60, high: int = 85) -> Column:

@@ -1,5 +1,6 @@
 """DuckDB SQL with the rows of the registered queries, written on its own terms."""
 
+from tallygrove.functions.postings import EVENT_WORDS, JOB_WORDS
 from tallygrove.functions.urls import ID_LIKE_PARAMS, ID_PARAMS, NON_ID_PARAMS, SKIP_LABELS, SORT_PARAMS, TWO_LEVEL
 
 SQL: dict[str, str] = {}
@@ -148,16 +149,13 @@ h AS (SELECT page_id, generate_subscripts(hrefs, 1)::INTEGER AS pos, unnest(href
 SQL["anchor_extract"] = f"WITH {_ANCHOR} SELECT page_id, pos, href FROM h"
 SQL["anchor_fingerprint_stats"] = f"""WITH {_ANCHOR} SELECT CASE WHEN regexp_extract(href, '^javascript:\\s*([\\w$.]+)\\s*\\(', 1) <> '' THEN 'js:' || regexp_extract(href, '^javascript:\\s*([\\w$.]+)\\s*\\(', 1)
 ELSE regexp_replace(href, '[?#].*$', '') END AS fingerprint, count(*) AS n, count(DISTINCT href) AS n_urls, count(DISTINCT page_id) AS n_pages FROM h GROUP BY 1"""
-SQL["list_quality"] = f"""WITH {_ANCHOR}, m AS (SELECT page_id, count(*) AS list_rows, avg((length(href) > 1)::INTEGER) AS l, avg((pos % 2 = 0)::INTEGER) AS t, count(*) FILTER (pos % 2 = 0) AS title_hits,
-avg((pos % 5 = 0)::INTEGER) AS e, count(DISTINCT regexp_replace(href, '\\d+', '{{N}}', 'g')) / count(*) AS path_ratio, avg((href = '/')::INTEGER) AS p, avg(starts_with(href, 'http')::INTEGER) AS x FROM h GROUP BY 1)
+_TEXTS = """a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS texts FROM pages),
+h AS (SELECT page_id, unnest(hrefs) AS href, unnest(texts) AS text FROM a)"""
+_WORDS = lambda words: f"coalesce(regexp_matches(text, '(?i){'|'.join(words)}'), false)"
+SQL["list_quality"] = f"""WITH {_TEXTS}, m AS (SELECT page_id, count(*) AS list_rows, avg((length(href) > 1)::INTEGER) AS l, avg({_WORDS(JOB_WORDS)}::INTEGER) AS t, count(*) FILTER ({_WORDS(JOB_WORDS)}) AS title_hits,
+avg({_WORDS(EVENT_WORDS)}::INTEGER) AS e, count(DISTINCT regexp_replace(href, '\\d+', '{{N}}', 'g')) / count(*) AS path_ratio, avg((href = '/')::INTEGER) AS p, avg(starts_with(href, 'http')::INTEGER) AS x FROM h GROUP BY 1)
 SELECT page_id, list_rows, title_hits, round(path_ratio, 6) AS path_ratio, CASE WHEN list_rows < 2 THEN 'list_rows' WHEN l < 0.5 THEN 'link_ratio' WHEN t < 0.1 THEN 'title_floor' WHEN t < 0.3 AND title_hits < 2 THEN 'title_ratio'
 WHEN path_ratio > 0.5 THEN 'path_ratio' WHEN e > 0.5 THEN 'event_ratio' WHEN p > 0.7 THEN 'parent_ratio' WHEN x > 0.5 THEN 'external_ratio' ELSE 'ok' END AS reason FROM m"""
-_PARSED = [
-    ("264억 3,537만원", 264.3537, None, None, None, None), ("46억 3천만원", 46.3, None, None, None, None), ("1조 2,000억원", 12000, None, None, None, None), ("-20억 4천만원", -20.4, None, None, None, None),
-    ("없음", 0, None, None, None, None), ("경력 5~16년", None, 5, 16, None, None), ("경력 3년↑", None, 3, 100, None, None), ("신입", None, 0, 0, None, None), ("신입·경력", None, 0, 100, None, None), ("경력무관", None, 0, 100, None, None),
-    ("~ 01/10", None, None, None, "2027-01-10", None), ("~ 12/20(일)", None, None, None, "2026-12-20", None), ("상시채용", None, None, None, None, None), ("오늘마감", None, None, None, "2026-12-05", None), ("~ 02/30", None, None, None, None, None),
-    ("서울 강남구", None, None, None, None, 100), ("경기 성남", None, None, None, None, 50), ("부산", None, None, None, None, 0), ("역삼", None, None, None, None, None),
-]
 SQL["json_extract_props"] = "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events"
 SQL["profile_hash"] = "SELECT doc_id, sha1(text)[:12] AS hash FROM documents"
 SQL["company_scores"] = """WITH c AS (SELECT *, c_custkey AS k, c_acctbal / 10 AS rev, CASE WHEN c_custkey % 5 = 0 THEN c_custkey * 7 % 6000 END AS emp, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 50 - 20 END AS growth FROM customer),
@@ -180,10 +178,3 @@ SELECT 'orders' AS name, count(*) AS n FROM orders WHERE CASE WHEN o_custkey = 7
 UNION ALL SELECT 'customer', count(*) FROM customer WHERE CASE WHEN c_custkey = 7 THEN 999999 ELSE c_custkey END NOT IN (SELECT k FROM gone)"""
 SQL["rollup_report"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failed, round(sum(value) FILTER (event_type <> 'error'), 4) AS total, max(event_id) AS last
 FROM events GROUP BY 1"""
-
-
-def _literal(x) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-SQL["parse_samples"] = "SELECT raw, eok::DOUBLE AS eok, lo::INTEGER AS lo, hi::INTEGER AS hi, due::VARCHAR AS due, region::INTEGER AS region FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in _PARSED) + ") v(raw, eok, lo, hi, due, region)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallygrove.functions import scores, text, urls
+from tallygrove.functions import postings, scores, text, urls
 from tallygrove.operators import aggregates, batches, cutoff, joins, ordering, updates, windows
 from tallygrove.sources import html
 from tallygrove.sources.landing import json_path, tables
@@ -411,9 +411,9 @@ def anchor_fingerprint_stats(spark, d):
 
 @query
 def list_quality(spark, d):
-    rows = anchor_extract(spark, d)
-    even = F.col("pos") % 2 == 0
-    metrics = aggregates.list_quality(rows, "page_id", is_link=F.length("href") > 1, is_hit=even, is_event=F.col("pos") % 5 == 0, to_parent=F.col("href") == "/", is_external=F.startswith("href", F.lit("http")), path_pattern=F.regexp_replace("href", r"\d+", "{N}"))
+    (pages,) = tables(spark, d, "pages")
+    rows = html.anchors(pages, "page_id", "html")
+    metrics = aggregates.list_quality(rows, "page_id", is_link=F.length("href") > 1, is_hit=postings.is_job_title("text"), is_event=postings.is_event("text"), to_parent=F.col("href") == "/", is_external=F.startswith("href", F.lit("http")), path_pattern=F.regexp_replace("href", r"\d+", "{N}"))
     return aggregates.list_verdict(metrics).select("page_id", "list_rows", "title_hits", F.round("path_ratio", 6).alias("path_ratio"), "reason")
 
 
@@ -429,15 +429,6 @@ def html_detail(spark, d):
     return html.details(pages, "page_id", "html")
 
 
-@query
-def parse_samples(spark, d):
-    """The parsers on literal inputs."""
-    samples = ["264억 3,537만원", "46억 3천만원", "1조 2,000억원", "-20억 4천만원", "없음", "경력 5~16년", "경력 3년↑", "신입", "신입·경력", "경력무관", "~ 01/10", "~ 12/20(일)", "상시채용", "오늘마감", "~ 02/30", "서울 강남구", "경기 성남", "부산", "역삼"]
-    rows = spark.createDataFrame([(s,) for s in samples], "raw string")
-    years = text.years_range("raw")
-    return rows.select("raw", F.when(F.regexp_like("raw", F.lit("원$|없음")), F.round(text.krw_eok("raw"), 4)).alias("eok"), years["lo"].alias("lo"), years["hi"].alias("hi"), text.due_date("raw", "2026-12-05").cast("string").alias("due"), text.region_score("raw").alias("region"))
-
-
 @query
 def json_extract_props(spark, d):
     (events,) = tables(spark, d, "events")

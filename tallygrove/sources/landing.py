@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.functions import postings, urls
+from tallygrove.functions import embedded, postings, urls
 
 PAGE = "url string, status int, text string, final_url string, error string"
 
@@ -81,6 +81,7 @@ def json_path(column: str, path: str, kind: str = "string") -> Column:
 
 
 def safe_object(column: str) -> Column:
-    """JSON text that is an object, else {}."""
-    parsed = F.from_json(column, "map<string,string>")
-    return F.when(parsed.isNull() | ~F.startswith(F.ltrim(column), F.lit("{")), "{}").otherwise(F.col(column))
+    """JSON text that is one object and nothing else, else {}."""
+    whole = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    one = F.startswith(whole, F.lit("{")) & (embedded.balanced(whole) == whole) & F.try_parse_json(whole).isNotNull()
+    return F.when(F.coalesce(one, F.lit(False)), F.col(column)).otherwise("{}")
