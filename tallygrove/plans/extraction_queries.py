@@ -212,20 +212,24 @@ def _said(x: str) -> str:
     """SQL: HTML as text."""
     out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{c}')"
+        out = f"regexp_replace({out}, '&{name};?', '{c}', 'g')"  # browsers take them without the semicolon too
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
 @query(f"""
-WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)
-SELECT page_id, {_said("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, sha1(rtrim({_said("article")}[:20000])) AS body, {_said("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages),
+b AS (
+    SELECT page_id, html, article, CASE WHEN length({_said("regexp_replace(article, '\\s*<[^>]+>\\s*', '', 'g')")}) >= 30 THEN article
+        ELSE regexp_replace(html, '(?s)<!--.*?-->|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g') END AS body FROM a
+)
+SELECT page_id, {_said("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, sha1(rtrim({_said("body")}[:20000])) AS body, {_said("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
     length({_said("regexp_replace(article, '(?s)<h1>.*?</h1>', '')")})::INTEGER AS chars, 0 AS links, 'utf-8' AS charset
-FROM a
+FROM b WHERE length({_said("body")}) >= 50
 """)
 def page_details(spark, d):
     (pages,) = tables(spark, d, "pages")
     found = read.page_details(pages, "page_id", "url", "html")
-    section = F.element_at("sections", -1)
+    section = F.element_at("sections", -1)  # an article's only heading is its first
     charset = F.when(F.map_contains_key("meta", "charset"), F.element_at("meta", "charset")).otherwise("utf-8")
     return found.filter("error IS NULL").select(F.col("page").alias("page_id"), "title", F.sha1("body").alias("body"), section["heading"].alias("heading"), F.length(section["text"]).alias("chars"), F.size("links").alias("links"), charset.alias("charset"))
 
