@@ -107,7 +107,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release() -> None:
-    """Give freed memory back: a Python worker outlives its task, and what it keeps would add to the next one's."""
+    """Give freed memory back, powers of the span hash among it: a Python worker outlives its task, and what it keeps would add to the next one's."""
+    SpanHash.forget()
     pa.default_memory_pool().release_unused()
     libc = ctypes.util.find_library("c")
     trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
@@ -213,6 +214,11 @@ class SpanHash:
     _powers = np.ones(1, dtype=np.uint64)
     _inverse, _small, _small_inverse = _powers, _powers, _powers
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the powers, which are as long as the longest array so far; the next one makes them anew."""
+        cls._powers = cls._inverse = cls._small = cls._small_inverse = np.ones(1, dtype=np.uint64)
+
     def __init__(self, symbols: np.ndarray):
         n = len(symbols) + 1
         if len(SpanHash._powers) < n:

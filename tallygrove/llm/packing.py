@@ -164,5 +164,6 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             rows, used = pack_block(block.column("doc_id").to_pylist(), ids, sequence, packer)
             sequence += used
             yield emit(rows, PIECES)
+        tokenizer(path)[1].clear()  # the worker lives on, and other tasks need its memory
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, DDL)
