@@ -32,6 +32,7 @@ from tallygrove.llm.pretokens import code_points
 
 MAX_EDITS, SIMILARITY = 1, 0.8
 WORD = r"[^\x20\x09-\x0D]"
+HOT_LINES, HOT_SHARE = 1_000, 100_000
 WILD = 0x10FFFF  # no character; a line that has it gives candidates that do not verify
 
 
@@ -46,6 +47,21 @@ def place() -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")
 
 
+def spot() -> F.Column:
+    """A hash of the line and its place."""
+    return F.xxhash64("h1", "h2", F.coalesce("doc_id", F.lit(0)), "pos", F.col("doc_id").isNull())
+
+
+def dealt(lines: DataFrame, told: DataFrame, every: int, *, hot: int = HOT_LINES, share: int = HOT_SHARE) -> DataFrame:
+    """lines joined with told (h1, h2, n and more) by line. A class with more than hot lines and the share-th part of every is dealt out to as many parts as it has such numbers of
+    lines: there are fewer than share such classes, and fewer than twice share parts, so their keys can be broadcast."""
+    least = max(hot, every // share)
+    parts = told.filter(F.col("n") > least).select("h1", "h2", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+    left = lines.join(F.broadcast(parts), ["h1", "h2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "pos", "t1"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = F.when(F.col("n") > least, F.sequence(F.lit(0), F.ceil(F.col("n") / least).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    return left.join(told.withColumn("part", F.explode(copies)).drop("n"), ["h1", "h2", "part"]).drop("part")
+
+
 def allowed(length, max_edits: int, similarity: float):
     """Edits allowed to a pair whose longer line has this length (a Column)."""
     return F.least(F.lit(max_edits), F.floor(length * (1 - similarity) + 1e-9).cast("int"))
@@ -110,8 +126,10 @@ def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, simila
     keys = classes.filter(long_enough).select("h1", "h2", F.explode(F.array_distinct("keys")).alias("part"))
     shared = keys.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
     wanted = keys.join(shared, "part", "left_semi").select("h1", "h2").distinct()
-    found = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    texts = cut(found.join(classes.select("h1", "h2", F.col("chars").alias("n"), "at.*"), ["h1", "h2"]), "lines")
+    first = wanted.join(classes.select("h1", "h2", F.col("chars").alias("n"), "at.*"), ["h1", "h2"]).withColumn("where", spot())
+    # the line is read at the class's earliest place: a key with one document's rows, however common the line is
+    at_place = lines.select("line", spot().alias("where"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(first, "where").filter("g1 = h1 AND g2 = h2")
+    texts = cut(at_place.groupBy("h1", "h2", "n", "no_id", "doc_id", "pos").agg(F.min("line").alias("line")), "lines")
     rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, gone int, wild int, h1 long, h2 long, no_id boolean, doc_id long, pos int, n int").withColumn("at", F.struct("no_id", "doc_id", "pos", "h1", "h2"))
     least = rows.groupBy("v").agg(F.count("*").alias("rows"), *[F.min(F.when(F.col("gone") == e, F.col("at"))).alias(f"m{e}") for e in range(max_edits + 1)]).filter("rows > 1")
     joined = rows.join(least, "v")
@@ -135,8 +153,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     grouped = own.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("chars", *(f"k{i}" for i in range(len(keys))))])
     classes = cut(grouped.select("h1", "h2", "at", "n", "chars", F.array(*[f"k{i}" for i in range(len(keys))]).alias("keys")), "classes")
     near = near_classes(lines, classes, max_edits=max_edits, similarity=similarity)
-    told = classes.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "at", "near")
-    places = lines.select("doc_id", "t1", "pos", "h1", "h2", F.length("line").alias("chars")).join(told, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") < place()))
+    told = classes.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "n", "at", "near")
+    every = classes.agg(F.sum("n")).first()[0] or 0
+    places = dealt(lines.select("doc_id", "t1", "pos", "h1", "h2", F.length("line").alias("chars")), told, every).filter(F.col("near").isNotNull() | (F.col("at") < place()))
     return places.groupBy("doc_id", "t1").agg(F.array_sort(F.collect_set("pos")).alias("removed"), F.collect_set(F.struct("pos", "chars")).alias("sized")).select("doc_id", "t1", "removed", F.expr("aggregate(sized, 0L, (a, x) -> a + x.chars)").alias("removed_chars"))
 
 

@@ -51,6 +51,18 @@ def test_lines_against_all_pairs(spark, most):
         assert d not in kept if any(e == d for e, _ in gone) and not want.strip() else kept[d] == want
 
 
+def test_common_lines_are_dealt_out(spark):
+    lines = spark.range(400).selectExpr("id AS doc_id", "id AS t1", "CAST(0 AS int) AS pos", "IF(id < 300, 0, id) AS h1", "0L AS h2")
+    told = lines.groupBy("h1", "h2").count().withColumnRenamed("count", "n").filter("h1 <> 350").selectExpr("h1", "h2", "n", "h1 AS value")
+    found = linededup.dealt(lines, told, 400, hot=5, share=20)
+    assert sorted((r["doc_id"], r["value"]) for r in found.collect()) == [(i, 0 if i < 300 else i) for i in range(400) if i != 350]
+    none = linededup.dealt(lines.limit(0), told.limit(0), 0)
+    assert none.count() == 0
+    # most earlier places of one line are found in parts
+    gone = linededup.removed_lines(spark.range(3000).selectExpr("id AS doc_id", "concat('one common line of the site\n', id, ' apart ', sha1(string(id))) AS text"))
+    assert sorted((r["doc_id"], r["removed"]) for r in gone.collect()) == [(i, [0]) for i in range(1, 3000)]
+
+
 def test_lines_that_one_polynomial_confuses(spark):
     """Thue-Morse strings, which a hash modulo 2^64 takes for equal."""
     from tests.llm.conftest import documents as make
