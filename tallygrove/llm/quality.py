@@ -39,6 +39,7 @@ ORDER = 5
 SYMBOLS = b"#*$%&|<>"
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 TAIL, BAND_WIDTH = 0.25, 7.0
+FEW = 100_000  # rows of one a language that are broadcast: some megabytes
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -173,8 +174,13 @@ def _count(block_bytes: int, limit: int = 1_000_000):
 
 
 # -- the model -------------------------------------------------------------------------------------------------------------------------
-def _level(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, p) of one order, and (lang, gram, weight) of its contexts, which are grams of the order below."""
+def few_rows(rows: DataFrame, count: int) -> DataFrame:
+    """The same rows, of which there are count (one a language): broadcast up to FEW, joined by a shuffle beyond it."""
+    return F.broadcast(rows) if count <= FEW else rows
+
+
+def _level(counts: DataFrame, order: int, lower: DataFrame | None, langs: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, gram, p) of one order, and (lang, gram, weight) of its contexts, which are grams of the order below. langs: how many languages there are."""
     clip = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(top), x))
     share = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     discounts = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).select(
@@ -182,7 +188,7 @@ def _level(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[Data
     )
     split = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1))
     sums = split.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"))
-    contexts = sums.join(discounts, "lang").withColumn("weight", F.greatest(F.lit(1e-9), F.expr("(d1 * c1 + d2 * c2 + d3 * c3) / total")))
+    contexts = sums.join(few_rows(discounts, langs), "lang").withColumn("weight", F.greatest(F.lit(1e-9), F.expr("(d1 * c1 + d2 * c2 + d3 * c3) / total")))
     rows = split.join(contexts, ["lang", "context"])
     if lower is None:
         below = F.lit(1 / 256)
@@ -206,9 +212,10 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bl
     levels = [counts.filter(F.col("order") == ORDER).drop("order")]
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes that come before
         levels.insert(0, cut(levels[0].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams"))
+    langs = counts.select("lang").distinct().count()
     tables, lower, kept = [], None, levels[:-1]
     for order, level in enumerate(levels, 1):
-        p, weights = _level(level, order, lower)
+        p, weights = _level(level, order, lower, langs)
         lower = p = cut(p, "level")
         kept.append(p)
         tables.append(p.select(F.lit(order).alias("order"), "lang", "gram", "p", F.lit(None).cast("double").alias("weight")))
@@ -408,11 +415,14 @@ def judged(docs: DataFrame, kept: list[str], *, text_col: str = "text", lang_col
         scores = cut(rows.mapInArrow(_score(path, kept, text_col, block_bytes), schema).withColumn("__failed", failed), "scores")
     for where in (path, words_path(path)):
         discard(docs.sparkSession, where)
-    stays, found = ~F.col("__failed"), scores
+    stays, marks = ~F.col("__failed"), None
     for c in BITS:
         low, high = f"{c}_low", f"{c}_high"
-        found = found.join(bands(scores, tail=tail, width=width, bits=c).withColumnsRenamed({"__low": low, "__high": high}), "__lang", "left")
+        own = bands(scores, tail=tail, width=width, bits=c).withColumnsRenamed({"__low": low, "__high": high})
+        marks = own if marks is None else marks.join(own, "__lang", "full")
         stays = stays & F.col(c).between(F.col(low), F.col(high))
+    marks = cut(marks, "bands")
+    found = scores.join(few_rows(marks, marks.count()), "__lang", "left")
     return found.withColumn("__kept", F.coalesce(stays, F.lit(False)))
 
 

@@ -131,6 +131,11 @@ def test_noise_on_words_is_outside_the_bands(spark, sf):
     assert junk.kept.mean() < 0.3 and clean.kept.mean() > 0.98
 
 
+def test_bands_need_no_exchange_by_language(spark, docs):
+    plan = quality.judged(docs, ["doc_id", "text"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [__lang" in plan and "hashpartitioning(__lang" not in plan
+
+
 def test_verdict_against_sorted_scores(spark, sf):
     """The bands of both scores from the sorted scores of each language, and who lies within them."""
     rows = quality.judged(table(spark, sf, "documents"), ["doc_id"]).toPandas()
