@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,24 @@ def vanished(open_rows: DataFrame, seen: DataFrame, key: str, source: str, share
     return open_rows.join(trusted, source, "left_semi").join(seen.select(source, key), [source, key], "left_anti")
 
 
+def _orphaned(started: str, ended: str, as_of: str, minutes: int) -> Column:
+    age = F.to_timestamp(F.lit(as_of)).cast("double") - F.col(started).cast("timestamp").cast("double")
+    return F.col(ended).isNull() & (age > 60 * minutes)
+
+
 def close_orphans(runs: DataFrame, *, started: str, ended: str, as_of: str, minutes: int) -> DataFrame:
-    """Runs without an end that began more than minutes whole minutes ago."""
+    """Runs without an end that began more than so many minutes ago, with their age in whole ones."""
     age = F.timestamp_diff("MINUTE", F.col(started).cast("timestamp"), F.to_timestamp(F.lit(as_of)))
-    return runs.filter(F.col(ended).isNull() & (age > minutes)).withColumn("age_minutes", age)
+    return runs.filter(_orphaned(started, ended, as_of, minutes)).withColumn("age_minutes", age)
+
+
+def orphans_closed(runs: DataFrame, *, started: str, ended: str, result: str, error: str, as_of: str, minutes: int, note: str = " [orphan: process killed before finish]") -> DataFrame:
+    """All runs, of which those that close_orphans() finds end now as failed, with a note after their error text."""
+    dead = F.coalesce(_orphaned(started, ended, as_of, minutes), F.lit(False))
+    return runs.withColumns({
+        ended: F.when(dead, F.to_timestamp(F.lit(as_of)).cast(runs.schema[ended].dataType)).otherwise(F.col(ended)), result: F.when(dead, "failed").otherwise(F.col(result)),
+        error: F.when(dead, F.concat(F.coalesce(error, F.lit("")), F.lit(note))).otherwise(F.col(error)),
+    })
 
 
 def changed_only(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -103,6 +119,37 @@ def migrated(df: DataFrame, columns: dict[str, str], defaults: dict[str, object]
     return df.select(*[made[c].cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def violations(df: DataFrame, checks: dict[str, Column], unique: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows that break a constraint, with the sorted names of those in column violated. As in SQL, a check of unknown value holds, and keys with a null are unique.
+    Keys are counted by a partial aggregate, and only repeated ones meet the rows again."""
+    broken = df.withColumn("violated", F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(~c, F.lit(name)) for name, c in checks.items()])))
+    for name, key in (unique or {}).items():
+        twice = df.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("__n")).filter("__n > 1").withColumn("__again", F.lit(name)).drop("__n")
+        broken = broken.join(twice, key, "left").withColumn("violated", F.array_compact(F.array_append("violated", F.col("__again")))).drop("__again")
+    return broken.withColumn("violated", F.array_sort("violated")).filter(F.size("violated") > 0).select(*df.columns, "violated")
+
+
+def rebuilt(df: DataFrame, path: str, columns: dict[str, str], *, defaults: dict[str, object] | None = None, checks: dict[str, Column] | None = None, unique: dict[str, list[str]] | None = None) -> DataFrame:
+    """The table at path made anew under other columns and constraints: written beside it, checked, and put in its place; if a row breaks a constraint, ValueError, and path is as it was."""
+    spark = df.sparkSession
+    beside, aside = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    migrated(df, columns, defaults).write.parquet(beside)
+    made = spark.read.parquet(beside)
+    bad = violations(made, checks or {}, unique).groupBy("violated").agg(F.count("*").alias("n")).select(F.to_json(F.struct("violated", "n"))).orderBy("to_json(struct(violated, n))").limit(10).collect()
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if bad:
+        store.delete(at(beside), True)
+        raise ValueError(f"constraints are broken: {', '.join(r[0] for r in bad)}")
+    if store.exists(at(path)) and not store.rename(at(path), at(aside)):
+        raise OSError(f"{path} cannot be moved")
+    if not store.rename(at(beside), at(path)):
+        store.rename(at(aside), at(path))
+        raise OSError(f"{beside} cannot be moved")
+    store.delete(at(aside), True)
+    return spark.read.parquet(path)
+
+
 def mark_notified(df: DataFrame, sent: DataFrame, key: str, column: str, as_of: str) -> DataFrame:
     """The time in column for the keys that were sent and had none."""
     told = sent.select(F.col(key).alias("__k")).distinct()

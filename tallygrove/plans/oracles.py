@@ -95,7 +95,7 @@ coalesce(o.o_orderpriority, 'new') AS o_orderpriority FROM o FULL JOIN n ON o.o_
 SQL["replace_and_insert"] = "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_size + 100 WHEN p_size > 10 THEN p_size ELSE -1 END AS p_size FROM part"
 SQL["hash_upsert_class"] = "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'inserted' WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS class, count(*) AS n FROM orders GROUP BY 1"
 SQL["orphan_close"] = """SELECT event_id, floor(epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) / 60)::BIGINT AS age_minutes FROM events
-WHERE event_type = 'error' AND epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) >= 31 * 60"""
+WHERE event_type = 'error' AND epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) > 30 * 60"""
 SQL["stale_lock"] = """SELECT user_id, max(event_id) AS run FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 60 MINUTE
 AND ts < TIMESTAMP '2024-01-20 12:00:00' + INTERVAL 1 MINUTE GROUP BY 1"""
 _STREAK = """SELECT user_id, count(*) FILTER (bad AND ok_after = 0) AS streak FROM (SELECT user_id, event_type IN ('error', 'view', 'click') AS bad,
