@@ -120,7 +120,7 @@ def _emit_variants(max_edits: int, block_bytes: int):
     return run
 
 
-def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
+def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, similarity: float, block_bytes: int = 1 << 18) -> DataFrame:
     """h1, h2 of the classes that have an earlier class within the edits allowed, verified. classes has the keys of part_keys()."""
     long_enough = allowed(F.col("chars") + max_edits, max_edits, similarity) > 0
     keys = classes.filter(long_enough).select("h1", "h2", F.explode(F.array_distinct("keys")).alias("part"))
