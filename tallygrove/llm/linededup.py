@@ -112,10 +112,11 @@ def _emit_variants(max_edits: int, block_bytes: int):
     def run(batches):
         for block in blocks(batches, "line", block_bytes):
             who, key, gone, wild = variants(block.column("line").to_pylist(), max_edits)
-            whose = {c: block.column(c).combine_chunks() for c in ("h1", "h2", "no_id", "doc_id", "pos", "n")}
+            whose = {c: block.column(c).combine_chunks() for c in ("h1", "h2", "no_id", "doc_id", "pos")}
+            kind = block.column("n").to_numpy().astype(np.int64)[who] << 16 | wild << 8 | gone  # of the line's length, the wild cards and the deletions
             for i in range(0, len(who), 200_000):
                 some = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_pydict({"v": key[some], "gone": gone[some].astype(np.int32), "wild": wild[some].astype(np.int32)} | {c: x.take(pa.array(who[some])) for c, x in whose.items()})
+                yield pa.RecordBatch.from_pydict({"v": key[some], "kind": kind[some]} | {c: x.take(pa.array(who[some])) for c, x in whose.items()})
 
     return run
 
@@ -130,9 +131,11 @@ def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, simila
     # the line is read at the class's earliest place: a key with one document's rows, however common the line is
     at_place = lines.select("line", spot().alias("where"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(first, "where").filter("g1 = h1 AND g2 = h2")
     texts = cut(at_place.groupBy("h1", "h2", "n", "no_id", "doc_id", "pos").agg(F.min("line").alias("line")), "lines")
-    rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, gone int, wild int, h1 long, h2 long, no_id boolean, doc_id long, pos int, n int").withColumn("at", F.struct("no_id", "doc_id", "pos", "h1", "h2"))
-    least = rows.groupBy("v").agg(F.count("*").alias("rows"), *[F.min(F.when(F.col("gone") == e, F.col("at"))).alias(f"m{e}") for e in range(max_edits + 1)]).filter("rows > 1")
-    joined = rows.join(least, "v")
+    rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, kind long, h1 long, h2 long, no_id boolean, doc_id long, pos int")
+    at, gone, wild = F.struct("no_id", "doc_id", "pos", "h1", "h2"), F.col("kind").bitwiseAND(255), F.shiftright("kind", 8).bitwiseAND(255)
+    least = rows.groupBy("v").agg(F.count("*").alias("rows"), *[F.min(F.when(gone == e, at)).alias(f"m{e}") for e in range(max_edits + 1)]).filter("rows > 1")
+    # the place is put together after the shuffle, which so carries each of its parts once
+    joined = rows.join(least, "v").select("*", at.alias("at"), gone.alias("gone"), wild.alias("wild"), F.shiftright("kind", 16).cast("int").alias("n"))
     # the other's length is n - gone + e
     fits = [F.when(F.col("gone") + F.col("wild") + e <= allowed(F.greatest(F.col("n"), F.col("n") - F.col("gone") + e), max_edits, similarity), F.col(f"m{e}")) for e in range(max_edits + 1)]
     partner = fits[0] if len(fits) == 1 else F.least(*fits)
