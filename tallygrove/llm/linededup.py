@@ -6,7 +6,7 @@ null doc_ids last) counts. Two lines are near if their edit distance is max_edit
 
 Every class emits the hashes of its variants: itself, and with up to max_edits characters deleted or put as a wild card. Lines that share a variant with w
 wild cards, of which one has d and the other e characters deleted, are at an edit distance of d + e + w or less, and lines at a distance share such a
-variant. So for each variant and number of deletions the earliest place is found by a grouped minimum, no pairs within a group are made, and
+variant. So for each variant and number of deletions the earliest place is found by a minimum over its rows, no pairs within a group are made, and
 each class is left with the earliest place of those it may be near to. These partners are verified by edit distance on their texts.
 
 Of lines at a distance of max_edits or less, one of max_edits + 1 equal parts of the shorter one stands in the other, moved by no more than the edits on
@@ -24,7 +24,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import SpanHash, apart, blocks, cut, done, frees
@@ -133,9 +133,9 @@ def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, simila
     texts = cut(at_place.groupBy("h1", "h2", "n", "no_id", "doc_id", "pos").agg(F.min("line").alias("line")), "lines")
     rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, kind long, h1 long, h2 long, no_id boolean, doc_id long, pos int")
     at, gone, wild = F.struct("no_id", "doc_id", "pos", "h1", "h2"), F.col("kind").bitwiseAND(255), F.shiftright("kind", 8).bitwiseAND(255)
-    least = rows.groupBy("v").agg(F.count("*").alias("rows"), *[F.min(F.when(gone == e, at)).alias(f"m{e}") for e in range(max_edits + 1)]).filter("rows > 1")
-    # the place is put together after the shuffle, which so carries each of its parts once
-    joined = rows.join(least, "v").select("*", at.alias("at"), gone.alias("gone"), wild.alias("wild"), F.shiftright("kind", 16).cast("int").alias("n"))
+    # dealt by variant once; the places are put together behind that shuffle. A variant's lines differ from it by max_edits characters, so its rows are few however many copies a line has
+    least = [F.min(F.when(gone == e, at)).over(Window.partitionBy("v")).alias(f"m{e}") for e in range(max_edits + 1)]
+    joined = rows.repartition("v").select("*", *least).select("*", at.alias("at"), gone.alias("gone"), wild.alias("wild"), F.shiftright("kind", 16).cast("int").alias("n"))
     # the other's length is n - gone + e
     fits = [F.when(F.col("gone") + F.col("wild") + e <= allowed(F.greatest(F.col("n"), F.col("n") - F.col("gone") + e), max_edits, similarity), F.col(f"m{e}")) for e in range(max_edits + 1)]
     partner = fits[0] if len(fits) == 1 else F.least(*fits)
