@@ -33,6 +33,7 @@ from tallygrove.llm.pretokens import code_points
 MAX_EDITS, SIMILARITY = 1, 0.8
 WORD = r"[^\x20\x09-\x0D]"
 HOT_LINES, HOT_SHARE = 1_000, 100_000
+MOST_BITS = 1 << 28  # 32 MB
 WILD = 0x10FFFF  # no character; a line that has it gives candidates that do not verify
 
 
@@ -62,6 +63,17 @@ def dealt(lines: DataFrame, told: DataFrame, every: int, *, hot: int = HOT_LINES
     return left.join(told.withColumn("part", F.explode(copies)).drop("n"), ["h1", "h2", "part"]).drop("part")
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, *, most: int = MOST_BITS) -> DataFrame:
+    """rows without most of those whose key (a hash) is not in wanted, none of which is lost; a join on key that follows then shuffles few. The keys of wanted set bits,
+    16 to a key and most at the most, in bitmaps that are broadcast: past most / 16 keys less and less is sifted out, and all the rest is as before."""
+    slot = F.pmod(F.col(key), F.lit(min(most, max(1 << 15, 16 * wanted.count())))) + 1
+    marked = wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).repartition("bucket")
+    marks = marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    placed = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
+    byte = F.conv(F.hex(F.substring("marks", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(marks), "bucket").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def allowed(length, max_edits: int, similarity: float):
     """Edits allowed to a pair whose longer line has this length (a Column)."""
     return F.least(F.lit(max_edits), F.floor(length * (1 - similarity) + 1e-9).cast("int"))
@@ -129,7 +141,9 @@ def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, simila
     wanted = keys.join(shared, "part", "left_semi").select("h1", "h2").distinct()
     first = wanted.join(classes.select("h1", "h2", F.col("chars").alias("n"), "at.*"), ["h1", "h2"]).withColumn("where", spot())
     # the line is read at the class's earliest place: a key with one document's rows, however common the line is
-    at_place = lines.select("line", spot().alias("where"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(first, "where").filter("g1 = h1 AND g2 = h2")
+    first = cut(first, "first")
+    here = sifted(lines.select("line", spot().alias("where"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), first, "where")
+    at_place = here.join(first, "where").filter("g1 = h1 AND g2 = h2")
     texts = cut(at_place.groupBy("h1", "h2", "n", "no_id", "doc_id", "pos").agg(F.min("line").alias("line")), "lines")
     rows = texts.mapInArrow(_emit_variants(max_edits, block_bytes), "v long, kind long, h1 long, h2 long, no_id boolean, doc_id long, pos int")
     at, gone, wild = F.struct("no_id", "doc_id", "pos", "h1", "h2"), F.col("kind").bitwiseAND(255), F.shiftright("kind", 8).bitwiseAND(255)
@@ -144,7 +158,7 @@ def near_classes(lines: DataFrame, classes: DataFrame, *, max_edits: int, simila
     verified = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["q1", "q2"])
     near = F.levenshtein("line", "other", max_edits).between(F.lit(0), allowed(F.greatest(F.length("line"), F.length("other")), max_edits, similarity))
     out = cut(verified.filter(near).select("h1", "h2").distinct().withColumn("near", F.lit(True)), "near")
-    done(texts)
+    done(first, texts)
     return out
 
 

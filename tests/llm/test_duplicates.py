@@ -63,6 +63,15 @@ def test_common_lines_are_dealt_out(spark):
     assert sorted((r["doc_id"], r["removed"]) for r in gone.collect()) == [(i, [0]) for i in range(1, 3000)]
 
 
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_sifted_rows_hold_all_that_is_wanted(spark, most):
+    rows = spark.range(40_000).selectExpr("id", "xxhash64(id) AS hash")
+    left = linededup.sifted(rows, wanted := rows.filter("id % 8 = 3"), "hash", most=most)
+    assert left.columns == ["id", "hash"] and left.join(wanted, "hash", "left_semi").count() == 5000
+    assert left.count() < (12_000 if most == 1 << 15 else 8_000)
+    assert linededup.sifted(rows, rows.limit(0), "hash").count() == 0 == linededup.sifted(rows.limit(0), wanted, "hash").count()
+
+
 def test_lines_that_one_polynomial_confuses(spark):
     """Thue-Morse strings, which a hash modulo 2^64 takes for equal."""
     from tests.llm.conftest import documents as make
