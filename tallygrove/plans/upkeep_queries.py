@@ -1,9 +1,10 @@
-"""Queries of run status documents, orphaned runs, table constraints, image slices and report lines, each with its DuckDB SQL. Runs are a user's days of events, images are order lines."""
+"""Queries of run status documents, orphaned runs, table constraints, image slices, report lines and rendered bodies, each with its DuckDB SQL. Runs are a user's days of events, images are order lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrove.functions import bodies
 from tallygrove.operators import images, status, updates
 from tallygrove.sources import sinks
 from tallygrove.sources.landing import tables
@@ -108,3 +109,44 @@ def name_lines(spark, d):
     (supplier,) = tables(spark, d, "supplier")
     name = F.when(F.col("s_nationkey") > 3, F.repeat("s_name", (1 + F.col("s_nationkey") % 2).cast("int")))
     return supplier.select("s_suppkey", sinks.aligned((F.col("s_suppkey").cast("string"), 15), (F.coalesce(name, F.lit("(none)")), 20), (F.col("s_nationkey").cast("string"), 0)).alias("line"))
+
+
+def _row(heading: str, value: str) -> str:
+    """SQL for a row of a rendered table; nothing where value is null."""
+    return f"coalesce('<tr><th>{heading}</th><td>' || {value} || '</td></tr>', '')"
+
+
+@query(f"""
+WITH a AS (SELECT *, p_size % 5 AS k, p_name || ' & "' || p_type || '"' AS spoken, replace(replace(p_name || ' & "' || p_type || '"', '&', '&amp;'), '"', '&quot;') AS safe, (p_retailprice * 100)::BIGINT AS cents FROM part)
+SELECT p_partkey,
+    concat_ws(chr(10), CASE WHEN k <> 0 THEN '<p><b>Publish Date:</b> 2024-03-0' || k || '  <b>Closing Date:</b> </p>' END,
+        '<table>' || {_row("Level", "p_type")} || {_row("Term", "CASE WHEN k > 2 THEN p_brand END")} || {_row("Year of Exp", "CASE WHEN k > 0 THEN k END")}
+            || {_row("Language", "p_type || ' — ' || p_brand || ', ' || p_name")} || {_row("Age", "CASE WHEN k > 0 THEN k || '–' || p_size ELSE '0–' || p_size END")} || '</table>',
+        CASE WHEN k <> 1 THEN '<h3>Job Description</h3>' || chr(10) || '<pre style=''white-space:pre-wrap;font-family:inherit''>' || safe || '</pre>' END,
+        CASE WHEN k = 3 THEN '<h3>Contact</h3>' || chr(10) || '<table>' || {_row("Company", "p_brand")} || {_row("Email", "p_brand || '@' || p_partkey")} || '</table>' END) AS labelled,
+    concat_ws(chr(10),
+        '<table>' || {_row("급여", "'USD ' || format('{:,}', cents) || CASE WHEN k > 1 THEN ' ~ ' || format('{:,}', cents + k) ELSE '' END || CASE k WHEN 1 THEN '/시' WHEN 2 THEN '/일' WHEN 3 THEN '/주' WHEN 4 THEN '/월' ELSE '' END")}
+            || {_row("인턴십", "CASE WHEN p_size > 25 THEN '가능' END")} || '</table>',
+        '<h3>주요 업무</h3>' || chr(10) || '<p>' || p_name || '</p>' || chr(10),
+        CASE WHEN k <> 4 THEN '<h3>회사 정보</h3>' || chr(10) || '<table>' || {_row("회사명", "p_brand")} || {_row("주소", "p_type || ' ' || p_name")} || '</table>' END) AS marked_up
+FROM a""")
+def rendered_bodies(spark, d):
+    (part,) = tables(spark, d, "part")
+    k, text = F.col("p_size") % 5, lambda *xs: F.concat(*[x if not isinstance(x, str) else F.col(x) for x in xs])
+    named = lambda x, key="label": F.struct(F.col(x).alias(key))
+    either = lambda **of: F.struct(*[of.get(x, F.lit(None).cast("string")).alias(x) for x in ("label", "name")])
+    langs = F.array(*[F.struct(one.alias("languageId"), level.alias("languageLevelId")) for one, level in ((either(label=F.col("p_type")), either(name=F.col("p_brand"))), (either(name=F.col("p_name")), either()))])
+    labelled = F.struct(
+        F.when(k != 0, text(F.lit("2024-03-0"), k, F.lit("T09:00"))).alias("pubdate"), named("p_type").alias("jobLevelId"), F.when(k > 2, named("p_brand", "name")).alias("termId"), k.alias("workyears"), langs.alias("jobLangs"),
+        k.alias("ageFrom"), F.col("p_size").alias("ageTo"), F.when(k != 1, text("p_name", F.lit(' & "'), "p_type", F.lit('"'))).alias("description"), (k == 3).alias("showEmail"),
+        F.when(k == 3, F.struct(F.col("p_brand").alias("company"), text("p_brand", F.lit("@"), "p_partkey").alias("email"))).alias("employer"),
+    )
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    job = F.struct(
+        cents.alias("min_salary"), F.when(k > 1, cents + k).alias("max_salary"), k.alias("salary_unit"), F.lit("USD").alias("salary_currency"),
+        (F.col("p_size") > 25).alias("internship"), text(F.lit("<p>"), "p_name", F.lit("</p>")).alias("task"),
+    )
+    company = F.when(k != 4, F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("address"), F.col("p_name").alias("city")))
+    answers = part.select("p_partkey", F.to_json(labelled).alias("labels"), F.to_json(F.struct(job.alias("job"), company.alias("company"))).alias("marks"))
+    one = bodies.rendered(answers, "labels", {"labelled": bodies.labelled_body})
+    return bodies.rendered(one, "marks", {"marked_up": bodies.marked_up_body}).select("p_partkey", "labelled", "marked_up")
