@@ -79,6 +79,28 @@ def test_greedy_dedupe_against_loop(spark):
     assert {r["id"]: r["dup_of"] for r in found.collect()} == want
 
 
+def test_greedy_dedupe_by_parts(spark, monkeypatch):
+    """Equal titles are compared once, however many rows have them, and the parts of titles lose no link."""
+    from tallygrove.functions.text import same_title, title_parts
+
+    rnd, sizes = random.Random(11), []
+    stems = ["engineer", "senior engineer x", "engine", "lead", "lead dev", "가나다라마바", "x가나다라마바사", None, ""]
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice(stems), rnd.choice([0, 1, 2, 5, None])) for i in range(2000)]
+    whole = windows.cut
+    monkeypatch.setattr(windows, "cut", lambda df: (sizes.append(df.count()), whole(df))[1])
+    df = spark.createDataFrame(rows, "id int, company string, title string, priority int")
+    found = windows.greedy_dedupe(df, id_col="id", company="company", title="title", priority="priority", similar=same_title, parts=title_parts, priorities=[0, 1, 2])
+    primaries, want = {}, {}
+    like = lambda a, b: a == b or min(len(a), len(b)) >= 6 and (a in b or b in a)
+    for p, i, company, title in sorted((3 if p not in (0, 1, 2) else p, i, c or "", t) for i, c, t, p in rows if c and t):
+        own = primaries.setdefault(company, [])
+        want[i] = next((j for q, j, t in own if q < p and like(title, t)), None)
+        if want[i] is None:
+            own.append((p, i, title))
+    assert {r["id"]: r["dup_of"] for r in found.collect()} == {i: want.get(i) for i in range(2000)}
+    assert max(sizes) < 100
+
+
 def test_html(spark):
     page = '<html><head><title> T </title></head><body><nav><ul><li><a href="/n1">n</a></li><li><a href="/n2">n</a></li></ul></nav><article><ul><li><a href="/a1">first row</a></li><li><a href="/a2">second</a></li></ul>' + "text " * 10 + "</article></body></html>"
     df = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
