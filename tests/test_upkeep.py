@@ -68,3 +68,12 @@ def test_images(spark):
     assert [(r["width"], r["height"]) for r in rows.orderBy("i").collect()] == [(1500, 3301), (300, 17_000), *[(None, None)] * 4]
     cut = images.slices(rows, posting="p", ordinal="i").orderBy("part").collect()
     assert [r["part"] for r in cut] == list(range(14)) and [(r["i"], r["width"], r["top"], r["bottom"]) for r in cut[:4]] == [(0, 1000, 0, 1100), (0, 1000, 1060, 2200), (1, 300, 0, 1100), (1, 300, 1060, 2200)]
+
+
+def test_images_of_one_ordinal(spark):
+    """Their slices alternate from the top, and the limit counts them so; a null ordinal comes last."""
+    rows = spark.createDataFrame([(1, 2, 300, 2500), (1, 2, 400, 1500), (1, 2, 300, 1000), (1, 1, 500, 900), (1, None, 200, 20_000), (1, 3, 999, 1100)], "p int, i int, width int, height int")
+    cut = images.slices(rows, posting="p", ordinal="i").orderBy("part").collect()
+    want = [(1, 500, 0, 900), (2, 300, 0, 1000), (2, 300, 0, 1100), (2, 400, 0, 1100), (2, 300, 1060, 2200), (2, 400, 1060, 1500), (2, 300, 2160, 2500), (3, 999, 0, 1100)]
+    assert [(r["i"], r["width"], r["top"], r["bottom"]) for r in cut] == want + [(None, 200, max(0, k * 1100 - 40), k * 1100 + 1100) for k in range(6)]
+    assert [r["part"] for r in images.slices(rows, posting="p", ordinal="i", most=3).orderBy("part").collect()] == [0, 1, 2]
