@@ -101,6 +101,25 @@ def test_greedy_dedupe_by_parts(spark, monkeypatch):
     assert max(sizes) < 100
 
 
+def test_entity_match_against_loop(spark):
+    """Ties, values a rounding apart, edges of the range, nulls, repeated keys; and no more rows than both sides have, where pairs would be a million."""
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 0.3, 0.1 + 0.2, 100.0, 600.0, 600.3, 600.30000001, -400.0, -1e-20, 500.0, 1000.0, 1e17, 1e17 + 496, float("nan"), float("inf"), -7.5, 7.5, None]
+    left = [(i % 90, rnd.choice([1, 2, None]), rnd.choice(values)) for i in range(120)]
+    right = [(i, rnd.choice([1, 2, 3, None]), rnd.choice(values)) for i in rnd.sample(range(60), 60)]
+    want = {}
+    for k, g, x in left:
+        for s, h, y in right:
+            if g is not None and g == h and x is not None and y is not None and abs(x - y) <= 500:
+                want[k] = min(want.get(k, (1e9, 0)), (abs(x - y), s))
+    named = {"left_key": "a", "right_key": "b", "left_group": "g", "right_group": "h", "left_value": "x", "right_value": "y"}
+    match = lambda l, r: joins.entity_match(spark.createDataFrame(l, "a int, g int, x double"), spark.createDataFrame(r, "b int, h int, y double"), **named, within=500)
+    assert {r["a"]: r["b"] for r in match(left, right).collect()} == {k: s for k, (_, s) in want.items()}
+    many = match([(i, 1, i / 4) for i in range(1000)], [(i, 1, i / 4) for i in range(1000)])
+    assert {r["a"]: r["b"] for r in many.collect()} == {i: i for i in range(1000)}
+    assert "BroadcastNestedLoop" not in (plan := many._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+
+
 def test_html(spark):
     page = '<html><head><title> T </title></head><body><nav><ul><li><a href="/n1">n</a></li><li><a href="/n2">n</a></li></ul></nav><article><ul><li><a href="/a1">first row</a></li><li><a href="/a2">second</a></li></ul>' + "text " * 10 + "</article></body></html>"
     df = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
