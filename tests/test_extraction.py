@@ -100,6 +100,16 @@ def test_companies(spark):
     assert {r["id"]: r["match"] for r in companies.same_companies(left, right).collect()} == {1: 11, 3: 30}
 
 
+def test_companies_of_one_name_are_looked_up_once(spark):
+    """Rows past the look-up are one a company, however many labels and variants its name has."""
+    left = spark.createDataFrame([(i, "Grp (GG) (G.R.P) (HH)", 1990 + i % 3, None, None) for i in range(500)], "id int, name string, founded int, least_employees int, most_employees int")
+    right = spark.createDataFrame([(m, ["GRP", "gg", "h-h"][m % 3], 1980 + m, 1, m) for m in range(18)], "match int, label string, founded int, employees int, rank int")
+    found = companies.same_companies(left, right)
+    # looked at: labels of GRP, 0, 3, 6 and 9, which fill the list; founded in 1980, 1983, 1986 and 1989
+    assert {r["id"]: r["match"] for r in found.collect()} == {i: 9 for i in range(500) if i % 3 == 0}
+    assert "Window [row_number() windowspecdefinition(id" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Window [count" not in plan
+
+
 def test_places_are_filled_once(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     contents = F.create_map(F.lit("0"), F.lit("[[[CONTENT-ELEMENT-1]]]$1"), F.lit("1"), F.lit("B"))
