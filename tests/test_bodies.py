@@ -36,3 +36,10 @@ def test_marked_up_body(spark):
     found = [r["two"] for r in render(spark, full, one, {"job": 7, "company": {}}, None, "")]
     assert found == ["\n".join(want), f"<table>{row('급여', ' 5')}</table>", "", "", ""]
     assert bodies.rendered(spark.createDataFrame([], "j string"), "j", {"one": bodies.labelled_body}).count() == 0
+
+
+def test_bodies_are_rendered_by_many_tasks(spark, sf):
+    """One small file of rows is not left to one task."""
+    from tallygrove.plans import upkeep_queries
+
+    assert upkeep_queries.rendered_bodies(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
