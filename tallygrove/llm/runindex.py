@@ -16,11 +16,15 @@ Anchors are only told apart by what the index then compares; contexts go by the
 
 Defined cases: null texts are empty; texts shorter than match are left as they are; exact copies of a text of match bytes or more are
 removed as a whole, all of them; repeated rows are copies; an empty table gives no rows; other columns are not looked at.
+
+Where a repeat is told by its number of words (clean), shorter words than WORD bytes are filled up with bytes 255, which UTF-8 never holds: so many
+words then have match bytes at least, whatever words they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from tallygrove.llm.common import SpanHash, apart, blocks, cut, discard, done, emit, frees, fresh_path, small_batches
 
 MATCH, ANCHOR = 400, 128
+WORD = 4
+SHORT = re.compile(rb"(?<!\S)\S{1,%d}(?!\S)" % (WORD - 1))
 TILE = 1 << 18
 ANCHORS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("row", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
 MARKS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
@@ -217,6 +223,13 @@ def _index(match: int, block_bytes: int):
 
 
 # -- Spark -----------------------------------------------------------------------------------------------------------------------------
+def _filled(batches):
+    """Texts with their short words filled up to WORD bytes."""
+    for block in blocks(batches, "text", 1 << 20):
+        texts = [SHORT.sub(lambda word: word[0].ljust(WORD, b"\xff"), t) for t in block.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"h1": block.column("h1").combine_chunks(), "h2": block.column("h2").combine_chunks(), "text": pa.array(texts, type=pa.binary())})
+
+
 class Texts:
     """The distinct texts of match bytes or more as a table: h1, h2 (two 64-bit hashes), n copies, text as bytes, bucketed by the hashes.
 
@@ -261,32 +274,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_texts(batches):
-    for batch in batches:
-        out = {c: [] for c in ("h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for r in batch.to_pylist():
-            text = r["text"]
-            runs = merged([(x["s"], x["e"]) for x in r["spans"]])
-            at, left = 0, []
-            for s, e in runs:
-                left.append(text[at:s])
-                at = e
-            kept = b"".join([*left, text[at:]])
-            for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
-                out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
-
-
-def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, **options) -> DataFrame:
-    """h1, h2, and those of n_removed, n_spans, kept_sha256, kept that are asked for, of the distinct texts that lose bytes."""
+def _long_enough(piece: bytes, words: int) -> bool:
+    """Whether a run may hold a passage of so many words, or is of MATCH bytes without what fills its words up."""
+    return len(piece.split()) >= words or len(piece) - piece.count(b"\xff") >= MATCH
+
+
+def _cut_texts(words: int | None):
+    def run(batches):
+        for batch in batches:
+            out = {c: [] for c in ("h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for r in batch.to_pylist():
+                text = r["text"]
+                runs = merged([(x["s"], x["e"]) for x in r["spans"]])
+                if words:
+                    runs = [(s, e) for s, e in runs if _long_enough(text[s:e], words)]
+                at, left = 0, []
+                for s, e in runs:
+                    left.append(text[at:s])
+                    at = e
+                kept = b"".join([*left, text[at:]])
+                for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
+
+    return run
+
+
+def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, words: int | None = None, **options) -> DataFrame:
+    """h1, h2, and those of n_removed, n_spans, kept_sha256, kept that are asked for, of the distinct texts that lose bytes. With words (see clean) only kept is the text's own."""
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
     spark = docs.sparkSession
-    texts = Texts(rows, match)
+    if words:
+        with small_batches(spark):
+            texts = Texts(rows.mapInArrow(_filled, "h1 long, h2 long, text binary"), match)
+    else:
+        texts = Texts(rows, match)
     with small_batches(spark):
         spans = removed_spans(texts.rows, match=match, **options)
     hit = texts.rows.select("h1", "h2", "text").join(spans, ["h1", "h2"]).select("h1", "h2", "text", "spans")
     with small_batches(spark):
-        changed = cut(hit.mapInArrow(_cut_texts, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").select("h1", "h2", *columns), "changed")
+        changed = cut(hit.mapInArrow(_cut_texts(words), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").select("h1", "h2", *columns), "changed")
     texts.drop()
     done(spans)
     return changed
@@ -301,11 +328,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 @apart
-def clean(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, *, text_col: str = "text", words: int | None = None, **options) -> DataFrame:
     """The rows with their repeats cut out of the text, in the input's own columns.
 
+    With words every passage of so many words that repeats goes, however short they are, and as before what repeats over MATCH bytes.
     A character of which bytes were removed goes as a whole; a row that had words and has none left is dropped.
     """
+    if words:
+        options |= {"match": words * (WORD + 1) - 1, "words": words}
     changed = changed_texts(docs, ["kept"], text_col=text_col, **options).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("kept").alias("__kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(changed, (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(1), text) == F.col("__h2")), "left")

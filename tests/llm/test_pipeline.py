@@ -1,5 +1,7 @@
 """The pipeline on small tables, and the registry."""
 
+import random
+
 import corpus_pipeline
 from tallygrove.llm import registry
 from tallygrove.llm.common import table
@@ -56,3 +58,20 @@ def test_stages_of_an_empty_table(spark, sf):
     docs = stage_input(spark, [], [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_passages_of_over_fifty_words_go(spark, sf):
+    """Passages of 51 words that two texts share, of common words (under 400 bytes) and of single letters, are cut whole; what stands around them and shorter ones stay."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("aeiourstln") for _ in range(rnd.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    letters = lambda n: " ".join(rnd.choice("abcdeé,") for _ in range(n))
+    passages, short = [prose(51), letters(51), " ".join([prose(25), letters(26)])], prose(48)
+    around = [(f"{prose(30)} {edge}", f"{edge} {prose(30)}") for edge in "ABCDEFGH"]
+    texts = [f"{a} {passages[k // 2] if k < 6 else short} {b}" for k, (a, b) in enumerate(around)]
+    assert max(len(p.encode()) for p in passages) < 400 and len(short) > 254
+    rows = corpus_pipeline.repeat_dedup(spark, stage_input(spark, texts, range(8)), sf).collect()
+    found = {r["doc_id"]: r["text"] for r in rows}
+    assert [found[k] for k in range(6)] == ["".join(pair) for pair in around[:6]]  # the spaces around a passage repeat too
+    assert [found[k] for k in (6, 7)] == texts[6:]
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
