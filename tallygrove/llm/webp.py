@@ -54,7 +54,8 @@ def _mirrored() -> list[int]:
 def canonical(lengths: list[int] | bytes) -> dict[int, tuple[int, int]]:
     """(code as it is read, least significant bit first; bits) of every symbol that has one."""
     code, before, out, mirrored = 0, 0, {}, _mirrored()
-    for bits, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
+    for symbol in sorted([s for s, n in enumerate(lengths) if n], key=lengths.__getitem__):
+        bits = lengths[symbol]
         code <<= bits - before
         before = bits
         out[symbol] = (mirrored[code << 15 - bits], bits)
@@ -112,15 +113,15 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> list[int]:
         if len(used) == 1:
             lengths[used[0]] = 1
             return lengths
-        heap = [(n, i) for i, n in enumerate(counts[used].tolist())]
+        heap = [n << 16 | i for i, n in enumerate(counts[used].tolist())]  # count and node as one number
         heapq.heapify(heap)
-        parent, top = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = top
-            heapq.heapreplace(heap, (a + b, top))
-            top += 1
+        parent = [0] * (2 * len(used) - 1)
+        for top in range(len(used), len(parent)):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a & 0xFFFF] = parent[b & 0xFFFF] = top
+            heapq.heapreplace(heap, (a >> 16) + (b >> 16) << 16 | top)
+        top = len(parent)
         depth = [0] * top
         for k in range(top - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -178,33 +179,20 @@ def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
         for s in used:
             out.put(s, 8)
         return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
-    tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    at = 0
-    for symbol in [*used, len(lengths)]:
-        zeros = symbol - at
-        while zeros >= 11:
-            tokens.append((18, min(zeros, 138) - 11, 7))
-            zeros -= min(zeros, 138)
-        if zeros >= 3:
-            tokens.append((17, zeros - 3, 3))
-        elif zeros:
-            tokens += [(0, 0, 0)] * zeros
-        if symbol < len(lengths):
-            tokens.append((lengths[symbol], 0, 0))
-        at = symbol + 1
     own = [4] * 13 + [5] * 6  # a complete code for all 19 symbols
-    codes = _own_codes()
     out.put(0, 1)
     out.put(15, 4)
     for s in LENGTH_ORDER:
         out.put(own[s], 3)
     out.put(0, 1)
-    value = size = 0
-    for s, extra, bits in tokens:
-        code, n = codes[s]
-        value |= (code | extra << n) << size
-        size += n + bits
+    value = size = at = 0
+    for symbol in used:
+        piece, n = _length_after(symbol - at, lengths[symbol])
+        value |= piece << size
+        size += n
+        at = symbol + 1
     out.put(value, size)
+    out.put(*_length_after(len(lengths) - at, None))
     return canonical(lengths) if len(used) > 1 else {used[0]: (0, 0)}
 
 
@@ -213,6 +201,28 @@ def _own_codes() -> dict[int, tuple[int, int]]:
     return canonical([4] * 13 + [5] * 6)
 
 
+@lru_cache(maxsize=8192)
+def _length_after(zeros: int, length: int | None) -> tuple[int, int]:
+    """(bits, how many) of so many code lengths of zero and one more length, if any."""
+    tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+    while zeros >= 11:
+        tokens.append((18, min(zeros, 138) - 11, 7))
+        zeros -= min(zeros, 138)
+    if zeros >= 3:
+        tokens.append((17, zeros - 3, 3))
+    elif zeros:
+        tokens += [(0, 0, 0)] * zeros
+    if length is not None:
+        tokens.append((length, 0, 0))
+    codes, value, size = _own_codes(), 0, 0
+    for s, extra, bits in tokens:
+        code, n = codes[s]
+        value |= (code | extra << n) << size
+        size += n + bits
+    return value, size
+
+
+@lru_cache(maxsize=1024)
 def prefix_symbol(value: int) -> tuple[int, int, int]:
     """(symbol, extra value, extra bits) of a length or distance from 1 on."""
     if value <= 4:
@@ -790,7 +800,7 @@ def _side_by_side(images: list[tuple[Reader, dict]], least: int) -> list[tuple[n
     totals = np.array([head["total"] for _, head in images], dtype=np.int64)
     order = np.argsort(-totals, kind="stable")  # the last lanes are complete first
     images, totals = [images[i] for i in order], totals[order]
-    tables, masks = np.zeros((5, n * room), dtype=np.int32), np.zeros((5, n), dtype=np.uint64)
+    tables, masks = np.zeros((5, n * room), dtype=np.uint16), np.zeros((5, n), dtype=np.uint64)
     widths = np.array([head["width"] for _, head in images], dtype=np.int64)
     cache_bits = np.array([head["cache_bits"] for _, head in images], dtype=np.uint64)
     for i, (_, head) in enumerate(images):
@@ -951,7 +961,7 @@ def features(media: DataFrame) -> DataFrame:
 
     @frees
     def run(batches):
-        for block in blocks(batches, "media", 3 << 20):
+        for block in blocks(batches, "media", 8 << 20):
             out = {name: [] for name in FEATURES.names}
             listed = block.to_pylist()
             for r, (px, rows) in zip(listed, load_many([r["media"] for r in listed]), strict=True):
