@@ -19,7 +19,6 @@ doc_ids are kept; an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from functools import lru_cache
@@ -97,39 +96,80 @@ def packed_table(lengths: bytes) -> tuple[np.ndarray, int]:
     used = np.flatnonzero(n)
     if len(used) == 1:
         return used << 4, 0
-    top = complete(lengths)
     order = used[np.argsort(n[used], kind="stable")]
+    size = n[order].astype(np.int64)
+    top = int(size[-1]) if len(size) else 0
+    share = 1 << top - size
+    if not top or share.sum() != 1 << top:
+        raise ValueError("a prefix code is not complete")
     out = np.empty(1 << top, dtype=np.int64)
-    out[_reversed(top)] = np.repeat(order << 4 | n[order], 1 << top - n[order].astype(np.int64))
+    out[_reversed(top)] = np.repeat(order << 4 | size, share)
     return out, top
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> list[int]:
-    """Huffman code lengths of counts, halved until none is over the limit."""
-    counts = counts.astype(np.int64)
-    while True:
-        used = np.flatnonzero(counts).tolist()
-        lengths = [0] * len(counts)
-        if len(used) == 1:
-            lengths[used[0]] = 1
-            return lengths
-        heap = [n << 16 | i for i, n in enumerate(counts[used].tolist())]  # count and node as one number
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for top in range(len(used), len(parent)):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a & 0xFFFF] = parent[b & 0xFFFF] = top
-            heapq.heapreplace(heap, (a >> 16) + (b >> 16) << 16 | top)
-        top = len(parent)
-        depth = [0] * top
-        for k in range(top - 2, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        for i, s in enumerate(used):
-            lengths[s] = depth[i]
-        if max(depth) <= limit:
-            return lengths
+def code_lengths(counts: np.ndarray, lane: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """Huffman code lengths of many codes at once: counts of their used symbols, sorted by code (lane); a code's counts are halved until no length is over the limit."""
+    lengths, live = np.ones(len(counts), dtype=np.int64), np.flatnonzero(np.bincount(lane)[lane] > 1)  # a lone symbol has length 1
+    while len(live):
+        own = np.unique(lane[live], return_inverse=True)[1]
+        lengths[live] = depth = _depths(counts[live], own)
+        over = np.zeros(own[-1] + 1, dtype=bool)
+        over[own[depth > limit]] = True
+        live = live[over[own]]
         counts = (counts + 1) // 2
+    return lengths
+
+
+def _depths(counts: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    """Depths of the leaves in the Huffman trees of lanes 0, 1 and so on, of two leaves or more; a step joins the two least nodes of every lane that has two.
+
+    Nodes of a lane stand by rising count, leaves and joined ones each in a row, so the least is the first of one row; of equal ones a leaf goes first.
+    """
+    size = np.bincount(lane)
+    order = np.lexsort((counts, lane))
+    room, by = 2 * size + 1, np.argsort(-size, kind="stable")
+    base = np.cumsum(room) - room  # a lane's leaves, a number over all others, its joined nodes, and one such number more
+    leaves = base[lane] + np.arange(len(lane)) - (np.cumsum(size) - size)[lane]
+    value = np.full(int(room.sum()), 1 << 60, dtype=np.int64)
+    value[leaves] = counts[order]
+    parent = np.arange(len(value))
+    leaf, joined, active = base[by], (base + size + 1)[by], np.searchsorted(-size[by], -np.arange(1, size.max()), side="left")
+    first = joined.copy()
+    for step, n in enumerate(active.tolist()):
+        if n < len(leaf):
+            leaf, joined, first = leaf[:n], joined[:n], first[:n]
+        new, total = first + step, 0
+        for _ in range(2):
+            x, y = value.take(leaf), value.take(joined)
+            is_leaf = x <= y
+            parent[np.where(is_leaf, leaf, joined)] = new
+            total = total + np.minimum(x, y)
+            leaf = leaf + is_leaf
+            joined = joined + ~is_leaf
+        value[new] = total
+    depth = (parent != np.arange(len(parent))).astype(np.int64)
+    while True:
+        depth += depth[parent]
+        above = parent[parent]
+        if (above == parent).all():
+            break
+        parent = above
+    out = np.empty(len(lane), dtype=np.int64)
+    out[order] = depth[leaves]
+    return out
+
+
+def codes_of(lengths: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code as it is read, bits) of the used symbols of many codes, sorted by code (lane) and symbol. A lone symbol takes no bits."""
+    order = np.lexsort((lengths, lane))
+    share = np.int64(1) << 15 - lengths[order]
+    n = np.bincount(lane)
+    before = np.cumsum(share) - share
+    before -= np.repeat(before[(np.cumsum(n) - n)[n > 0]], n[n > 0])
+    code, bits = np.empty(len(lane), dtype=np.int64), lengths.copy()
+    code[order] = _reversed(15)[before]
+    bits[n[lane] == 1] = 0
+    return code, bits
 
 
 # -- writing ---------------------------------------------------------------------------------------------------------------------------
@@ -143,65 +183,87 @@ class Writer:
         self.value |= value << self.n
         self.n += bits
 
-    def put_many(self, values: np.ndarray, bits: np.ndarray) -> None:
-        """Values of up to 48 bits each."""
-        ends = self.n + np.cumsum(bits)
-        at = ends - bits
-        words = np.zeros(int(ends[-1]) // 32 + 3 if len(ends) else 0, dtype=np.uint64)
-        low, shift = values.astype(np.uint64) & np.uint64(0xFFFF_FFFF), (at & 31).astype(np.uint64)
-        high = values.astype(np.uint64) >> np.uint64(32)
-        wide, tall = low << shift, high << shift
-        word = at >> 5
-        for k, part in enumerate((wide & np.uint64(0xFFFF_FFFF), (wide >> np.uint64(32)) + (tall & np.uint64(0xFFFF_FFFF)), tall >> np.uint64(32))):
-            words += np.bincount(word + k, weights=part.astype(np.float64), minlength=len(words)).astype(np.uint64)[: len(words)]
-        body = int.from_bytes(words.astype("<u4").tobytes(), "little")
-        self.value |= body
-        self.n = int(ends[-1])
-
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-def put_code(whole: Writer, lengths: list[int], again: int = 1) -> dict[int, tuple[int, int]]:
-    """Write a prefix code, again times; (code, bits) of its symbols."""
-    out = Writer()
-    codes = _put_code(out, lengths)
-    for _ in range(again):
-        whole.put(out.value, out.n)
-    return codes
+def scatter(words: np.ndarray, at: np.ndarray, values: np.ndarray, chunk: int = 1 << 17) -> None:
+    """Add to a stream, as numbers of 32 bits each, values of up to 48 bits at these rising places, which do not overlap."""
+    for c in range(0, len(at), chunk):
+        value, place = values[c : c + chunk].astype(np.uint64), at[c : c + chunk]
+        word, shift = place >> 5, (place & 31).astype(np.uint64)
+        first = int(word[0])
+        low, high = (value & np.uint64(0xFFFF_FFFF)) << shift, value >> np.uint64(32) << shift
+        for k, part in enumerate((low & np.uint64(0xFFFF_FFFF), (low >> np.uint64(32)) + (high & np.uint64(0xFFFF_FFFF)), high >> np.uint64(32))):
+            sums = np.bincount(word - first, weights=part.astype(np.float64)).astype(np.uint64)
+            words[first + k : first + k + len(sums)] += sums
 
 
-def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and max(used, default=0) < 256:
-        used = used or [0]
-        out.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
-        for s in used:
-            out.put(s, 8)
-        return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
-    own = [4] * 13 + [5] * 6  # a complete code for all 19 symbols
+OWN = [4] * 13 + [5] * 6  # lengths of a complete code for all 19 symbols of code lengths
+
+
+@lru_cache(maxsize=1)
+def _preamble() -> tuple[int, int]:
+    """(bits, how many) of a code of many symbols, up to the lengths."""
+    out = Writer()
     out.put(0, 1)
     out.put(15, 4)
     for s in LENGTH_ORDER:
-        out.put(own[s], 3)
+        out.put(OWN[s], 3)
     out.put(0, 1)
-    value = size = at = 0
-    for symbol in used:
-        piece, n = _length_after(symbol - at, lengths[symbol])
-        value |= piece << size
-        size += n
-        at = symbol + 1
-    out.put(value, size)
-    out.put(*_length_after(len(lengths) - at, None))
-    return canonical(lengths) if len(used) > 1 else {used[0]: (0, 0)}
+    return out.value, out.n
+
+
+def put_codes(symbols: np.ndarray, lengths: np.ndarray, lane: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lane, value, bits) of what writes prefix codes, in order: their used symbols, sorted by code (lane) and symbol, and how many symbols each could have."""
+    n = np.bincount(lane, minlength=len(alphabet))
+    last = np.cumsum(n) - 1
+    lanes = np.arange(len(alphabet))
+    simple = (n <= 2) & (symbols[last] < 256)
+    # few symbols: what kind, then the symbols
+    own = simple[lane]
+    few = [np.flatnonzero(simple), lane[own]], [5 + 2 * (n[simple] - 1), symbols[own]], [np.full(simple.sum(), 3), np.full(own.sum(), 8)]
+    # many: what the lengths are written by, each length after the zeros before it, and the zeros at the end
+    many, own = np.flatnonzero(~simple), ~own
+    value, bits = _preamble()
+    before = np.concatenate([[-1], symbols[:-1]])
+    before[last - n + 1] = -1
+    where = np.concatenate([lane[own], many])
+    zeros = np.concatenate([(symbols - before - 1)[own], (alphabet - 1 - symbols[last])[many]])
+    length = np.concatenate([lengths[own], np.full(len(many), NO_LENGTH)])
+    order = np.argsort(where, kind="stable")
+    where, zeros, length = where[order], zeros[order], length[order]
+    table, sizes = _lengths_after()
+    entry = zeros % 138 * (NO_LENGTH + 1) + length
+    value_of, size_of = table[entry], sizes[entry]
+    full = zeros // 138  # runs of 138 zeros
+    if full.any():
+        again = np.repeat(np.arange(len(where)), full + 1)
+        rest = np.append(again[1:] != again[:-1], True)
+        (run,), (run_bits,) = (x[[138 * (NO_LENGTH + 1) + NO_LENGTH]] for x in (table, sizes))
+        where, value_of, size_of = where[again], np.where(rest, value_of[again], run), np.where(rest, size_of[again], run_bits)
+    lanes = np.concatenate([*few[0], many, many, where])
+    values = np.concatenate([*few[1], np.full(len(many), value & 0xFFFF_FFFF), np.full(len(many), value >> 32), value_of])
+    sizes = np.concatenate([*few[2], np.full(len(many), 32), np.full(len(many), bits - 32), size_of])
+    order = np.argsort(lanes, kind="stable")
+    return lanes[order], values[order], sizes[order]
 
 
 @lru_cache(maxsize=1)
 def _own_codes() -> dict[int, tuple[int, int]]:
-    return canonical([4] * 13 + [5] * 6)
+    return canonical(OWN)
+
+
+NO_LENGTH = 16
+
+
+@lru_cache(maxsize=1)
+def _lengths_after() -> tuple[np.ndarray, np.ndarray]:
+    """(bits, how many) of 0 to 138 code lengths of zero and one more length, or NO_LENGTH, row by row."""
+    found = [_length_after(zeros, length if length < NO_LENGTH else None) for zeros in range(139) for length in range(NO_LENGTH + 1)]
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
 
 
-@lru_cache(maxsize=8192)
 def _length_after(zeros: int, length: int | None) -> tuple[int, int]:
     """(bits, how many) of so many code lengths of zero and one more length, if any."""
     tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
@@ -222,43 +284,51 @@ def _length_after(zeros: int, length: int | None) -> tuple[int, int]:
     return value, size
 
 
-@lru_cache(maxsize=1024)
-def prefix_symbol(value: int) -> tuple[int, int, int]:
-    """(symbol, extra value, extra bits) of a length or distance from 1 on."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    top = v.bit_length() - 1
-    return 2 * top + (v >> top - 1 & 1), v & (1 << top - 1) - 1, top - 1
+def prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, extra values, extra bits) of lengths or distances from 1 on."""
+    v = values - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> extra & 1)), v & (1 << extra) - 1, extra
 
 
-def cache_index(argb: np.ndarray, bits: int) -> np.ndarray:
-    return ((argb.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFF_FFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+def cache_index(argb: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return ((argb.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFF_FFFF)) >> (32 - bits).astype(np.uint64)).astype(np.int64)
 
 
-def references(argb: np.ndarray, least: int = 4, longest: int = 4096, farthest: int = 100_000) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of back-references, from the left as they come: each place is matched with the last one before it that has the same least pixels."""
+def by_place(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places): keys of 64 bits, of which the first 40 count (fewer past 16 million), in their order, and equal ones by place; one sort of plain numbers is the fastest."""
+    bits = np.uint64(max(24, len(key).bit_length()))
+    packed = np.sort(key >> bits << bits | np.arange(len(key), dtype=np.uint64))
+    return packed >> bits, (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+
+
+def references(argb: np.ndarray, least: int = 4, longest: int = 4096, farthest: int = 100_000, of: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, from the left as they come: each place is matched with the last one before it that has the same least pixels.
+
+    With of (the number of the image that each pixel is in, rising) images stand one after the other, and each is matched within itself.
+    """
     n = len(argb) - least + 1
     if n < 2:
         return []
     key = argb.astype(np.uint64)[:n]
     for k in range(1, least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, order = by_place(key * np.uint64(0x9E3779B97F4A7C15))  # the last pixel reaches the leading bits, too
     again = np.flatnonzero(key[1:] == key[:-1])
     here, before = order[again + 1], order[again]
     same = here - before <= farthest
+    if of is not None:
+        same &= of[here + least - 1] == of[before]
     for k in range(least):
         same &= argb[here + k] == argb[before + k]
     distance = np.zeros(n + 1, dtype=np.int64)
     distance[here[same]] = (here - before)[same]
-    edge = np.flatnonzero(np.diff(distance, prepend=0))
-    edge = edge[distance[edge] > 0]
+    change = np.flatnonzero(np.diff(distance, prepend=0))
+    edge = change[distance[change] > 0]
     if not len(edge):
         return []
-    change = np.flatnonzero(np.diff(distance))
-    stop = change[np.searchsorted(change, edge)] + 1
+    stop = change[np.searchsorted(change, edge, side="right")]
     out, covered = [], 0
     for s, e, d in zip(edge.tolist(), stop.tolist(), distance[edge].tolist(), strict=True):
         b = max(s, covered)
@@ -278,91 +348,144 @@ def _near_codes(width: int) -> dict[int, int]:
     return out
 
 
-def put_image(out: Writer, argb: np.ndarray, width: int, *, cache_bits: int = 0, main: bool = True) -> None:
-    """An entropy-coded image: literals, back-references, and colour cache hits."""
-    n = len(argb)
-    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
-    if main:
-        out.put(0, 1)  # one group of prefix codes
+@lru_cache(maxsize=512)
+def _near_table(width: int) -> np.ndarray:
+    """The code of every distance that has a near one, 0 for the others."""
     near = _near_codes(width)
-    runs = references(argb)
-    covered = np.zeros(n + 1, dtype=np.int64)
-    for b, length, _ in runs:
-        covered[b] += 1
-        covered[b + length] -= 1
-    literal = np.flatnonzero(np.cumsum(covered[:n]) == 0)
-    channels = {"g": argb >> 8 & 255, "r": argb >> 16 & 255, "b": argb & 255, "a": argb >> 24}
+    out = np.zeros(max(near) + 1, dtype=np.int64)
+    out[list(near)] = list(near.values())
+    return out
+
+
+def distance_codes(distances: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The codes of distances in images of these widths."""
+    known, which = np.unique(widths, return_inverse=True)
+    tables = [_near_table(w) for w in known.tolist()]
+    sizes = np.array([len(t) for t in tables], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    near = np.concatenate([*tables, [0]])[starts[which] + np.minimum(distances, sizes[which] - 1)]
+    return np.where((distances < sizes[which]) & (near > 0), near, distances + 120)
+
+
+def put_images(images: list[tuple[np.ndarray, int, int, bool]]) -> list[tuple[int, int]]:
+    """(bits, how many) of entropy-coded images (pixels, width, bits of the colour cache, whether it is a main one): literals, back-references, and colour cache hits.
+
+    The images are written side by side: a step is one for all of them.
+    """
+    count = len(images)
+    sizes = np.array([len(a) for a, *_ in images], dtype=np.int64)
+    widths, cache_bits, main = (np.array([image[k] for image in images], dtype=np.int64) for k in (1, 2, 3))
+    argb, of = np.concatenate([a for a, *_ in images]), np.repeat(np.arange(count, dtype=np.int32), sizes)
+    n = len(argb)
+    runs, length, distance = np.array(references(argb, of=of), dtype=np.int64).reshape(-1, 3).T
+    covered = np.zeros(n + 1, dtype=np.int8)
+    np.add.at(covered, runs, 1)
+    np.add.at(covered, runs + length, -1)
+    literal = np.cumsum(covered[:n], dtype=np.int8) == 0
     hit = np.zeros(n, dtype=bool)
-    index = np.zeros(n, dtype=np.int64)
-    if cache_bits:
-        index = cache_index(argb, cache_bits)
-        order = np.argsort(index, kind="stable")
-        before = np.concatenate([[False], (index[order[1:]] == index[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])])
-        hit[order] = before
-    plain, cached = literal[~hit[literal]], literal[hit[literal]]
-    lengths = [prefix_symbol(length) for _, length, _ in runs]
-    distances = [prefix_symbol(near.get(d, d + 120)) for _, _, d in runs]
-    green = np.bincount(channels["g"][plain], minlength=280 + (1 << cache_bits if cache_bits else 0))
-    green += np.bincount(index[cached] + 280, minlength=len(green))
-    for s, _, _ in lengths:
-        green[256 + s] += 1
-    if not green.any():
-        green[0] = 1
-    lone = [1] + [0] * 255
-    joint, alpha = (sum(np.bincount(channels[c][plain], minlength=256) for c in group) for group in ("rb", "a"))
-    codes = {"g": put_code(out, code_lengths(green))}
-    codes["r"] = codes["b"] = put_code(out, code_lengths(joint) if joint.any() else lone, again=2)  # red and blue share a code
-    codes["a"] = put_code(out, code_lengths(alpha) if alpha.any() else lone)
-    far = put_code(out, code_lengths(np.bincount([s for s, _, _ in distances], minlength=40)) if runs else lone[:40])
-
-    def table(of: dict[int, tuple[int, int]]) -> np.ndarray:
-        out = np.zeros((2, len(green)), dtype=np.int64)
-        out[:, list(of)] = np.array(list(of.values())).T
-        return out
+    index = np.zeros(n, dtype=np.int32)
+    held = np.flatnonzero(cache_bits[of])
+    if len(held):
+        index[held] = cache_index(argb[held], cache_bits[of[held]])
+        order = held[by_place((of[held].astype(np.int64) << int(cache_bits.max()) | index[held]).astype(np.uint64) << np.uint64(max(24, len(held).bit_length())))[1]]
+        hit[order[1:]] = (of[order[1:]] == of[order[:-1]]) & (index[order[1:]] == index[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    plain, cached = np.flatnonzero(literal & ~hit), np.flatnonzero(literal & hit)
+    channels = {c: (argb[plain] >> k & 255).astype(np.int32) for c, k in (("g", 8), ("r", 16), ("b", 0), ("a", 24))}
+    near_symbol, extra, more = prefix_symbols(length)
+    far_symbol, extra_far, more_far = prefix_symbols(distance_codes(distance, widths[of[runs]]))
+    who, who_cached, who_run = of[plain], of[cached], of[runs]
+    # lanes: the codes of green, of red and blue, of alpha, and of distances, image by image
+    room = 280 + (1 << int(cache_bits.max()) if cache_bits.any() else 0)
+    seen = {
+        "g": (np.concatenate([who, who_cached, who_run]), np.concatenate([channels["g"], index[cached] + 280, near_symbol + 256])),
+        "r": (np.concatenate([who, who]), np.concatenate([channels["r"], channels["b"]])),
+        "a": (who, channels["a"]),
+        "d": (who_run, far_symbol),
+    }
+    counts = np.concatenate([np.bincount(lane * np.int64(room) + symbol, minlength=count * room).reshape(count, room) for lane, symbol in seen.values()])
+    counts[~counts.any(axis=1), 0] = 1
+    alphabet = np.concatenate([280 + np.where(cache_bits > 0, 1 << cache_bits, 0), np.full(2 * count, 256), np.full(count, 40)])
+    lane, symbol = np.nonzero(counts)
+    lengths = code_lengths(counts[lane, symbol], lane)
+    tables = np.zeros((2, 4 * count * room), dtype=np.int64)
+    tables[:, lane * room + symbol] = codes_of(lengths, lane)
+    whose, values, bits = put_codes(symbol, lengths, lane, alphabet)
+    parts = [(np.arange(count), np.where(cache_bits > 0, 1 | cache_bits << 1, 0), np.where(cache_bits > 0, 5, 1) + main)]
+    for k in (0, 1, 1, 2, 3):  # red and blue share a code
+        a, b = np.searchsorted(whose, [k * count, (k + 1) * count])
+        parts.append((whose[a:b] - k * count, values[a:b], bits[a:b]))
+
+    def coded(k: int, image: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (k * count + image.astype(np.int64)) * room + symbol
+        return tables[0].take(at), tables[1].take(at)
 
-    tables = {"g": table(codes["g"]), "r": table(codes["r"])} | ({"a": table(codes["a"])} if len(codes["a"]) > 1 else {})
-    tables["b"] = tables["r"]
     value, bits = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    own_value, own_bits = np.zeros(len(plain), dtype=np.int64), np.zeros(len(plain), dtype=np.int64)
-    for c in "grba":
-        if c in tables:
-            own = channels[c][plain]
-            own_value |= tables[c][0].take(own) << own_bits
-            own_bits += tables[c][1].take(own)
+    own_value, own_bits = coded(0, who, channels["g"])
+    for k, c in ((1, "r"), (1, "b"), (2, "a")):
+        code, size = coded(k, who, channels[c])
+        own_value |= code << own_bits
+        own_bits += size
     value[plain], bits[plain] = own_value, own_bits
-    if len(cached):
-        value[cached], bits[cached] = tables["g"][:, index[cached] + 280]
-    for (b, _, _), (s, extra, more), (t, extra_far, more_far) in zip(runs, lengths, distances, strict=True):
-        (code, length), (code_far, length_far) = codes["g"][256 + s], far[t]
-        value[b] = code | extra << length | (code_far | extra_far << length_far) << length + more
-        bits[b] = length + more + length_far + more_far
-    written = np.sort(np.concatenate([literal, np.array([b for b, _, _ in runs], dtype=np.int64)]))
-    out.put_many(value[written], bits[written])
+    del own_value, own_bits, code, size, channels, seen, who
+    value[cached], bits[cached] = coded(0, who_cached, index[cached] + 280)
+    (code, size), (code_far, size_far) = coded(0, who_run, near_symbol + 256), coded(3, who_run, far_symbol)
+    value[runs] = code | extra << size | (code_far | extra_far << size_far) << size + more
+    bits[runs] = size + more + size_far + more_far
+    written = literal
+    written[runs] = True
+    parts.append((of[written], value[written], bits[written]))
+    del value, bits, of, index, argb
+    # where all that stands: parts one after the other in an image, which begins at a whole byte
+    totals = np.array([np.bincount(image, weights=size, minlength=count) for image, _, size in parts]).astype(np.int64)
+    starts, room = np.cumsum(totals, axis=0) - totals, totals.sum(axis=0) + 7 >> 3
+    base = np.cumsum(room) - room
+    words = np.zeros(int(room.sum()) // 4 + 3, dtype=np.uint64)
+    for (image, value, size), total, start in zip(parts, totals, starts, strict=True):
+        scatter(words, (8 * base + start - (np.cumsum(total) - total))[image] + np.cumsum(size) - size, value)
+    stream = words.astype("<u4").tobytes()
+    return [(int.from_bytes(stream[b : b + r], "little"), size) for b, r, size in zip(base.tolist(), room.tolist(), totals.sum(axis=0).tolist(), strict=True)]
 
 
 @lru_cache(maxsize=4096)
 def _even_image(pixel: int, n: int, width: int) -> tuple[int, int]:
     """(bits, how many) of an image of n equal pixels."""
-    out = Writer()
-    put_image(out, np.full(n, pixel, dtype=np.int64), width, main=False)
-    return out.value, out.n
+    return put_images([(np.full(n, pixel, dtype=np.int64), width, 0, False)])[0]
+
+
+def encode(rgb: np.ndarray, width: int, **form) -> bytes:
+    """A WebP file of rows of RGB pixels (array of n x 3)."""
+    return encode_many([(rgb, width, form)])[0]
+
+
+def encode_many(images: list[tuple[np.ndarray, int, dict]]) -> list[bytes]:
+    """WebP files of images: rows of RGB pixels (array of n x 3), the width, and the options of transformed()."""
+    made = [transformed(rgb, width, **form) for rgb, width, form in images]
+    palettes = [(table, len(table), 0, False) for parts, _ in made for table in parts if isinstance(table, np.ndarray)]
+    tables = iter(put_images(palettes) if palettes else [])
+    files = []
+    for (parts, _), body in zip(made, put_images([main for _, main in made]) if made else [], strict=True):
+        out = Writer()
+        for part in [*parts, body]:
+            out.put(*(next(tables) if isinstance(part, np.ndarray) else part))
+        data = out.bytes()
+        chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
+        files.append(b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk)
+    return files
 
 
-def encode(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tuple[int, ...] = (), mode: int = 1, block_bits: int = 4) -> bytes:
-    """A WebP file of rows of RGB pixels (array of n x 3); transforms are applied in the order given, each at most once."""
+def transformed(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tuple[int, ...] = (), mode: int = 1, block_bits: int = 4) -> tuple[list, tuple[np.ndarray, int, int, bool]]:
+    """(what stands before the main image: bits and how many, or a palette's pixels; the main image for put_images()). Transforms are applied in the order given, each at most once."""
     argb = (0xFF000000 | rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]).astype(np.int64)
     height = len(argb) // width
-    out = Writer()
-    out.put(0x2F, 8)
-    out.put(width - 1 | height - 1 << 14, 32)
+    parts: list = [(0x2F, 8), (width - 1 | height - 1 << 14, 32)]
     now = width
     for kind in transforms:
-        out.put(1 | kind << 1, 3)
+        parts.append((1 | kind << 1, 3))
         if kind in (PREDICTOR, CROSS_COLOUR):
-            out.put(block_bits - 2, 3)
+            parts.append((block_bits - 2, 3))
             tiles = ((now + (1 << block_bits) - 1) >> block_bits) * ((height + (1 << block_bits) - 1) >> block_bits)
             element = 0xFF000000 | (mode << 8 if kind == PREDICTOR else 5 << 16 | 250 << 8 | 7)
-            out.put(*_even_image(element, tiles, (now + (1 << block_bits) - 1) >> block_bits))
+            parts.append(_even_image(element, tiles, (now + (1 << block_bits) - 1) >> block_bits))
             argb = _minus(argb, predicted(argb, now, mode)) if kind == PREDICTOR else cross_colour(argb, np.full(len(argb), element), -1)
         elif kind == SUBTRACT_GREEN:
             green = argb >> 8 & 255
@@ -371,14 +494,10 @@ def encode(rgb: np.ndarray, width: int, *, cache_bits: int = 0, transforms: tupl
             table, argb = np.unique(argb, return_inverse=True)
             if len(table) > 256:
                 raise ValueError("a palette holds 256 colours at most")
-            out.put(len(table) - 1, 8)
-            put_image(out, _minus(table, np.concatenate([[0], table[:-1]])), len(table), main=False)
+            parts += [(len(table) - 1, 8), _minus(table, np.concatenate([[0], table[:-1]]))]
             argb, now = bundle(argb, now, len(table))
-    out.put(0, 1)
-    put_image(out, argb, now, cache_bits=cache_bits)
-    data = out.bytes()
-    chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) & 1)
-    return b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk
+    parts.append((0, 1))
+    return parts, (argb, now, cache_bits, True)
 
 
 # -- transforms ------------------------------------------------------------------------------------------------------------------------
@@ -914,11 +1033,29 @@ def form_of(rgb: np.ndarray, width: int) -> dict:
 
 def store(payload: bytes, max_rows: int = MAX_ROWS) -> bytes:
     """A payload of whole rows as one WebP file, or several one after the other."""
-    step, out = ROW * max_rows, []
-    for i in range(0, len(payload), step):
-        rgb = np.frombuffer(payload[i : i + step], dtype=np.uint8).reshape(-1, 3)
-        out.append(encode(rgb, PIXELS, **form_of(rgb, PIXELS)))
-    return b"".join(out)
+    return store_many([payload], max_rows)[0]
+
+
+def store_many(payloads: list[bytes], max_rows: int = MAX_ROWS, together: int = 1 << 20) -> list[bytes]:
+    """What store() gives for each payload; images are encoded side by side, up to so many bytes together or one that is larger."""
+    out: list[list[bytes]] = [[] for _ in payloads]
+    held, size = [], 0
+
+    def write() -> None:
+        for (i, *_), file in zip(held, encode_many([image for _, image in held]), strict=True):
+            out[i].append(file)
+        held.clear()
+
+    for i, payload in enumerate(payloads):
+        for at in range(0, len(payload), ROW * max_rows):
+            rgb = np.frombuffer(payload[at : at + ROW * max_rows], dtype=np.uint8).reshape(-1, 3)
+            if held and size + rgb.size > together:
+                write()
+                size = 0
+            held.append((i, (rgb, PIXELS, form_of(rgb, PIXELS))))
+            size += rgb.size
+    write()
+    return [b"".join(files) for files in out]
 
 
 def load_many(media: list[bytes]) -> list[tuple[np.ndarray, int]]:
@@ -950,7 +1087,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for block in blocks(batches, "text", 1 << 20):
             texts = [t or b"" for t in block.column("text").to_pylist()]
-            media = [store(t + b"\xff" * (-len(t) % ROW if t else ROW)) for t in texts]
+            media = store_many([t + b"\xff" * (-len(t) % ROW if t else ROW) for t in texts])
             yield emit({"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": [len(t) for t in texts], "media": media}, MEDIA)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")

@@ -105,6 +105,61 @@ def test_side_by_side():
     assert webp.decode_many([]) == []
 
 
+def test_written_side_by_side():
+    """Images of many sizes and forms at once give the files that each gives alone, and read back."""
+    rng = np.random.default_rng(9)
+    images = []
+    for k in range(60):
+        width, height, colours = (int(x) for x in rng.integers(1, 30, 3))
+        rgb = rng.integers(0, 256, (colours, 3))[np.repeat(rng.integers(0, colours, width * height), rng.integers(1, 9))[: width * height]].astype(np.uint8)
+        images.append((rgb, width, {"cache_bits": int(rng.choice([0, 0, 3, 11])), "transforms": [(), (2,), (0, 1), (3,)][k % 4], "block_bits": 2}))
+    files = webp.encode_many(images)
+    for file, (rgb, width, form) in zip(files, images, strict=True):
+        assert file == webp.encode(rgb, width, **form) and (webp.pixels(webp.decode(file)[0]) == rgb).all()
+    assert webp.encode_many([]) == [] and webp.store_many([]) == []
+
+
+def test_code_lengths_against_a_heap():
+    import heapq
+
+    def alone(counts, limit):
+        while True:
+            heap = [(n, i, (i,)) for i, n in enumerate(counts)]
+            heapq.heapify(heap)
+            depth = [int(len(counts) == 1)] * len(counts)
+            while len(heap) > 1:
+                (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+                for i in left + right:
+                    depth[i] += 1
+                heapq.heappush(heap, (a + b, len(counts) + len(counts) - len(heap), left + right))
+            if max(depth) <= limit:
+                return depth
+            counts = [(n + 1) // 2 for n in counts]
+
+    rng = np.random.default_rng(4)
+    lanes = [[7], [1, 1], [3, 900], [2**k for k in range(30)], [1] * 312] + [(rng.integers(1, 50, n) ** rng.integers(1, 4)).tolist() for n in rng.integers(1, 200, 40).tolist()]
+    flat, lane = np.array(sum(lanes, [])), np.repeat(np.arange(len(lanes)), [len(x) for x in lanes])
+    found = webp.code_lengths(flat, lane)
+    for k, counts in enumerate(lanes):
+        assert found[lane == k].tolist() == alone(counts, webp.LIMIT)
+
+
+def test_texts_are_encoded_together():
+    """A block's texts share the encoder's steps: before, each of them took about a thousand calls."""
+    import cProfile
+    import pstats
+
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 300).tolist()]
+    payloads = [(text := " ".join(words[i] for i in rng.integers(0, 300, 250).tolist()).encode()) + b"\xff" * (-len(text) % webp.ROW) for _ in range(300)]
+    webp.store_many(payloads[:3])
+    with cProfile.Profile() as profile:
+        media = webp.store_many(payloads)
+    assert pstats.Stats(profile).total_calls < 300 * len(payloads)
+    assert media[:5] == [webp.store(p) for p in payloads[:5]] and [px.tobytes() for px, _ in webp.load_many(media)] == payloads
+    assert webp.store_many(payloads, together=5000) == media and [m.count(b"RIFF") for m in webp.store_many(payloads, max_rows=1)] == [len(p) // webp.ROW for p in payloads]
+
+
 def test_stored_images_need_every_part_of_the_decoder(spark):
     """Of the documents' images: each transform, the colour cache, literals, and back-references near and far."""
     from tallygrove.llm.common import table
