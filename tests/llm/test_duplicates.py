@@ -215,3 +215,20 @@ def test_texts_of_equal_hashes_keep_their_bytes(spark):
     found = runindex.anchors([p.encode() for p in pair], 64, 24)
     assert len(set(found["context"].to_pylist())) == len(found["context"])
     assert sorted(r["n_removed"] for r in runindex.remove_repeats(make(spark, [*pair, pair[0]]), match=64, anchor=24).collect()) == [0, 64, 64]
+
+
+def test_passages_under_400_bytes_stay(spark):
+    """By contract op 10 goes by 400 bytes, not by words: of two passages of 51 words the one of 380 bytes stays, the one of 405 goes; the pipeline's stage cuts both."""
+    from tests.llm.conftest import documents as make
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = lambda size: " ".join(word(n) for n in [6] * 50 + [size - 350])
+    around = lambda x: " ".join(word(7) for _ in range(40)) + f" {x} " + " ".join(word(7) for _ in range(40))
+    short, long = passage(380), passage(405)
+    assert all(len(x.split()) == 51 for x in (short, long))
+    rows = make(spark, [around(x) for x in (short, short, long, long)])
+    found = {r["doc_id"]: r["n_removed"] for r in runindex.remove_repeats(rows).collect()}
+    assert found[0] == found[1] == 0 and all(405 <= found[i] <= 407 for i in (2, 3))
+    texts = {r["doc_id"]: r["text"] for r in runindex.clean(rows, words=51, anchor=80).collect()}
+    assert not any(x in t for t in texts.values() for x in (short, long))
