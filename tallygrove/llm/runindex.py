@@ -3,8 +3,10 @@
 1. Distinct texts are written once, with the number of their copies, bucketed by their hash, so the two later joins with them move no text.
 2. Every match-byte window holds an anchor: the least hash of its anchor-byte strings, leftmost among equals. Equal windows have equal
    anchors, so all occurrences of a repeat meet under the anchor's hash. A window that has the anchor lies inside a fixed context of it;
-   contexts of equal anchors that overlap in a text are taken as one.
-3. Equal contexts of an anchor are counted with a partial aggregate and kept once, with their number. Anchors that occur once are dropped.
+   contexts of equal anchors that overlap in a text are taken as one. Where shorter repeats are asked for too, anchors go by the shorter windows
+   and contexts reach as far as the longer ones that begin with them.
+3. Anchors that occur once are sifted out by the hashes of the others, then equal contexts of an anchor are counted with a partial aggregate and
+   kept once, with their number.
 4. The contexts of an anchor are indexed: suffix order, Burrows-Wheeler transform, its runs, and samples of the text positions
    at run ends with their common prefixes; only runs and samples are kept. Copies of a context lengthen runs and add none: they stand as a number
    at its first position, where a separator makes a run end. Inside a run the longest match of a position is one less than that of the position before
@@ -18,7 +20,8 @@ Defined cases: null texts are empty; texts shorter than match are left as they a
 removed as a whole, all of them; repeated rows are copies; an empty table gives no rows; other columns are not looked at.
 
 Where a repeat is told by its number of words (clean), shorter words than WORD bytes are filled up with bytes 255, which UTF-8 never holds: so many
-words then have match bytes at least, whatever words they are.
+words then have match bytes at least, whatever words they are. Where passages are counted beside the cut (remove_repeats), texts are indexed as they are, and
+a passage is a run of so many words of what repeats over words of WORD bytes on average, so shorter words may leave one uncounted.
 """
 
 from __future__ import annotations
@@ -33,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import SpanHash, apart, blocks, cut, discard, done, emit, frees, fresh_path, small_batches
+from tallygrove.llm.linededup import sifted
 
 MATCH, ANCHOR = 400, 128
 WORD = 4
 SHORT = re.compile(rb"(?<!\S)\S{1,%d}(?!\S)" % (WORD - 1))
 TILE = 1 << 18
 ANCHORS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("row", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
-MARKS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
+MARKS = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("s", pa.int32()), ("e", pa.int32()), ("bytes", pa.int32())])
 
 
 # -- anchors ---------------------------------------------------------------------------------------------------------------------------
@@ -62,8 +66,9 @@ def _anchors_of_tile(buffer: np.ndarray, ends: np.ndarray, start: int, tile: int
     return p + start, hashes[p].view(np.int64)
 
 
-def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile: int = TILE) -> dict[str, np.ndarray]:
-    """Anchors of all windows: key (hash), context (BLAKE2b-128 of text[a:b]), row (which text), a, b, times (anchors taken as one)."""
+def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile: int = TILE, reach: int | None = None) -> dict[str, np.ndarray]:
+    """Anchors of all windows: key (hash), context (BLAKE2b-128 of text[a:b]), row (which text), a, b, times (anchors taken as one). A context
+    holds the reach bytes (match if not given) from the begin of each window of its anchor."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
     data = b"".join(texts)
@@ -75,7 +80,7 @@ def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile:
     key = np.concatenate([k for _, k in found])[where]
     row = np.searchsorted(ends, p, side="right")
     begin = ends[row] - lengths[row]
-    a, b = np.maximum(p - (match - anchor), begin), np.minimum(p + match, ends[row])
+    a, b = np.maximum(p - (match - anchor), begin), np.minimum(p + (reach or match), ends[row])
     # contexts of one anchor that overlap in a text become one, lest the index take a string for a copy of itself
     by = np.lexsort((p, key, row))
     key, row, begin, a, b = key[by], row[by], begin[by], a[by], b[by]
@@ -86,11 +91,11 @@ def anchors(texts: list[bytes], match: int = MATCH, anchor: int = ANCHOR, tile:
     return {"key": key, "context": context, "row": row, "a": a - begin, "b": b - begin, "times": np.diff(np.append(first, len(p)))}
 
 
-def _find_anchors(match: int, anchor: int, block_bytes: int):
+def _find_anchors(match: int, anchor: int, reach: int, block_bytes: int):
     @frees
     def run(batches):
         for block in blocks(batches, "text", block_bytes):
-            found = anchors(block.column("text").to_pylist(), match, anchor)
+            found = anchors(block.column("text").to_pylist(), match, anchor, reach=reach)
             row = found["row"]
             whose = {c: block.column(c).to_numpy()[row] for c in ("h1", "h2", "n")}
             yield pa.RecordBatch.from_pydict({"key": found["key"], "context": found["context"], "h1": whose["h1"], "h2": whose["h2"], "n": whose["n"], "a": found["a"].astype(np.int32), "b": found["b"].astype(np.int32), "times": found["times"].astype(np.int32)})
@@ -100,32 +105,36 @@ def _find_anchors(match: int, anchor: int, block_bytes: int):
 
 # -- the index -------------------------------------------------------------------------------------------------------------------------
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first depth symbols at least (symbols below 512), by prefix doubling over those still tied."""
+    """Suffixes in the order of their first depth symbols at least (symbols below 512), by the ranks of as many prefixes as fit 64 bits, over those still tied."""
     n = len(symbols)
+    bits = n.bit_length()
     packed = np.zeros(n, dtype=np.int64)
     for i in range(7):
         packed <<= 9
         packed[: n - i] |= symbols[i:]
-    order = np.argsort(packed).astype(np.int32)
-    rank, known = np.zeros(n + 1, dtype=np.int32), 7  # rank of a suffix: where its class of equals begins in the order, plus one; 0 is past the end
-    packed = packed[order]
+    order = np.argsort(packed)
+    rank, known = np.zeros(n + max(depth, 7) + 1, dtype=np.uint64), 7  # rank of a suffix: where its class of equals begins in the order, plus one; 0 is past the end
+    packed = packed.take(order)
     new = np.concatenate([[True], packed[1:] != packed[:-1]])
     del packed
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0))) + 1
-    place = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0)).view(np.uint64)
+    place = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(place) and known < depth:
-        who = order[place]
-        key = rank[who].astype(np.int64) << 32
-        key |= rank[np.minimum(who + known, n)]
+        who = order.take(place)
+        key = rank.take(who)
+        fold = max(2, min(64 // bits, -(-depth // known)))
+        for i in range(1, fold):
+            key <<= np.uint64(bits)
+            key |= rank.take(who + i * known)
         by = np.argsort(key)
-        who, key = who[by], key[by]
+        who, key = who.take(by), key.take(by)
         del by
         order[place] = who
         new = np.concatenate([[True], key[1:] != key[:-1]])
         del key
-        rank[who] = place[np.maximum.accumulate(np.where(new, np.arange(len(place), dtype=np.int32), np.int32(0)))] + 1
+        rank[who] = (place.take(np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))) + 1).view(np.uint64)
         place = place[~(new & np.append(new[1:], True))]
-        known *= 2
+        known *= fold
     return order
 
 
@@ -152,7 +161,7 @@ class RunIndex:
     def __init__(self, symbols: np.ndarray, limit: int, copied: np.ndarray, lengths: np.ndarray):
         """copied: first positions of contexts with copies; lengths: of these contexts."""
         order = suffix_order(symbols, limit)
-        transform = symbols[order - 1]  # of position 0 the last symbol, a separator
+        transform = symbols.take(order - 1, mode="wrap")  # of position 0 the last symbol, a separator
         cuts = np.flatnonzero((transform[1:] != transform[:-1]) | (transform[1:] == 0)) + 1  # a run ends before each; a separator is its own run
         self.symbols, self.lengths, self.size = transform[np.append(0, cuts)], np.diff(np.concatenate([[0], cuts, [len(symbols)]])), len(symbols)
         ends, heads = order[cuts - 1], order[cuts]
@@ -169,42 +178,50 @@ class RunIndex:
         return np.maximum.accumulate(reach, out=reach) - at
 
 
-def repeats(contexts: list[bytes], groups: np.ndarray, match: int = MATCH, copies: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(context, s, e) of the maximal runs of bytes in match-byte strings that occur twice or more within a context's group; copies of each context, 1 if not given."""
+def repeats(contexts: list[bytes], groups: np.ndarray, match: int | tuple[int, ...] = MATCH, copies: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """(context, s, e) of the maximal runs of bytes in match-byte strings that occur twice or more within a context's group; copies of each context, 1 if not given.
+    With several lengths (context, s, e, length), for each of them."""
     lengths = np.array([len(c) for c in contexts], dtype=np.int64)
     stops = np.cumsum(lengths + 1)
     symbols = np.zeros(int(stops[-1]), dtype=np.int16)
     inside = np.ones(len(symbols), dtype=bool)
     inside[stops - 1] = False
     symbols[inside] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int16) + 1
-    found = np.zeros(len(symbols), dtype=bool)
+    longest = np.zeros(len(symbols), dtype=np.int32)
     several = np.zeros(len(contexts), dtype=bool) if copies is None else copies > 1
     for g in np.split(np.arange(len(contexts)), np.flatnonzero(groups[1:] != groups[:-1]) + 1):
         a, b = int(stops[g[0]] - lengths[g[0]] - 1), int(stops[g[-1]])
         own = g[several[g]]
         index = RunIndex(symbols[a:b], int(lengths[g].max()) + 1, stops[own] - lengths[own] - 1 - a, lengths[own])
-        found[a:b] = index.matching_statistics() >= match
+        longest[a:b] = index.matching_statistics()
     of = np.repeat(np.arange(len(contexts)), lengths + 1)
-    found &= np.arange(len(symbols)) + match <= stops[of] - 1
-    starts = np.flatnonzero(found)
+    np.minimum(longest, stops[of] - 1 - np.arange(len(symbols)), out=longest, casting="same_kind")
+    if isinstance(match, int):
+        return _runs(longest, match, of, stops - lengths - 1)
+    return [(*run, m) for m in match for run in _runs(longest, m, of, stops - lengths - 1)]
+
+
+def _runs(longest: np.ndarray, match: int, of: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int]]:
+    """(context, s, e) of the maximal runs of bytes in strings of match bytes, by the longest match of every position; of: contexts of the positions."""
+    starts = np.flatnonzero(longest >= match)
     if not len(starts):
         return []
     own = of[starts]
     fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] > starts[:-1] + match)])
     last = np.append(np.flatnonzero(fresh)[1:] - 1, len(starts) - 1)
-    begin = (stops - lengths - 1)[own[fresh]]
+    begin = begin[own[fresh]]
     return list(zip(own[fresh].tolist(), (starts[fresh] - begin).tolist(), (starts[last] + match - begin).tolist(), strict=True))
 
 
-def _index(match: int, block_bytes: int):
+def _index(lengths: tuple[int, ...], block_bytes: int):
     """A task over rows (part, key, context, n, piece) sorted by part: groups of equal part are indexed, several to a call."""
 
     def marks(rows: pa.Table):
         part = rows.column("part").to_numpy()
-        found = repeats(rows.column("piece").to_pylist(), part, match, rows.column("n").to_numpy())
+        found = repeats(rows.column("piece").to_pylist(), part, lengths, rows.column("n").to_numpy())
         if found:
-            which, s, e = map(np.array, zip(*found, strict=True))
-            yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").combine_chunks().take(pa.array(which)), "s": s, "e": e}, MARKS)
+            which, s, e, length = map(np.array, zip(*found, strict=True))
+            yield emit({"key": rows.column("key").to_numpy()[which], "context": rows.column("context").combine_chunks().take(pa.array(which)), "s": s, "e": e, "bytes": length}, MARKS)
 
     @frees
     def run(batches):
@@ -248,18 +265,23 @@ class Texts:
         discard(self.spark, self.path)
 
 
-def removed_spans(texts: DataFrame, *, match: int = MATCH, anchor: int = ANCHOR, group_limit: int = 2048, block_bytes: int = 1 << 20) -> DataFrame:
-    """h1, h2, spans (array of struct s, e; overlaps not yet merged) of the distinct texts that have any; texts is Texts.rows."""
-    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(match, anchor, block_bytes), "key long, context binary, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
-    contexts = cut(found.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at")), "contexts")
+def removed_spans(texts: DataFrame, *, match: int = MATCH, least: int | None = None, anchor: int = ANCHOR, group_limit: int = 2048, block_bytes: int = 1 << 20) -> DataFrame:
+    """h1, h2, spans (array of struct s, e, bytes; overlaps not yet merged) of the distinct texts that have any; texts is Texts.rows. bytes is the length
+    of the repeated strings: match, and least as well if it is given (it is match at most)."""
+    lengths = (match,) if least in (None, match) else (match, least)
+    found = cut(texts.select("h1", "h2", "n", "text").mapInArrow(_find_anchors(lengths[-1], anchor, match, block_bytes), "key long, context binary, h1 long, h2 long, n long, a int, b int, times int"), "anchors")
+    again = cut(found.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("occurrences")).filter("occurrences > 1").select("key"), "again")
+    wanted = cut(sifted(found, again, "key"), "wanted")
+    done(found, again)
+    contexts = cut(wanted.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "a", "b", "times")).alias("at")), "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum(F.col("n") * F.col("at.times")).alias("occurrences")).filter("occurrences > 1")
     known = contexts.join(keys, "key").select("key", "context", "n", "at.*", "contexts")
     salted = known.withColumn("salts", F.expr(f"CAST(ceil(contexts / {group_limit}) AS INT)")).withColumn("salt", F.expr("CAST(pmod(xxhash64(context, 7), salts) AS INT)"))
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("part", F.expr("CASE WHEN salts = 1 THEN key ELSE xxhash64(key, least(salt, other), greatest(salt, other)) END"))
     pieces = texts.select("h1", "h2", "text").join(dealt, ["h1", "h2"]).select("part", "key", "context", "n", F.expr("substring(text, a + 1, b - a)").alias("piece"))
-    marks = cut(pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(match, block_bytes), "key long, context binary, s int, e int"), "marks")
-    spans = cut(found.join(marks, ["key", "context"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("spans")), "spans")
-    done(found, contexts, marks)
+    marks = cut(pieces.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_index(lengths, block_bytes), "key long, context binary, s int, e int, bytes int"), "marks")
+    spans = cut(wanted.join(marks, ["key", "context"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"), "bytes")).alias("spans")), "spans")
+    done(wanted, contexts, marks)
     return spans
 
 
@@ -279,13 +301,15 @@ def _long_enough(piece: bytes, words: int) -> bool:
     return len(piece.split()) >= words or len(piece) - piece.count(b"\xff") >= MATCH
 
 
-def _cut_texts(words: int | None):
+def _cut_texts(match: int, words: int | None, passages: int | None):
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {c: [] for c in ("h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage_bytes")}
             for r in batch.to_pylist():
                 text = r["text"]
-                runs = merged([(x["s"], x["e"]) for x in r["spans"]])
+                runs = merged([(x["s"], x["e"]) for x in r["spans"] if x["bytes"] == match])
+                # strings of match bytes are made of the shorter ones, so all spans together are what the shorter ones cover
+                counted = sum(e - s for s, e in merged([(x["s"], x["e"]) for x in r["spans"]]) if len(text[s:e].split()) >= passages) if passages else 0
                 if words:
                     runs = [(s, e) for s, e in runs if _long_enough(text[s:e], words)]
                 at, left = 0, []
@@ -293,38 +317,44 @@ def _cut_texts(words: int | None):
                     left.append(text[at:s])
                     at = e
                 kept = b"".join([*left, text[at:]])
-                for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
+                for name, value in zip(out, (r["h1"], r["h2"], len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), counted), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("n_passage_bytes", pa.int64())]))
 
     return run
 
 
-def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, words: int | None = None, **options) -> DataFrame:
-    """h1, h2, and those of n_removed, n_spans, kept_sha256, kept that are asked for, of the distinct texts that lose bytes. With words (see clean) only kept is the text's own."""
+def changed_texts(docs: DataFrame, columns: list[str], *, text_col: str = "text", match: int = MATCH, words: int | None = None, passages: int | None = None, **options) -> DataFrame:
+    """h1, h2, and those of n_removed, n_spans, kept_sha256, kept, n_passage_bytes that are asked for, of the distinct texts that lose bytes or (with passages, see remove_repeats)
+    repeat shorter strings. With words (see clean) only kept is the text's own."""
+    least = min(match, passages * (WORD + 1) - 1) if passages else match
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
     spark = docs.sparkSession
     if words:
         with small_batches(spark):
-            texts = Texts(rows.mapInArrow(_filled, "h1 long, h2 long, text binary"), match)
+            texts = Texts(rows.mapInArrow(_filled, "h1 long, h2 long, text binary"), least)
     else:
-        texts = Texts(rows, match)
+        texts = Texts(rows, least)
     with small_batches(spark):
-        spans = removed_spans(texts.rows, match=match, **options)
+        spans = removed_spans(texts.rows, match=match, least=least, **options)
     hit = texts.rows.select("h1", "h2", "text").join(spans, ["h1", "h2"]).select("h1", "h2", "text", "spans")
     with small_batches(spark):
-        changed = cut(hit.mapInArrow(_cut_texts(words), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").select("h1", "h2", *columns), "changed")
+        changed = cut(hit.mapInArrow(_cut_texts(match, words, passages), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string, n_passage_bytes long").select("h1", "h2", *columns), "changed")
     texts.drop()
     done(spans)
     return changed
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    changed = changed_texts(docs, ["n_removed", "n_spans", "kept_sha256"], text_col=text_col, **options)
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passages: int | None = None, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    With passages, a number of words, n_passage_bytes follows: the bytes in runs of so many words or more of what repeats over passages * (WORD + 1) - 1 bytes
+    (match, if that is less). What is removed does not depend on it.
+    """
+    changed = changed_texts(docs, ["n_removed", "n_spans", "kept_sha256", *["n_passage_bytes"] * bool(passages)], text_col=text_col, passages=passages, **options)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    return rows.join(changed, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return rows.join(changed, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *[F.coalesce("n_passage_bytes", F.lit(0)).cast("long").alias("n_passage_bytes")] * bool(passages))
 
 
 @apart

@@ -232,3 +232,19 @@ def test_passages_under_400_bytes_stay(spark):
     assert found[0] == found[1] == 0 and all(405 <= found[i] <= 407 for i in (2, 3))
     texts = {r["doc_id"]: r["text"] for r in runindex.clean(rows, words=51, anchor=80).collect()}
     assert not any(x in t for t in texts.values() for x in (short, long))
+
+
+def test_passages_are_counted_beside_the_cut(spark):
+    """Op 10's query counts the bytes of repeated passages of over 50 words under 400 bytes; what it removes is as without that count."""
+    from tests.llm.conftest import documents as make
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    around = lambda x: " ".join(word(7) for _ in range(40)) + f" {x} " + " ".join(word(7) for _ in range(40))
+    passage, few, long = " ".join(word(5) for _ in range(51)), " ".join(word(11) for _ in range(30)), " ".join(word(6) for _ in range(70))
+    rows = make(spark, [*(around(x) for x in (passage, passage, few, few, long, long, word(5))), None])
+    found = {r["doc_id"]: r for r in runindex.remove_repeats(rows, passages=51, anchor=80).collect()}
+    assert all(len(passage) <= found[i]["n_passage_bytes"] <= len(passage) + 6 for i in (0, 1)) and found[0]["n_removed"] == 0
+    assert [found[i]["n_passage_bytes"] for i in (2, 3, 6, 7)] == [0] * 4
+    assert all(found[i]["n_passage_bytes"] == found[i]["n_removed"] >= len(long) for i in (4, 5))
+    assert [found[r["doc_id"]][:5] == tuple(r) for r in runindex.remove_repeats(rows).collect()] == [True] * 8
