@@ -159,7 +159,8 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = 20_0
     placed = cells(prints)
     # counted by a partial aggregate, so no task gathers a crowded cell
     several = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    counted = placed.join(several, "cell")
+    # merged, never broadcast: Spark sizes placed by the fingerprints it is exploded from, some 200 times too low
+    counted = placed.join(several.hint("merge"), "cell")
     # a crowded cell is dealt out: sub-cells i <= j of every pair of salts, each with the rows of salts i and j
     salted = counted.selectExpr("cell", "fp", f"CAST(ceil(n / {cell_limit}) AS INT) AS salts").selectExpr("cell", "fp", "salts", "CAST(pmod(xxhash64(fp), salts) AS INT) AS salt")
     dealt = salted.selectExpr("cell", "fp", "salt", "explode(sequence(0, salts - 1)) AS other", "salts").selectExpr("CASE WHEN salts = 1 THEN cell ELSE xxhash64(cell, least(salt, other), greatest(salt, other)) END AS cell", "fp")

@@ -149,6 +149,12 @@ def test_links_in_crowded_cells(spark):
         assert joined == want
 
 
+def test_cells_are_not_broadcast(spark):
+    """Spark sizes the cells by the fingerprints they are exploded from: a broadcast of them filled the driver."""
+    plan = simhash.links(spark.range(1000).selectExpr("xxhash64(id) AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (5, 5), (200, 100)]
     found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
