@@ -75,3 +75,22 @@ def test_passages_of_over_fifty_words_go(spark, sf):
     assert [found[k] for k in range(6)] == ["".join(pair) for pair in around[:6]]  # the spaces around a passage repeat too
     assert [found[k] for k in (6, 7)] == texts[6:]
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def broadcast_rows(spark, since):
+    """Rows of the broadcasts of executions from number since on."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    every = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    for number in [e.executionId() for e in every(store.executionsList()) if e.executionId() >= since]:
+        counts = store.executionMetrics(number)
+        ids = [m.accumulatorId() for node in every(store.planGraph(number).allNodes()) if node.name().startswith("BroadcastExchange") for m in every(node.metrics()) if m.name() == "number of output rows"]
+        out += [int(counts.apply(i).replace(",", "")) for i in ids if counts.contains(i)]
+    return out
+
+
+def test_near_dedup_broadcasts_no_more_rows_than_documents(spark, sf):
+    """The cells that a fingerprint is exploded to, a hundred of each, were broadcast whole."""
+    docs, since = table(spark, sf, "documents"), spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert corpus_pipeline.near_dedup(spark, docs, sf).count() > 0
+    found = broadcast_rows(spark, since)
+    assert found and max(found) <= docs.count()
